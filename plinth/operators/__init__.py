@@ -1 +1 @@
-"""operators of the engine."""
+"""Operators over DataFrames: each takes tables and column names and returns a table."""
