@@ -2,47 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plinth.operators.tables import scratch, shared_dir, written  # noqa: F401
+
 #: White space that separates words in every contract of this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows taken from an Arrow batch at a time, so that few long texts are Python strings at once.
 SLICE_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: the cluster's ``spark.checkpoint.dir``.
-
-    A temporary folder is set only where the setting is absent, as in tests.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
-    if not known:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plinth-shared-"))
-        known = spark.sparkContext.getCheckpointDir()
-    return known.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table under the shared folder."""
-    return f"{shared_dir(spark)}/plinth/{name}-{uuid.uuid4().hex}"
-
-
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table, so that what follows survives lost executors without recomputing it."""
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The named columns of the ``documents`` table."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
