@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from plinth.llm.pii import op4_personal_data
+from plinth.llm.quality import OP1_SQL, op1_quality_rules
+from plinth.llm.secrets import op6_secret_scan
+from plinth.llm.simhash import op3_simhash_groups
 from plinth.llm.token_codec import op7_bpe_roundtrip
 from plinth.llm.token_counts import op5_token_histogram
 from plinth.llm.token_store import op10_token_store
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_simhash_groups": op3_simhash_groups,
+    "op4_personal_data": op4_personal_data,
     "op5_token_histogram": op5_token_histogram,
+    "op6_secret_scan": op6_secret_scan,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
     "op10_token_store": op10_token_store,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_quality_rules": OP1_SQL}
