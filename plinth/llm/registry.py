@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plinth.llm.mixing import op8_source_mix
 from plinth.llm.pii import op4_personal_data
 from plinth.llm.quality import OP1_SQL, op1_quality_rules
 from plinth.llm.secrets import op6_secret_scan
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_token_histogram": op5_token_histogram,
     "op6_secret_scan": op6_secret_scan,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
+    "op8_source_mix": op8_source_mix,
     "op10_token_store": op10_token_store,
 }
 
