@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plinth.llm.licenses import op9_license_scan
 from plinth.llm.mixing import op8_source_mix
 from plinth.llm.pii import op4_personal_data
 from plinth.llm.quality import OP1_SQL, op1_quality_rules
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
     "op8_source_mix": op8_source_mix,
+    "op9_license_scan": op9_license_scan,
     "op10_token_store": op10_token_store,
 }
 
