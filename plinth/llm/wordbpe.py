@@ -255,7 +255,9 @@ class LibraryUnits:
     """The tokenizers library over distinct words, with its results kept for the process.
 
     A text is cut at white space, where neither normalisation nor merges reach
-    across, and each distinct stretch goes to the library once.
+    across. Each distinct word is normalised and split as the file prescribes, and
+    each distinct piece goes to the library's model once; what it returns is kept by
+    piece and by word. Texts with special tokens go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -265,30 +267,48 @@ class LibraryUnits:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
+        self.plain = kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and not spec["post_processor"]
+        if self.plain:
+            self.find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], regex.V1).findall
+        self.letters = byte_letters()
         self.memo: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _unit(self, unit: str) -> bytes:
+        pieces, letters = self.pieces, self.letters
+        text = unit if unit.isascii() else unicodedata.normalize("NFC", unit).replace("Σ", "σ")
+        out = []
+        for piece in self.find(text.lower()):
+            got = pieces.get(piece)
+            if got is None:
+                word = piece if piece.isascii() and piece.isprintable() else "".join([letters[b] for b in piece.encode("utf-8", "surrogatepass")])
+                got = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
+                if len(piece) <= 64 and len(pieces) < MEMO_WORDS:
+                    pieces[piece] = got
+            out.append(got)
+        got = out[0] if len(out) == 1 else b"".join(out)
+        if len(unit) <= 64 and len(self.memo) < MEMO_WORDS:
+            self.memo[unit] = got
+        return got
+
+    def encode_one(self, text: str | None) -> bytes:
+        """Ids of a text as little-endian 32-bit integers; null counts as empty."""
+        if not text:
+            return b""
+        if not self.plain or "<|" in text or any(c in text for c in ODD_SPACE):
+            return self.encode_whole(text)
+        get, own = self.memo.get, self._unit
+        return b"".join([get(u) or own(u) for u in text.split()])
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers; null counts as empty."""
-        odd = [bool(t) and ("<|" in t or any(c in t for c in ODD_SPACE)) for t in texts]
-        units = [t.split() if t and not o else [] for t, o in zip(texts, odd, strict=True)]
-        memo = self.memo
-        new = list({u for us in units for u in us if u not in memo})
-        extra: dict[str, bytes] = {}
-        if new:
-            made = self.library.encode_batch_fast(new, add_special_tokens=False)
-            found = {u: np.array(e.ids, "<u4").tobytes() for u, e in zip(new, made, strict=True)}
-            room = MEMO_WORDS - len(memo)
-            if room >= len(found):
-                memo.update(found)
-            else:
-                extra = found
-        if extra:
-            get = memo.get
-            return [self.encode_whole(t) if o else b"".join([get(u) or extra[u] for u in us]) for t, o, us in zip(texts, odd, units, strict=True)]
-        return [self.encode_whole(t) if o else b"".join(map(memo.__getitem__, us)) for t, o, us in zip(texts, odd, units, strict=True)]
+        return [self.encode_one(t) for t in texts]
 
 
 @lru_cache(maxsize=2)
