@@ -30,3 +30,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to Python workers that cannot import it from where the driver did; once an application."""
+    import shutil
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    package = Path(__file__).resolve().parents[1]
+    if not package.is_dir():  # already imported from a shipped archive
+        return
+    target = Path(tempfile.mkdtemp(prefix="plinth-package-"))
+    shutil.copytree(package, target / "tree" / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(str(target / package.name), "zip", target / "tree"))
