@@ -1,11 +1,66 @@
-"""Stages over a corpus."""
+"""A corpus pipeline of five stages, each calling one of the training-data operators.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next stage's ``docs``. All but the last return the
+columns of ``documents``. A stage works on all rows that its predecessor kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from plinth.llm.mixing import mix
+from plinth.llm.quality import keep_good
+from plinth.llm.secrets import redact_secrets
+from plinth.llm.simhash import keep_one_each
+from plinth.llm.token_codec import encode_decode
+from plinth.llm.wordbpe import default_vocabulary
+from plinth.operators.tables import ship_package, written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: documents that a quality rule rejects go; the others stay as they are."""
+    return keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: one document of each group of near-duplicates stays."""
+    return keep_one_each(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: every secret in a text is put as a mark; all documents stay."""
+    return redact_secrets(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: each document as often as the mix takes it, from not at all to three times."""
+    return mix(docs)
+
+
+def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: ids of every document, and the digest of what they decode to."""
+    return encode_decode(docs, default_vocabulary(), want=("n_tokens", "ids", "decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_dedup),
+    ("secret scans", secret_scan),
+    ("mixing sources to target weights", source_mix),
+    ("BPE encoding and decoding", bpe_encode),
+]
+
+#: Fingerprints and encoding can't be said in SQL; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are a written table in the shared folder."""
+    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"pipeline-{k}")
     return docs

@@ -6,6 +6,7 @@ from plinth.llm.licenses import op9_license_scan
 from plinth.llm.mixing import op8_source_mix
 from plinth.llm.pii import op4_personal_data
 from plinth.llm.quality import OP1_SQL, op1_quality_rules
+from plinth.llm.search import OP2_SQL, op2_bm25_search
 from plinth.llm.secrets import op6_secret_scan
 from plinth.llm.simhash import op3_simhash_groups
 from plinth.llm.token_codec import op7_bpe_roundtrip
@@ -14,6 +15,7 @@ from plinth.llm.token_store import op10_token_store
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_bm25_search": op2_bm25_search,
     "op3_simhash_groups": op3_simhash_groups,
     "op4_personal_data": op4_personal_data,
     "op5_token_histogram": op5_token_histogram,
@@ -25,4 +27,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE: dict[str, str] = {"op1_quality_rules": OP1_SQL}
+ORACLE: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_bm25_search": OP2_SQL}

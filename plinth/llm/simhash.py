@@ -339,7 +339,7 @@ def links(probe_rows: DataFrame, radius: int) -> DataFrame:
 
 
 def near_components(prints: DataFrame, radius: int = 4, key: str = "doc_id") -> DataFrame:
-    """``prints(key, fp)`` with ``component_id``, the smallest key that links lead to.
+    """``prints(key, fp)`` with ``component_id``, the smallest key that links lead to, and ``root``, its fingerprint.
 
     Null keys are linked like others but never name a component, unless it has no
     other. Repeated rows each stay. An empty table gives no rows.
@@ -352,7 +352,7 @@ def near_components(prints: DataFrame, radius: int = 4, key: str = "doc_id") ->
     joined = connected_components(links(rows, radius))
     placed = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    owner = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
+    owner = placed.select("fp", "root").join(named, "root").select("fp", "component_id", "root")
     return prints.join(owner, "fp")
 
 
@@ -364,6 +364,23 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4) -> Data
     return near_components(written(fingerprints(docs, words), "prints"), radius).select("doc_id", "fp", "component_id")
 
 
+def keep_one_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates, with all its columns.
+
+    The row with the smallest ``doc_id`` stays, nulls last; of repeated rows, one.
+    Only fingerprints and keys are compared; the texts move once, to meet the keys
+    that stay.
+    """
+    kid, kh = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), F.xxhash64(F.col("doc_id").isNull(), "text")
+    keyed = docs.select(kid.alias("kid"), kh.alias("kh"), F.col("doc_id").isNull().alias("last"), "text")
+    prints = written(fingerprints(keyed, words, keep=("kid", "kh", "last")), "prints")
+    groups = near_components(prints, radius, "kid")
+    stay = groups.groupBy("root").agg(F.min(F.struct("last", "kid", "kh")).alias("w")).select(F.col("w.kid").alias("kid"), F.col("w.kh").alias("kh"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    met = docs.select(kid.alias("kid"), kh.alias("kh"), row.alias("row")).join(stay, ["kid", "kh"], "left_semi")
+    return met.dropDuplicates(["kid", "kh"]).select("row.*")
+
+
 def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
     found = simhash_components(documents(spark, sf_dir, "doc_id", "text"))
