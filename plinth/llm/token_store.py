@@ -37,7 +37,7 @@ from plinth.llm.common import SLICE_ROWS, documents, scratch
 from plinth.llm.wordbpe import default_vocabulary, library
 
 #: Chunk sizes in ids: least, expected beyond the least, most; and the ids that the rolling hash sees.
-MIN_IDS, MEAN_IDS, MAX_IDS, WINDOW = 128, 512, 2048, 8
+MIN_IDS, MEAN_IDS, MAX_IDS, WINDOW = 256, 1024, 4096, 4
 DIGEST = 16
 
 
@@ -67,7 +67,7 @@ def cut_points(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[l
     roll = np.zeros(len(ids), np.uint32)
     for k in range(WINDOW):
         roll[k:] += mixed[: len(ids) - k] * np.uint32(pow(31, k, 1 << 32))
-    hits = np.flatnonzero((roll >> np.uint32(23 - 9)) & np.uint32(MEAN_IDS - 1) == 0) + 1
+    hits = np.flatnonzero(roll < np.uint32((1 << 32) // MEAN_IDS)) + 1
     lo, hi = np.searchsorted(hits, starts, "right"), np.searchsorted(hits, starts + sizes, "left")
     out = []
     for at, size, i, j in zip(starts.tolist(), sizes.tolist(), lo.tolist(), hi.tolist(), strict=True):

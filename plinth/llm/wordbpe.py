@@ -21,7 +21,7 @@ import regex
 #: Characters at which ``str.split`` splits but the tokenizer's ``\\s`` does not.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Words kept per process; frequent words come early, so the memo is simply not extended beyond this.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 400_000
 MEMO_PAIRS = 400_000
 
 
@@ -45,6 +45,20 @@ def byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def cut_unit(unit: str, find) -> list[str]:
+    """Normalised pre-tokens of a stretch without white space and special tokens; ``find`` is the file's pattern.
+
+    A word of letters, with or without one closing mark, needs no pattern. Lower case
+    is taken letter by letter, so a closing sigma is like any other.
+    """
+    text = unit.lower() if unit.isascii() else unicodedata.normalize("NFC", unit).replace("Σ", "σ").lower()
+    if text.isalpha():
+        return [text]
+    if text[-1] in ".,!|;:" and (head := text[:-1]).isalpha():
+        return [head, text[-1]]
+    return find(text)
+
+
 class Unsupported(ValueError):
     """The vocabulary file uses a feature that this encoder does not implement."""
 
@@ -176,23 +190,16 @@ class WordBpe:
                 pos -= sizes.pop()
         return [self.id_list[t] for t in tokens]
 
-    def split_pieces(self, unit: str) -> list[str]:
-        """Normalised pre-tokens of a text without special tokens."""
-        if not unit.isascii():
-            unit = unicodedata.normalize("NFC", unit).replace("Σ", "σ")
-        return self.pattern.findall(unit.lower())
+    def _piece(self, piece: str) -> bytes:
+        got = np.array(self.encode_piece(piece), "<u4").tobytes()
+        if len(piece) <= 64 and len(self.pieces) < MEMO_WORDS:
+            self.pieces[piece] = got
+        return got
 
     def _unit(self, unit: str) -> bytes:
         """Ids of a stretch without white space, as little-endian 32-bit integers."""
-        out = []
-        for piece in self.split_pieces(unit):
-            got = self.pieces.get(piece)
-            if got is None:
-                got = np.array(self.encode_piece(piece), "<u4").tobytes()
-                if len(piece) <= 64 and len(self.pieces) < MEMO_WORDS:
-                    self.pieces[piece] = got
-            out.append(got)
-        got = out[0] if len(out) == 1 else b"".join(out)
+        get, own = self.pieces.get, self._piece
+        got = b"".join([get(p) or own(p) for p in cut_unit(unit, self.pattern.findall)])
         if len(unit) <= 64 and len(self.memo) < MEMO_WORDS:
             self.memo[unit] = got
         return got
@@ -281,19 +288,17 @@ class LibraryUnits:
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        letters = self.letters
+        word = piece if piece.isascii() and piece.isprintable() else "".join([letters[b] for b in piece.encode("utf-8", "surrogatepass")])
+        got = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
+        if len(piece) <= 64 and len(self.pieces) < MEMO_WORDS:
+            self.pieces[piece] = got
+        return got
+
     def _unit(self, unit: str) -> bytes:
-        pieces, letters = self.pieces, self.letters
-        text = unit if unit.isascii() else unicodedata.normalize("NFC", unit).replace("Σ", "σ")
-        out = []
-        for piece in self.find(text.lower()):
-            got = pieces.get(piece)
-            if got is None:
-                word = piece if piece.isascii() and piece.isprintable() else "".join([letters[b] for b in piece.encode("utf-8", "surrogatepass")])
-                got = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
-                if len(piece) <= 64 and len(pieces) < MEMO_WORDS:
-                    pieces[piece] = got
-            out.append(got)
-        got = out[0] if len(out) == 1 else b"".join(out)
+        get, own = self.pieces.get, self._piece
+        got = b"".join([get(p) or own(p) for p in cut_unit(unit, self.find)])
         if len(unit) <= 64 and len(self.memo) < MEMO_WORDS:
             self.memo[unit] = got
         return got
