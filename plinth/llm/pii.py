@@ -231,7 +231,7 @@ def train(texts: list[str], steps: int = 60, rate: float = 0.5, decay: float = 0
     x, y = np.array(rows), np.array(truth)
     known = y >= 0
     target = np.eye(len(LABELS))[np.maximum(y, 0)]
-    arrays = {k: np.array([p for p in v if known[p[0]] and known[p[1]]]).reshape(-1, 2) for k, v in pairs.items()}
+    arrays = {k: np.array([p for p in v if known[p[0]] and known[p[1]]], np.int64).reshape(-1, 2) for k, v in pairs.items()}
     n = max(int(known.sum()), 1)
     for _ in range(steps):
         score = x @ w.unary
