@@ -38,9 +38,9 @@ def representative(df: DataFrame, key: str, member: str, size: str) -> DataFrame
 
     Sizes are counted before they are ranked, so a key is not gathered row by row.
     """
-    sizes = df.groupBy(key, size).agg(F.count(F.lit(1)).alias("n"))
+    sizes = df.groupBy(key, size).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(key).orderBy(size).rowsBetween(Window.unboundedPreceding, 0)
-    upto = sizes.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy(key)))
+    upto = sizes.withColumn("upto", F.sum("__n").over(w)).withColumn("total", F.sum("__n").over(Window.partitionBy(key)))
     median = upto.where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy(key).agg(F.min(size).cast("long").alias("median_size"))
     near = df.join(median, key).groupBy(key, "median_size").agg(F.min(F.struct(F.abs(F.col(size) - F.col("median_size")).alias("off"), F.col(member), F.col(size))).alias("m"))
     return near.select(key, F.col(f"m.{member}").alias(member), F.col(f"m.{size}").alias(size), "median_size")
