@@ -89,10 +89,13 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[Mention]:
     taken = sorted((s, e) for _, s, e in base)
     free = _Free(taken)
     if DIGIT.search(text):
-        for m in NUMBER.finditer(text):
-            digits = only_digits(m[0])
-            if len(digits) >= 7 and free(m.start(), m.end()):
-                out.append(Mention(m.start(), m.end(), m[0], -1, "d" + digits[-9:]))
+        at = 0
+        for s, e in [*taken, (len(text), len(text))]:  # numbers between the base spans
+            for m in NUMBER.finditer(text, at, s) if s > at else ():
+                digits = only_digits(m[0])
+                if len(digits) >= 7:
+                    out.append(Mention(m.start(), m.end(), m[0], -1, "d" + digits[-9:]))
+            at = max(at, e)
     if users:
         for m in WORD_MENTION.finditer(text):
             if m[0].lower() in users and free(m.start(), m.end()):
