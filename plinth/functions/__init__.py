@@ -1 +1 @@
-"""functions of the engine."""
+"""Scalar functions: patterns for paths, package names, text metrics, sequence similarity."""

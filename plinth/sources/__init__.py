@@ -1 +1 @@
-"""sources of the engine."""
+"""Sources and sinks: source listings, configuration, key-value and artifact stores, reports."""
