@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plinth.llm.common import documents, map_texts
+from plinth.llm.common import documents, map_texts, written
 from plinth.llm.wordbpe import default_vocabulary, library
 
 BLOCK = 2048
@@ -38,6 +38,7 @@ def length_histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
     """
     n = F.col("n_tokens")
     counts = lengths.select(F.col(length).cast("long").alias("n_tokens")).where(n.isNotNull()).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    counts = written(counts, "lengths")  # read twice below; without it the texts would be encoded twice
     counts = counts.withColumn("block", F.floor(n / BLOCK).cast("long")).withColumn("tokens", n * F.col("n_docs"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
