@@ -94,10 +94,10 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int =
     return out
 
 
-def cascade(rules: list[Rule]) -> Column:
-    """Name of the first rule that rejects, else null; over columns ``text`` and ``words``."""
+def sql_cascade(rules: list[Rule]) -> str:
+    """SQL for the name of the first rule that rejects, else null; over ``text`` and ``words``."""
     branches = " ".join(f"WHEN {r.rejects} THEN '{r.name}'" for r in rules)
-    return F.expr(f"CASE {branches} END")
+    return f"CASE {branches} END"
 
 
 def quality_verdicts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -133,7 +133,7 @@ def quality_verdicts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules
             sql = sql.replace(long, short)
         cheap.append(Rule(r.name, sql, r.per_char, r.per_word))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    judged = measured.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), cascade(cheap).alias("rejected_by"))
+    judged = measured.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), F.expr(sql_cascade(cheap)).alias("rejected_by"))
     return judged.withColumn("kept", F.col("rejected_by").isNull()).select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
@@ -141,8 +141,9 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with all their columns; the cascade stops at a row's first rejection."""
     ordered = order_rules(docs, rules)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    inner = docs.select(row.alias("row"), F.coalesce("text", F.lit("")).alias("text")).withColumn("words", F.expr(sql_words("text")))
-    return inner.where(cascade(ordered).isNull()).select("row.*")
+    inner = docs.select(row.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    # The words are bound within the condition: as a column they would be split anew for each rule that names them.
+    return inner.where(let(sql_words("text"), "words", sql_cascade(ordered)) + " IS NULL").select("row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

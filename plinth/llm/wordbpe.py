@@ -20,9 +20,12 @@ import regex
 
 #: Characters at which ``str.split`` splits but the tokenizer's ``\\s`` does not.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Words kept per process; frequent words come early, so the memo is simply not extended beyond this.
-MEMO_WORDS = 400_000
-MEMO_PAIRS = 400_000
+#: Words and pieces kept per process; frequent ones come early, so a memo is simply not extended beyond this.
+MEMO_WORDS, MEMO_PIECES = 200_000, 250_000
+LIBRARY_WORDS, LIBRARY_PIECES = 300_000, 400_000
+MEMO_PAIRS = 200_000
+#: Up to here (Latin Extended-B) letters and marks are alike in all versions of Unicode in use.
+LAST_LATIN = "\u024f"
 
 
 def default_vocabulary() -> str:
@@ -45,18 +48,39 @@ def byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-def cut_unit(unit: str, find) -> list[str]:
-    """Normalised pre-tokens of a stretch without white space and special tokens; ``find`` is the file's pattern.
+class Cutter:
+    """Cuts a stretch without white space and special tokens into normalised pre-tokens.
 
-    A word of letters, with or without one closing mark, needs no pattern. Lower case
-    is taken letter by letter, so a closing sigma is like any other.
+    Words of Latin letters, with or without one closing mark, need no pattern, and
+    other Latin stretches meet the file's pattern here. Beyond Latin, where Unicode
+    versions differ, the library's own normaliser and splitter decide.
     """
-    text = unit.lower() if unit.isascii() else unicodedata.normalize("NFC", unit).replace("Σ", "σ").lower()
-    if text.isalpha():
-        return [text]
-    if text[-1] in ".,!|;:" and (head := text[:-1]).isalpha():
-        return [head, text[-1]]
-    return find(text)
+
+    def __init__(self, path: str, pattern: str):
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        self.normalize, self.split = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
+        self.find = regex.compile(pattern, regex.V1).findall
+        self.byte = {c: b for b, c in enumerate(byte_letters())}
+
+    def __call__(self, unit: str) -> list[str]:
+        if unit.isascii():
+            text = unit.lower()
+        elif max(unit) <= LAST_LATIN:
+            text = unicodedata.normalize("NFC", unit).lower()
+            if max(text) > LAST_LATIN:
+                return self.beyond(unit)
+        else:
+            return self.beyond(unit)
+        if text.isalpha():
+            return [text]
+        if text[-1] in ".,!|;:" and (head := text[:-1]).isalpha():
+            return [head, text[-1]]
+        return self.find(text)
+
+    def beyond(self, unit: str) -> list[str]:
+        return [bytes([self.byte[c] for c in piece]).decode("utf-8", "surrogatepass") for piece, _ in self.split(self.normalize(unit))]
 
 
 class Unsupported(ValueError):
@@ -85,7 +109,7 @@ class WordBpe:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pattern = regex.compile(pre[0]["pattern"]["Regex"], regex.V1)
+        self.cut = Cutter(path, pre[0]["pattern"]["Regex"])
 
         # Ranks: single symbols first, then merges in order; a word's last symbol is a symbol of its own.
         letters = byte_letters()
@@ -192,14 +216,14 @@ class WordBpe:
 
     def _piece(self, piece: str) -> bytes:
         got = np.array(self.encode_piece(piece), "<u4").tobytes()
-        if len(piece) <= 64 and len(self.pieces) < MEMO_WORDS:
+        if len(piece) <= 64 and len(self.pieces) < MEMO_PIECES:
             self.pieces[piece] = got
         return got
 
     def _unit(self, unit: str) -> bytes:
         """Ids of a stretch without white space, as little-endian 32-bit integers."""
         get, own = self.pieces.get, self._piece
-        got = b"".join([get(p) or own(p) for p in cut_unit(unit, self.pattern.findall)])
+        got = b"".join([get(p) or own(p) for p in self.cut(unit)])
         if len(unit) <= 64 and len(self.memo) < MEMO_WORDS:
             self.memo[unit] = got
         return got
@@ -280,7 +304,7 @@ class LibraryUnits:
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
         self.plain = kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and not spec["post_processor"]
         if self.plain:
-            self.find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], regex.V1).findall
+            self.cut = Cutter(path, spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.letters = byte_letters()
         self.memo: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -292,14 +316,14 @@ class LibraryUnits:
         letters = self.letters
         word = piece if piece.isascii() and piece.isprintable() else "".join([letters[b] for b in piece.encode("utf-8", "surrogatepass")])
         got = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
-        if len(piece) <= 64 and len(self.pieces) < MEMO_WORDS:
+        if len(piece) <= 64 and len(self.pieces) < LIBRARY_PIECES:
             self.pieces[piece] = got
         return got
 
     def _unit(self, unit: str) -> bytes:
         get, own = self.pieces.get, self._piece
-        got = b"".join([get(p) or own(p) for p in cut_unit(unit, self.find)])
-        if len(unit) <= 64 and len(self.memo) < MEMO_WORDS:
+        got = b"".join([get(p) or own(p) for p in self.cut(unit)])
+        if len(unit) <= 64 and len(self.memo) < LIBRARY_WORDS:
             self.memo[unit] = got
         return got
 
