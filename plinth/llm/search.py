@@ -1,18 +1,22 @@
 """Operator 2: exact BM25 top-k search over an inverted index with block-max pruning.
 
-Index: documents are dealt in turn to shards of bounded size. A task
-builds one shard's postings and writes them as arrays: terms in order of their
-64-bit hashes, and for each term its blocks of ``BLOCK`` neighbouring documents with
-the largest term weight in the block. Documents of a shard are ordered by language
-of their commonest words, so that blocks hold like documents.
-
-Statistics (document frequencies, number of documents, mean length) are global, so
-a score does not depend on the shard and merging the shards' top k is exact.
-
-Search: for a block of queries and a shard, each query first adds up its terms'
-block maxima, which bounds every document of a block. Blocks are scored from the
-greatest bound down; when a bound falls below the k-th best score so far, all
-blocks that remain are passed over. No document that could enter the top k is.
+Statistics (document frequencies, number of documents, mean length) are global and
+come from one pass over all texts, so a score does not depend on a shard and
+merging the shards' top k is exact.
+
+Documents are dealt in turn to shards of bounded size. A task indexes one shard:
+terms in order of their 64-bit hashes, and for each term its blocks of ``BLOCK``
+neighbouring documents with the largest term weight in the block. Documents of a
+shard are ordered by their commonest word, so that blocks hold like documents.
+
+Search: queries come in blocks of bounded number, each block with one dictionary of
+its terms. A query first adds up its terms' block maxima, which bounds every
+document of a block of documents. Blocks are scored from the greatest bound down;
+when a bound falls below the k-th best score so far, all blocks that remain are
+passed over. No document that could enter the top k is.
+
+Shuffled are: term counts, combined by task; each text once for each block of
+queries; each block of queries once for each shard.
 """
 
 from __future__ import annotations
@@ -22,7 +26,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +33,9 @@ from plinth.llm.common import documents, row_count, written
 
 K1, B = 1.2, 0.75
 #: Documents of a shard and of a block, queries that go to a shard at a time, decimals of a score.
-SHARD_DOCS, BLOCK, QUERY_BLOCK, DECIMALS = 16384, 32, 2048, 6
+SHARD_DOCS, BLOCK, QUERY_BLOCK, DECIMALS = 8192, 32, 8192, 6
+#: Stands for a null key inside a shard.
+NO_KEY = -1 << 62
 
 
 @lru_cache(maxsize=1)
@@ -67,69 +72,78 @@ def vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return h, n.astype(np.int32)
 
 
-VECTOR = "doc_id long, shard int, hashes binary, counts binary, length long, likeness long"
+def vectors(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' term hashes and counts end to end, and the number of terms of each text."""
+    made = [vector(t) for t in texts]
+    sizes = np.array([len(h) for h, _ in made], np.int64)
+    return (np.concatenate([h for h, _ in made]) if made else np.zeros(0, np.int64)), (np.concatenate([n for _, n in made]) if made else np.zeros(0, np.int32)), sizes
 
 
-def vectors(docs: DataFrame, shards: int) -> DataFrame:
-    """Each document's terms, its shard and a value by which like documents stand together."""
+def term_statistics(docs: DataFrame) -> DataFrame:
+    """``term, df`` over all texts; the row whose term is null has the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = TaskContext.get().partitionId() * 7919
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                made = [vector(t) for t in part.column(1).to_pylist()]
-                own = (np.arange(place, place + len(made)) % shards).astype(np.int32)
-                place += len(made)
-                like = [int(h[n.argmax()]) if len(h) else 0 for h, n in made]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(own), pa.array([h.tobytes() for h, _ in made], pa.binary()), pa.array([n.tobytes() for _, n in made], pa.binary()), pa.array([int(n.sum()) for _, n in made], pa.int64()), pa.array(like, pa.int64())],
-                    names=[p.split()[0] for p in VECTOR.split(", ")],
-                )
+            for i in range(0, b.num_rows, 1024):
+                hashes, counts, _ = vectors(b.column(0).slice(i, 1024).to_pylist())
+                terms, df = np.unique(hashes, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([int(counts.sum())], pa.int64())], names=["term", "df"])
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(df.astype(np.int64))], names=["term", "df"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, VECTOR)
+    return docs.select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-INDEX = "shard int, docs binary, lengths binary, terms binary, entries binary, blocks binary, posts binary, members binary, counts binary"
+QUERIES = "block int, ids binary, cuts binary, places binary, counts binary, terms binary, df binary"
 
 
-def build_index(found: DataFrame, shards: int) -> DataFrame:
-    """One row a shard: ``docs``, ``lengths``; ``terms`` with ``entries`` (first block entry of each);
-    ``blocks`` with ``posts`` (first posting of each entry); ``members`` and ``counts`` of the postings."""
+def query_blocks(parts: DataFrame) -> DataFrame:
+    """Rows ``block, query_id, term, n, df`` to one row a block: a dictionary of its terms, and each query's places in it."""
 
     def build(table: pa.Table) -> pa.Table:
-        order = np.lexsort((np.array(table.column("doc_id").fill_null(-1 << 62)), np.array(table.column("likeness"))))
-        hs, ns = table.column("hashes").to_pylist(), table.column("counts").to_pylist()
-        docs = np.array(table.column("doc_id").fill_null(-1 << 62))[order]
-        hashes = np.concatenate([np.frombuffer(hs[i], np.int64) for i in order])
-        counts = np.concatenate([np.frombuffer(ns[i], np.int32) for i in order])
-        members = np.repeat(np.arange(len(order), dtype=np.int32), [len(ns[i]) // 4 for i in order])
-        by = np.argsort(hashes, kind="stable")
-        hashes, counts, members = hashes[by], counts[by], members[by]
-        block = members // BLOCK
+        ids, terms = np.array(table.column("query_id")), np.array(table.column("term"))
+        order = np.lexsort((terms, ids))
+        ids, terms, n, df = ids[order], terms[order], np.array(table.column("n"))[order], np.array(table.column("df"))[order]
+        known, first, places = np.unique(terms, return_index=True, return_inverse=True)
+        queries, cuts = np.unique(ids, return_index=True)
+        blobs = [queries, np.append(cuts, len(ids)).astype(np.int64), places.astype(np.int32), n.astype(np.int32), known, df[first].astype(np.int64)]
+        return pa.Table.from_arrays([pa.array([table.column("block")[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=[p.split()[0] for p in QUERIES.split(", ")])
+
+    return parts.groupBy("block").applyInArrow(build, QUERIES)
+
+
+class Shard:
+    """The inverted index of one shard, with term weights under the global statistics."""
+
+    def __init__(self, keys: np.ndarray, batches, mean: float):
+        made = [vectors(texts) for texts in batches]
+        hashes, counts, sizes = (np.concatenate([m[k] for m in made]) if made else np.zeros(0, np.int64) for k in range(3))
+        made.clear()
+        starts = np.cumsum(sizes) - sizes
+        lengths = np.add.reduceat(np.append(counts, 0), starts) * (sizes > 0) if len(sizes) else np.zeros(0)
+        like = np.zeros(len(sizes), np.int64)
+        top = np.maximum.reduceat(np.append(counts, 0), starts) if len(sizes) else np.zeros(0)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        most = np.flatnonzero(counts == top[owner]) if len(counts) else np.zeros(0, np.int64)
+        like[owner[most][::-1]] = hashes[most][::-1]
+        order = np.lexsort((keys, like))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.docs = keys[order]
+        norm = (K1 * (1 - B + B * lengths / mean) if mean else np.full(len(lengths), K1))[order]
+        members = rank[owner] if len(owner) else owner
+        by = np.lexsort((members, hashes))
+        hashes, counts, self.members = hashes[by], counts[by], members[by]
         new_term = np.ones(len(hashes), bool)
         new_term[1:] = hashes[1:] != hashes[:-1]
         new_entry = new_term.copy()
+        block = self.members // BLOCK
         new_entry[1:] |= block[1:] != block[:-1]
         posts = np.flatnonzero(new_entry)
-        entries = np.searchsorted(posts, np.flatnonzero(new_term))
-        blobs = [docs, np.array(table.column("length"))[order], hashes[new_term], np.append(entries, len(posts)).astype(np.int64), block[posts].astype(np.int32), np.append(posts, len(hashes)).astype(np.int64), members, counts]
-        return pa.Table.from_arrays([pa.array([table.column("shard")[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=[p.split()[0] for p in INDEX.split(", ")])
-
-    return found.groupBy("shard").applyInArrow(build, INDEX)
-
-
-class Shard:
-    """One shard's arrays with term weights under the global statistics."""
-
-    def __init__(self, row: dict, mean: float):
-        get = lambda name, kind: np.frombuffer(row[name], kind)
-        self.docs, lengths = get("docs", np.int64), get("lengths", np.int64)
-        self.terms, self.entries, self.blocks, self.posts = get("terms", np.int64), get("entries", np.int64), get("blocks", np.int32), get("posts", np.int64)
-        self.members, counts = get("members", np.int32), get("counts", np.int32)
-        norm = K1 * (1 - B + B * lengths / mean) if mean else np.full(len(lengths), K1)
-        self.weight = counts * (K1 + 1) / (counts + norm[self.members])
-        self.most = np.maximum.reduceat(self.weight, self.posts[:-1]) if len(counts) else np.zeros(0)
+        self.terms, self.blocks = hashes[new_term], block[posts]
+        self.entries = np.append(np.searchsorted(posts, np.flatnonzero(new_term)), len(posts))
+        self.posts = np.append(posts, len(hashes))
+        self.weight = counts * (K1 + 1) / (counts + norm[self.members]) if len(counts) else np.zeros(0)
+        self.most = np.maximum.reduceat(self.weight, posts) if len(counts) else np.zeros(0)
 
     def top(self, hashes: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k best documents with a term of the query, by rounded score and then by key."""
@@ -187,60 +201,51 @@ def search(docs: DataFrame, is_query, k: int = 10) -> DataFrame:
     The texts of the query rows are the queries, against all rows, their own included.
     Scores are rounded to 6 decimals; ties go to the smaller key. Queries without a
     word, null texts among them, and rows without a word of the query give no row.
-    Repeated rows are rows of their own. Rows whose key is null can be found (their
-    ``doc_id`` is null) but are no queries. An empty table gives no rows.
+    Repeated rows are found each for itself and ask once, with the
+    first of their texts. Rows
+    whose key is null can be found (their ``doc_id`` is null) but are no queries. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     n = row_count(docs)
     shards = max(1, -(-n // SHARD_DOCS))
-    found = written(vectors(docs, shards), "vectors")
-    mean = found.agg(F.avg("length")).first()[0] or 0.0
-    index = written(build_index(found, shards), "index")
-    asked = found.where(is_query & F.col("doc_id").isNotNull() & (F.col("length") > 0)).select("doc_id", "hashes", "counts")
+    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = written(term_statistics(frame), "terms")
+    words = known.where("term is null").agg(F.sum("df")).first()[0] or 0
+    mean = words / n if n else 0.0
+    asked = frame.where(is_query & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
-            ns = [np.frombuffer(x, np.int32) for x in b.column(2).to_pylist()]
-            if hs:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(hs)), [len(h) for h in hs]))), pa.array(np.concatenate(hs)), pa.array(np.concatenate(ns))], names=["query_id", "term", "n"])
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                terms, entries, posts = np.frombuffer(r["terms"], np.int64), np.frombuffer(r["entries"], np.int64), np.frombuffer(r["posts"], np.int64)
-                df = posts[entries[1:]] - posts[entries[:-1]]
-                for i in range(0, len(terms), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(terms[i : i + (1 << 16)]), pa.array(df[i : i + (1 << 16)])], names=["term", "df"])
+            for i in range(0, b.num_rows, 512):
+                hashes, counts, sizes = vectors(b.column(1).slice(i, 512).to_pylist())
+                ids = b.column(0).slice(i, 512).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(hashes), pa.array(counts)], names=["query_id", "term", "n"])
 
     parts = asked.mapInArrow(rows, "query_id long, term long, n int")
-    df = index.select("terms", "entries", "posts").mapInArrow(frequencies, "term long, df long")
-    known = df.join(parts.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
-    idf = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = parts.join(known, "term").withColumn("weight", F.col("n") * idf)
-    queries = written(weighed.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("terms")), "queries")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    sent = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    weighed = written(parts.join(known, "term"), "queries")
+    blocks = max(1, -(-weighed.agg(F.count_distinct("query_id")).first()[0] // QUERY_BLOCK))
+    asked_blocks = written(query_blocks(weighed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))), "query-blocks")
+    sent = asked_blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    dealt = frame.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
+    held = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out_q, out_s, out_d = [], [], []
         if left.num_rows and right.num_rows:
-            shard = Shard({c: right.column(c)[0].as_py() for c in right.column_names if c not in ("shard", "block")}, mean)
-            for batch in left.select(["query_id", "terms"]).to_batches(max_chunksize=256):
-                lists = batch.column(1)
-                flat = lists.flatten()
-                hashes, weights = np.asarray(flat.field("term")), np.asarray(flat.field("weight"))
-                cuts = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
-                for q, i, j in zip(batch.column(0).to_pylist(), cuts, cuts[1:], strict=False):
-                    for score, doc in shard.top(hashes[i:j], weights[i:j], k):
-                        out_q.append(q)
-                        out_s.append(score)
-                        out_d.append(None if doc == -1 << 62 else doc)
+            get = lambda name, kind: np.frombuffer(left.column(name)[0].as_buffer(), kind)
+            keys = right.column("doc_id").fill_null(NO_KEY).to_numpy()
+            shard = Shard(keys, (b.column(0).to_pylist() for b in right.select(["text"]).to_batches(max_chunksize=512)), mean)
+            ids, cuts, places, counts, terms, df = (get(*x) for x in (("ids", "<i8"), ("cuts", "<i8"), ("places", "<i4"), ("counts", "<i4"), ("terms", "<i8"), ("df", "<i8")))
+            idf = np.log1p((n - df + 0.5) / (df + 0.5))
+            for q, i, j in zip(ids.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                at = places[i:j]
+                for score, doc in shard.top(terms[at], counts[i:j] * idf[at], k):
+                    out_q.append(q)
+                    out_s.append(score)
+                    out_d.append(None if doc == NO_KEY else doc)
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "doc_id": pa.array(out_d, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
-    keys = ("shard", "block")
-    found_in = sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(run, "query_id long, doc_id long, score double")
+    by = ("shard", "block")
+    found_in = sent.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(run, "query_id long, doc_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first())
     return found_in.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
