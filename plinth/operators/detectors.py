@@ -233,3 +233,117 @@ def member_order(nodes: DataFrame) -> DataFrame:
     members = nodes.where("key = 'body' and type in ('PropertyDefinition', 'StaticBlock', 'MethodDefinition')").where(~(F.coalesce(F.element_at("attrs", "kind") == "set", F.lit(False)))).withColumn("rank", rank)
     w = Window.partitionBy("path", "parent_id").orderBy("child_ix").rowsBetween(Window.unboundedPreceding, -1)
     return members.withColumn("before", F.max("rank").over(w)).where("rank < before").select("path", "line", F.element_at("attrs", "name").alias("name"), "rank", "before")
+
+
+# -- indirection
+
+
+def thin_wrappers(nodes: DataFrame, relations: DataFrame) -> DataFrame:
+    """``path, fn_id, line, name, callee``: named functions that only pass their parameters on, one for one, to a free name.
+
+    Async and exported functions, overloaded names, wrappers of themselves and those
+    whose name is mentioned other than in a call are held.
+    """
+    fns = nodes.where("type = 'FunctionDeclaration' and element_at(attrs, 'is_async') is null").select("path", "node_id", "line", "parent_id")
+    kid = children(nodes.withColumn("end_off", F.col("end_off")), "c").join(nodes.select("path", F.col("node_id").alias("c_node_id"), F.element_at("attrs", "name").alias("c_name"), F.col("attrs").alias("c_attrs")), ["path", "c_node_id"])
+    own = kid.where("c_key = 'id'").select("path", "node_id", F.col("c_name").alias("name"))
+    gather = lambda key, out: kid.where(F.col("c_key") == key).groupBy("path", "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_child_ix", F.coalesce("c_name", F.lit("?")).alias("n"), "c_type"))), lambda x: F.concat_ws(":", x["c_type"], x["n"])).alias(out))
+    params = gather("params", "params")
+    body = kid.where("c_key = 'body' and c_type = 'BlockStatement'").select("path", "node_id", F.col("c_node_id").alias("block"))
+    only = kid.where("c_key = 'body'").groupBy("path", F.col("node_id").alias("block")).agg(F.count("*").alias("n"), F.first("c_node_id").alias("stmt"), F.first("c_type").alias("stmt_type")).where("n = 1 and stmt_type in ('ReturnStatement', 'ExpressionStatement')")
+    call = kid.where("c_type = 'CallExpression' and c_key in ('argument', 'expression')").select("path", F.col("node_id").alias("stmt"), F.col("c_node_id").alias("call"))
+    callee = kid.where("c_key = 'callee' and c_type = 'Identifier'").select("path", F.col("node_id").alias("call"), F.col("c_name").alias("callee"))
+    args = gather("arguments", "args").withColumnRenamed("node_id", "call")
+    shaped = fns.join(own, ["path", "node_id"]).join(body, ["path", "node_id"]).join(only, ["path", "block"]).join(call, ["path", "stmt"]).join(callee, ["path", "call"])
+    none = F.array().cast("array<string>")
+    full = shaped.join(params, ["path", "node_id"], "left").join(args, ["path", "call"], "left")
+    passed = full.where(F.coalesce("params", none) == F.coalesce("args", none)).where(~F.exists(F.coalesce("params", none), lambda p: ~p.startswith("Identifier:"))).where("callee <> name").where(~F.array_contains(F.coalesce("params", none), F.concat(F.lit("Identifier:"), F.col("callee"))))
+    exported = relations.where("type = 'exports'").select("path", F.col("imported").alias("name")).union(relations.where("type = 'exports'").select("path", "local")).distinct()
+    twice = fns.join(own, ["path", "node_id"]).groupBy("path", "name").count().where("count > 1").select("path", "name")
+    escapes = nodes.where("type = 'Identifier' and key not in ('callee', 'id')").select("path", F.element_at("attrs", "name").alias("name")).distinct()
+    out = passed.join(exported, ["path", "name"], "left_anti").join(twice, ["path", "name"], "left_anti").join(escapes, ["path", "name"], "left_anti")
+    return out.select("path", F.col("node_id").alias("fn_id"), "line", "name", "callee")
+
+
+def forward_chains(wrappers: DataFrame, max_depth: int = 1) -> DataFrame:
+    """``path, name, depth`` of wrappers whose chain of wrappers in the file is longer than ``max_depth``; rings are not reported."""
+    from plinth.operators.graph import chain_depths
+
+    key = lambda c: F.concat_ws("\x00", "path", c)
+    depths = chain_depths(wrappers.select(key("name").alias("u"), key("callee").alias("v")))
+    return depths.where(F.col("depth") > max_depth).select(F.split("node", "\x00")[0].alias("path"), F.split("node", "\x00")[1].alias("name"), "depth")
+
+
+def type_remaps(nodes: DataFrame) -> DataFrame:
+    """Aliases of a bare type name without parameters: ``path, line``."""
+    alias = nodes.where("type = 'TSTypeAliasDeclaration' and element_at(attrs, 'declare') is null").select("path", "node_id", "line")
+    kid = nodes.select("path", F.col("parent_id").alias("node_id"), "key", F.element_at("attrs", "text").alias("text"))
+    generic = kid.where("key = 'typeParameters'").select("path", "node_id")
+    plain = "any unknown never string number boolean bigint symbol void null undefined object".split()
+    bare = kid.where((F.col("key") == "typeAnnotation") & F.col("text").rlike(r"^[A-Za-z_$][\w$.]*$") & ~F.col("text").isin(*plain)).select("path", "node_id")
+    return alias.join(bare, ["path", "node_id"]).join(generic, ["path", "node_id"], "left_anti").select("path", "line")
+
+
+def interface_rewraps(nodes: DataFrame) -> DataFrame:
+    """Empty interfaces without parameters that extend exactly one: ``path, line``."""
+    own = nodes.where("type = 'TSInterfaceDeclaration'").select("path", "node_id", "line")
+    kid = nodes.select("path", F.col("parent_id").alias("node_id"), "key", "type", F.element_at("attrs", "empty").alias("empty"))
+    one = kid.where("key = 'extends'").groupBy("path", "node_id").count().where("count = 1").select("path", "node_id")
+    empty = kid.where("type = 'TSInterfaceBody' and empty = 'True'").select("path", "node_id")
+    generic = kid.where("key = 'typeParameters'").select("path", "node_id")
+    return own.join(one, ["path", "node_id"]).join(empty, ["path", "node_id"]).join(generic, ["path", "node_id"], "left_anti").select("path", "line")
+
+
+# -- error flow, as far as syntax alone decides
+
+
+def error_flow(nodes: DataFrame) -> DataFrame:
+    """``path, line, kind``: thrown literals, async promise executors, jumps out of ``finally``, empty ``catch``, lost causes, async callbacks of array methods.
+
+    What needs types is held.
+    """
+    kid = children(nodes, "c").join(nodes.select("path", F.col("node_id").alias("c_node_id"), F.col("attrs").alias("c_attrs"), F.col("pre").alias("cp"), F.col("post").alias("cq")), ["path", "c_node_id"])
+    at = nodes.select("path", "node_id", "type", "line", "pre", "post", "fn_id")
+    found = lambda df, kind: df.select("path", "line", F.lit(kind).alias("kind"))
+    thrown = at.where("type = 'ThrowStatement'").join(kid.where("c_key = 'argument' and (c_type in ('TemplateLiteral', 'ObjectExpression', 'ArrayExpression') or c_type = 'Literal')").select("path", "node_id"), ["path", "node_id"])
+    named = lambda name: kid.where((F.col("c_key") == "callee") & (F.col("c_type") == "Identifier") & (F.element_at("c_attrs", "name") == name)).select("path", "node_id")
+    is_async = F.col("c_type").isin(*FUNCTION_TYPES) & (F.element_at("c_attrs", "is_async") == "True")
+    with_async = kid.where((F.col("c_key") == "arguments") & is_async).select("path", "node_id").distinct()
+    executor = at.where("type = 'NewExpression'").join(named("Promise"), ["path", "node_id"]).join(with_async, ["path", "node_id"])
+    final = kid.where("c_key = 'finalizer'").select("path", F.col("cp").alias("f_pre"), F.col("cq").alias("f_post"), F.col("c_node_id").alias("block"))
+    block_fn = final.join(at.select("path", F.col("node_id").alias("block"), F.col("fn_id").alias("f_fn")), ["path", "block"])
+    jumps = at.where("type in ('ReturnStatement', 'ThrowStatement')").join(block_fn, "path").where("f_pre < pre and pre <= f_post and fn_id = f_fn")
+    clause = at.where("type = 'CatchClause'")
+    bodies = kid.where("c_key = 'body' and c_type = 'BlockStatement'").select("path", "node_id", F.col("c_node_id").alias("block"))
+    filled = nodes.select("path", F.col("parent_id").alias("block")).distinct()
+    empty = clause.join(bodies, ["path", "node_id"]).join(filled, ["path", "block"], "left_anti")
+    errors = at.where("type = 'NewExpression'").join(named("Error"), ["path", "node_id"])
+    caused = kid.where((F.col("c_key") == "arguments") & (F.col("c_type") == "ObjectExpression")).select("path", "node_id").distinct()
+    throws = nodes.where("type = 'NewExpression' and key = 'argument'").join(nodes.where("type = 'ThrowStatement'").select("path", F.col("node_id").alias("parent_id")), ["path", "parent_id"]).select("path", "node_id")
+    inside = errors.join(throws, ["path", "node_id"]).join(caused, ["path", "node_id"], "left_anti").join(clause.select("path", F.col("pre").alias("k_pre"), F.col("post").alias("k_post"), F.col("fn_id").alias("k_fn")), "path").where("k_pre < pre and pre <= k_post and fn_id = k_fn")
+    method = kid.where((F.col("c_key") == "callee") & (F.col("c_type") == "MemberExpression") & F.element_at("c_attrs", "name").isin("forEach", "filter", "some", "every", "find", "findIndex", "sort")).select("path", "node_id")
+    misused = at.where("type = 'CallExpression'").join(method, ["path", "node_id"]).join(with_async, ["path", "node_id"])
+    parts = [found(thrown, "throw-non-error"), found(executor, "promise-constructor-hygiene"), found(jumps, "unsafe-finally"), found(empty, "empty-catch"), found(inside, "missing-error-cause"), found(misused, "misused-promises")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def circular_dependencies(resolved: DataFrame) -> DataFrame:
+    """``component, ix, node`` of one cycle of each strongly connected group of files; type-only imports do not count."""
+    from plinth.operators.graph import greedy_cycles, strongly_connected
+
+    edges = resolved.where("target is not null and type in ('imports', 're-exports') and not is_type and path <> target").select(F.col("path").alias("u"), F.col("target").alias("v")).distinct()
+    return greedy_cycles(edges, strongly_connected(edges))
+
+
+def unused_files(resolved: DataFrame, files: DataFrame, entries: DataFrame) -> DataFrame:
+    """Files that no entry reaches over imports (G1); without entries nothing is told."""
+    from plinth.operators.graph import reachable
+
+    if entries.isEmpty():
+        return files.select("path").limit(0)
+    edges = resolved.where("target is not null").select(F.col("path").alias("u"), F.col("target").alias("v")).distinct()
+    seen = reachable(edges, entries.select(F.col("path").alias("node"))).select(F.col("node").alias("path"))
+    return files.select("path").join(seen, "path", "left_anti")

@@ -126,3 +126,36 @@ def test_file_order_does_not_matter(files):
     one = D.clone_tiers(facts.fingerprints(files(a=a, b=a))).collect()
     two = D.clone_tiers(facts.fingerprints(files(b=a, a=a))).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, two))
+
+
+def test_indirection(files):
+    src = "function a(x, y) { return b(x, y); } function b(x, y) { return c(x, y); } function c(x, y) { return x + y; } export function d(x) { return c(x); } function e(x) { return c(x, 1); } function g(x) { return c(x); } call(g); a(1, 2); type T = U; type V<A> = A; interface I extends J {} interface K { a: 1 }"
+    f = files(a=src)
+    nodes, rel = facts.ast_nodes(f), facts.relations(f)
+    wrappers = D.thin_wrappers(nodes, rel).cache()
+    assert sorted((r["name"], r["callee"]) for r in wrappers.collect()) == [("a", "b"), ("b", "c")]
+    assert [(r["name"], r["depth"]) for r in D.forward_chains(wrappers).collect()] == [("a", 2)]
+    assert D.type_remaps(nodes).count() == 1 and D.interface_rewraps(nodes).count() == 1
+
+
+def test_error_flow(files):
+    src = """throw 'x';
+new Promise(async (r) => r(1));
+function f() { try { g(); } finally { return 1; } }
+try { g(); } catch {}
+try { g(); } catch (e) { throw new Error('a'); }
+try { g(); } catch (e) { throw new Error('a', { cause: e }); }
+xs.forEach(async (x) => x);
+function ok() { try { g(); } catch (e) { h(e); } finally { k(() => { return 1; }); } throw new Error('b'); }
+"""
+    got = sorted((r["line"], r["kind"]) for r in D.error_flow(facts.ast_nodes(files(a=src))).collect())
+    assert got == [(1, "throw-non-error"), (2, "promise-constructor-hygiene"), (3, "unsafe-finally"), (4, "empty-catch"), (5, "missing-error-cause"), (7, "misused-promises")]
+
+
+def test_file_graph(files, spark):
+    f = files(a="import { b } from './b'; b();", b="import { c } from './c'; export const b = c;", c="import { b } from './b'; import type { T } from './d'; export const c = b;", d="import { a } from './c'; export type T = 1;", e="export {}")
+    res = D.resolved_relations(facts.relations(f), f).cache()
+    assert [r["node"] for r in D.circular_dependencies(res).orderBy("ix").collect()] == ["b.ts", "c.ts"]
+    entries = spark.createDataFrame([("a.ts",)], "path string")
+    assert [r["path"] for r in D.unused_files(res, f, entries).collect()] == ["e.ts"]
+    assert D.unused_files(res, f, entries.limit(0)).count() == 0
