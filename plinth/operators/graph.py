@@ -118,7 +118,7 @@ def chain_depths(edges: DataFrame, cycle_depth: int = -1) -> DataFrame:
     By pointer jumping: each round doubles the steps, so rounds grow with the
     logarithm of the longest chain.
     """
-    jump = written(edges.select(F.col("u").alias("node"), F.col("v").alias("to"), F.lit(1).cast("long").alias("steps")), "jump")
+    jump = written(edges.select(F.col("u").alias("node"), F.col("v").alias("to"), F.lit(1).cast("long").alias("steps"), F.lit(False).alias("open")), "jump")
     n = jump.count()
     rounds = 0
     while (1 << rounds) <= 2 * n:
@@ -127,8 +127,6 @@ def chain_depths(edges: DataFrame, cycle_depth: int = -1) -> DataFrame:
         rounds += 1
         if jump.where("open").isEmpty():
             break
-        jump_open = "open"
-        jump = jump.select("node", "to", "steps", jump_open)
     return jump.select("node", F.when(F.col("open"), F.lit(cycle_depth)).otherwise(F.col("steps")).cast("long").alias("depth"))
 
 
