@@ -120,6 +120,32 @@ def definition_verdicts(keys: list[str], edges: DataFrame, defs: DataFrame, uses
     return table.groupBy(*keys).applyInPandas(run, f"{key_schema}, def_id long, var string, n_uses long, overwritten boolean")
 
 
+def def_use_pairs(keys: list[str], edges: DataFrame, defs: DataFrame, uses: DataFrame, entry: int = 0) -> DataFrame:
+    """``keys, def_id, var, use_id``: every use that a definition reaches; ``uses`` also has ``use_id``."""
+    key_schema = ", ".join(f"{k} {edges.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        links, defs_, _ = _tables(pdf)
+        uses_ = [tuple(x) for x in pdf.loc[pdf.kind == "use", ["a", "name", "ix"]].itertuples(index=False, name=None)]
+        bit = {int(d): 1 << i for i, (_, d, _, _) in enumerate(defs_)}
+        of_var: dict = defaultdict(int)
+        last: dict = {}
+        for n, d, v, _ in defs_:
+            of_var[v] |= bit[int(d)]
+            last[n, v] = bit[int(d)]
+        gen: dict = defaultdict(int)
+        kill: dict = defaultdict(int)
+        for (n, v), b in last.items():
+            gen[n] |= b
+            kill[n] |= of_var[v] & ~b
+        into = reaching_fixpoint([(int(s), int(d)) for s, d in links], gen, kill, entry)
+        rows = [(*key, int(d), v, int(u)) for n, v, u in uses_ for _, d, w, _ in defs_ if w == v and into.get(n, 0) & bit[int(d)]]
+        return pd.DataFrame(rows, columns=[*keys, "def_id", "var", "use_id"])
+
+    with_ids = facts(keys, edges, defs, uses.limit(0)).union(uses.select(*keys, F.lit("use"), F.col("node").cast("long"), F.lit(None).cast("long"), "var", F.col("use_id").cast("long")))
+    return with_ids.groupBy(*keys).applyInPandas(run, f"{key_schema}, def_id long, var string, use_id long").distinct()
+
+
 def liveness(keys: list[str], edges: DataFrame, defs: DataFrame, uses: DataFrame) -> DataFrame:
     """``keys, max_live, at_node``: most variables live at a node's start and the first node where."""
     key_schema = ", ".join(f"{k} {edges.schema[k].dataType.simpleString()}" for k in keys)

@@ -15,7 +15,7 @@ from plinth.operators import detectors as D
 from plinth.operators import metrics, report
 from plinth.operators.tables import ship_package, written
 from plinth.sources import facts
-from plinth.sources.control_flow import dead_store_findings
+from plinth.sources.control_flow import dead_store_findings, lifetime_findings, pressure_findings
 from plinth.sources.files import select_detectors
 
 #: What a code stands for; the report lists the codes that were found.
@@ -29,6 +29,7 @@ CATALOG = (
     ("INDIRECTION", "a name only passes on to another"),
     ("DEPENDENCIES", "modules are unused, unresolved or circular"),
     ("GIANT_FILE", "a file has too many lines"),
+    ("LIFETIME", "a variable lives long or beside many others"),
     ("CLONE", "code is repeated"),
 )
 
@@ -42,6 +43,7 @@ class Options:
     min_size: int = 12
     max_lines: int = 1000
     max_forward_depth: int = 1
+    max_lifetime: int = 30
     entry: tuple[str, ...] = ()
 
 
@@ -95,6 +97,9 @@ def scan(spark: SparkSession, files: DataFrame, options: Options = Options()) ->
             entries = spark.createDataFrame([(e,) for e in options.entry], "path string")
             parts.append(rows(D.dead_exports(resolved, entries), "dependencies", "DEPENDENCIES", F.lit("dead-export"), F.col("name"), line0, F.col("name")))
             parts.append(rows(D.unused_files(resolved, files, entries), "dependencies", "DEPENDENCIES", F.lit("unused-file"), F.lit("no entry reaches it"), line0))
+    if "variable-lifetime" in chosen:
+        parts.append(rows(lifetime_findings(files, options.max_lifetime), "variable-lifetime", "LIFETIME", F.lit("variable-lifetime"), F.concat(F.col("var"), F.lit(" lives "), F.col("lines").cast("string"), F.lit(" lines")), detail=F.concat_ws(":", "line", "var", "burden")))
+        parts.append(rows(pressure_findings(files), "variable-lifetime", "LIFETIME", F.lit("liveness-pressure"), F.concat(F.col("max_live").cast("string"), F.lit(" variables live at once")), line0, F.col("fn").cast("string")))
     if "giant-file" in chosen:
         parts.append(rows(metrics.oversized(files, "source_text", options.max_lines), "giant-file", "GIANT_FILE", F.lit("giant-file"), F.concat(F.col("n_lines").cast("string"), F.lit(" lines")), F.lit(1)))
     if "duplicates" in chosen:

@@ -87,13 +87,13 @@ class Scopes:
 
 
 class Flow:
-    """Builds one function's graph. ``defs`` hold (node, offset, variable, kind), ``uses`` (node, variable)."""
+    """Builds one function's graph. ``defs`` hold (node, offset, variable, kind), ``uses`` (node, variable, offset)."""
 
     def __init__(self, fn: Node):
         self.fn, self.scopes = fn, Scopes(fn)
         self.edges: set[tuple[int, int, int]] = set()
         self.defs: list[tuple[int, int, str, str]] = []
-        self.uses: list[tuple[int, str]] = []
+        self.uses: list[tuple[int, str, int]] = []
         self.captured: set[str] = set()
         self.n = 1
         self.loops: list[tuple[list[int], list[int], str | None]] = []
@@ -135,7 +135,7 @@ class Flow:
             return
         if t == "Identifier":
             if (key := self.scopes.find(n.attrs["name"], stack)) is not None:
-                self.uses.append((node, key))
+                self.uses.append((node, key, n.start))
             return
         if t == "AssignmentExpression":
             left, op = n.get("left"), n.attrs["operator"]
@@ -368,7 +368,7 @@ class Flow:
 
 EDGES = "path string, fn int, src long, dst long, edge_type int"
 DEFS = "path string, fn int, node long, def_id long, var string, ix long, write_kind string, is_parameter boolean, captured boolean"
-USES = "path string, fn int, node long, var string"
+USES = "path string, fn int, node long, var string, use_id long"
 
 
 def _functions(root: Node):
@@ -401,6 +401,50 @@ def cfg_uses(files: DataFrame) -> DataFrame:
     return _extract(files, USES, lambda path, _, root: [(path, f.start, *u) for f in _functions(root) for u in Flow(f).uses])
 
 
+def _line(offset: str):
+    from pyspark.sql import functions as F
+
+    return F.size(F.split(F.substr("source_text", F.lit(1), F.col(offset).cast("int") + 1), "\n"))
+
+
+def lifetime_findings(files: DataFrame, max_lines: int = 30) -> DataFrame:
+    """``path, line, var, lines, burden``: definitions whose last use is over ``max_lines`` lines later.
+
+    ``burden`` is the number of such definitions in the function. Parameters do not count.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from plinth.operators.dataflow import def_use_pairs
+
+    keys = ["path", "fn"]
+    pairs = def_use_pairs(keys, cfg_edges(files), cfg_defs(files).where("not is_parameter"), cfg_uses(files))
+    spans = pairs.groupBy(*keys, "def_id", "var").agg(F.max("use_id").alias("last")).join(files.select("path", "source_text"), "path")
+    placed = spans.select(*keys, F.split("var", "@")[0].alias("var"), _line("def_id").alias("line"), _line("last").alias("last_line"))
+    long = placed.withColumn("lines", F.col("last_line") - F.col("line")).where(F.col("lines") > max_lines)
+    return long.withColumn("burden", F.count("*").over(Window.partitionBy(*keys))).select("path", "line", "var", "lines", "burden")
+
+
+def pressure_findings(files: DataFrame, max_live: int = 7, min_lines: int = 40) -> DataFrame:
+    """``path, fn, max_live, n_lines``: functions of at least ``min_lines`` lines in which ``max_live`` variables or more live at once."""
+    from pyspark.sql import functions as F
+
+    from plinth.operators.dataflow import liveness
+    from plinth.sources.facts import ast_nodes
+
+    fns = ast_nodes(files).where("fn_id >= 0").groupBy("path", "fn_id").agg(F.min("start_off").alias("fn"), (F.max("line") - F.min("line") + 1).alias("n_lines"))
+    live = liveness(["path", "fn"], cfg_edges(files), cfg_defs(files), cfg_uses(files))
+    return live.join(fns, ["path", "fn"]).where((F.col("max_live") >= max_live) & (F.col("n_lines") >= min_lines)).select("path", "fn", "max_live", "n_lines")
+
+
+def mutation_findings(files: DataFrame, max_writes: int) -> DataFrame:
+    """``path, fn, var, writes``: variables written more than ``max_writes`` times after their declaration; loop variables do not count."""
+    from pyspark.sql import functions as F
+
+    writes = cfg_defs(files).where("write_kind in ('assignment', 'compound', 'update')").select("path", "fn", "var", "def_id").distinct()
+    return writes.groupBy("path", "fn", F.split("var", "@")[0].alias("var")).agg(F.count("*").alias("writes")).where(F.col("writes") > max_writes)
+
+
 def dead_store_findings(files: DataFrame) -> DataFrame:
     """Dead stores of source files: ``path, line, var, kind``.
 

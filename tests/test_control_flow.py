@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from plinth.sources.control_flow import Flow, dead_store_findings
+from plinth.sources.control_flow import Flow, dead_store_findings, lifetime_findings, mutation_findings, pressure_findings
 from plinth.sources.ts_parser import parse
 
 CASES = {
@@ -47,3 +47,20 @@ def test_every_node_but_handlers_is_reached(src):
                 reached.add(d)
                 work.append(d)
     assert {d for _, d, _ in flow.edges} <= reached
+
+
+def test_lifetimes_at_the_bound(spark):
+    body = "function f() {{ const a = g();{} use(a); }}"
+    files = spark.createDataFrame([("at.ts", body.format("\n" * 30)), ("over.ts", body.format("\n" * 31)), ("two.ts", body.format("\n" * 40 + " const b = 1;" + "\n" * 40 + " use(b);"))], "path string, source_text string")
+    got = sorted((r["path"], r["var"], r["lines"], r["burden"]) for r in lifetime_findings(files).collect())
+    assert got == [("over.ts", "a", 31, 1), ("two.ts", "a", 80, 2), ("two.ts", "b", 40, 2)]
+
+
+def test_pressure_and_mutations(spark):
+    names = [f"v{i}" for i in range(7)]
+    source = "function f() { " + " ".join(f"let {n} = g();\n" for n in names) + "\n" * 40 + f" use({', '.join(names)}); v0 = 1; v0++; v0 += 2; for (const q of v0) use(q); }}"
+    files = spark.createDataFrame([("a.ts", source)], "path string, source_text string")
+    assert [r["max_live"] for r in pressure_findings(files).collect()] == [7]
+    assert pressure_findings(files, max_live=8).count() == 0
+    assert [(r["var"], r["writes"]) for r in mutation_findings(files, 2).collect()] == [("v0", 3)]
+    assert mutation_findings(files, 3).count() == 0
