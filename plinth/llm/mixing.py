@@ -31,6 +31,8 @@ from plinth.llm.common import WORD, documents, row_count, written
 WEIGHTS, MOST_REPEATS = (5, 2, 1), 3
 #: Documents a block holds on average over all sources, bounds for the blocks of a source, and output shards.
 BLOCK_DOCS, LEAST_BLOCKS, MOST_BLOCKS, SHARDS = 2000, 16, 16384, 16
+#: Pieces of a shard that separate tasks write.
+PIECES = 256
 SEED = 42
 
 
@@ -171,7 +173,7 @@ def mix_sizes(docs: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] =
 def mix(docs: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """The mixed documents themselves, each as often as it is taken, with the columns of ``docs``.
 
-    Documents without words are never drawn. Rows go to their shard's partition and
+    Documents without words are never drawn. Rows go to a piece of their shard and
     follow a hash there.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
@@ -183,7 +185,8 @@ def mix(docs: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] = WEIGHT
     met = hashed.where("size > 0").join(plan, ["skey", "block"])
     each = met.select("row", "h", F.posexplode(F.slice("shards", F.lit(1), taken_copies(F.col("h")))).alias("copy", "shard"))
     placed = each.select("row", "shard", F.xxhash64(F.lit(SEED + 3), "h", "copy").alias("order"))
-    return placed.repartition(shards, "shard").sortWithinPartitions("shard", "order").select("row.*")
+    # A shard is dealt over pieces by the same hash that orders it, so its size is no task's.
+    return placed.repartition("shard", F.pmod("order", F.lit(PIECES))).sortWithinPartitions("shard", "order").select("row.*")
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
