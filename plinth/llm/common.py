@@ -14,6 +14,8 @@ from plinth.operators.tables import scratch, shared_dir, written  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows taken from an Arrow batch at a time, so that few long texts are Python strings at once.
 SLICE_ROWS = 256
+#: Bytes of text that reach a Python worker at a time.
+BATCH_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -21,6 +23,15 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the Arrow batches that Python workers get, unless the session does already.
+
+    A batch otherwise has thousands of rows, however long their texts are.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_texts(df: DataFrame, kernel: Callable[[list], dict[str, list]], schema: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Run ``kernel`` over slices of the texts; its lists become columns beside ``keep``.
 
@@ -30,6 +41,7 @@ def map_texts(df: DataFrame, kernel: Callable[[list], dict[str, list]], schema:
     frame = df.select(*keep, text)
     names = [part.split()[0] for part in schema.split(",")]
     spark = df.sparkSession
+    bounded_batches(spark)
     out = spark.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

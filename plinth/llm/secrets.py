@@ -15,9 +15,8 @@ from collections.abc import Iterable
 from math import log2
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from plinth.llm.common import documents, map_texts
+from plinth.llm.common import bounded_batches, documents, map_texts
 from plinth.llm.spans import apart, digest, joined, ordered, replaced
 
 KINDS = ("assign", "access", "hex", "entropy")
@@ -141,6 +140,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", length: str = "n_cha
     import pyarrow as pa
 
     names = docs.columns
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -158,7 +158,9 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", length: str = "n_cha
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch
 
-    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, docs.schema)
+    # Places instead of names, so that any name passes.
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm.common import SLICE_ROWS, documents, scratch
+from plinth.llm.common import SLICE_ROWS, bounded_batches, documents, scratch
 from plinth.llm.wordbpe import default_vocabulary, library
 
 #: Chunk sizes in ids: least, expected beyond the least, most; and the ids that the rolling hash sees.
@@ -106,6 +106,7 @@ PART = "kind string, key binary, doc_id long, n_tokens long, payload binary, chu
 
 def encode_chunks(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """Chunk rows and one recipe row a document, from one encoding pass."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
