@@ -63,7 +63,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         out += [("email", *m.span()) for m in EMAIL.finditer(text)]
     if DIGIT.search(text):
         if "." in text:
-            out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+            out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(q := p.lstrip("0")) < 4 and int(q or "0") <= 255 for p in m[0].split("."))]
         out += [("card", *m.span()) for m in CARD.finditer(text) if 14 <= len(d := only_digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             out += [("phone", *m.span()) for m in PHONE.finditer(text) if 10 <= len(only_digits(m[0])) <= 15]

@@ -102,6 +102,11 @@ def test_op4_base_spans():
     assert got == [("email", "a.b@x.org"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (415) 555-0123")]
 
 
+def test_op4_numbers_of_any_length():
+    zeros, nines = "0" * 5000, "9" * 5000
+    assert pii.base_spans(f"{zeros}1.2.3.4")[0][0] == "ip" and pii.base_spans(f"{nines}.2.3.4 {nines}") == []
+
+
 def test_op4_skip_chain_carries_labels():
     w = pii.train(["call +1 (415) 555-0123 today", "write a.b1@x.org", "number 12345678 is none"])
     base, spans = pii.find_personal("+1 (415) 555-0123 " + "word " * 50 + "415.555.0123 " + "more " * 50 + "14155550123; jane.doe7@mail.org " + "x " * 30 + "jane.doe7", w)

@@ -150,3 +150,20 @@ def test_pipeline_equals_brute_force(spark):
     assert len(five) == len(four) and all(list(i) == coder.encode(texts[d]) for d, i in zip(five.doc_id, five.ids, strict=True))
     run = C.run(spark, SMALL).select("doc_id", "n_tokens").toPandas()
     assert sorted(zip(run.doc_id, run.n_tokens, strict=True)) == sorted(zip(five.doc_id, five.n_tokens, strict=True))
+
+
+def test_pipeline_stages_at_their_edges(spark, edge_docs, empty_docs):
+    import corpus_pipeline as C
+
+    clash = edge_docs.selectExpr("*", "1 AS words", "2 AS kid", "3 AS h", "'a' AS skey", "4 AS block", "5 AS shard", "6 AS `order`", "7 AS id", "8 AS size", "9 AS `a.b`", "'t' AS n_tokens")
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, clash, SMALL)
+        assert out.columns == clash.columns, name
+        assert out.count() <= 3 * clash.count()
+        assert stage(spark, empty_docs, SMALL).count() == 0
+    assert C.STAGES[-1][1](spark, clash, SMALL).count() == clash.count()
+    assert C.STAGES[-1][1](spark, empty_docs, SMALL).count() == 0
+    kept = C.quality_rules(spark, clash, SMALL).collect()
+    assert kept == []  # the long text repeats itself, the others are short
+    assert sorted(r["doc_id"] is None for r in C.near_dedup(spark, clash, SMALL).collect()) == [False] * 4
+    assert C.secret_scan(spark, clash, SMALL).count() == clash.count()
