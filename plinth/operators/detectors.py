@@ -347,3 +347,35 @@ def unused_files(resolved: DataFrame, files: DataFrame, entries: DataFrame) -> D
     edges = resolved.where("target is not null").select(F.col("path").alias("u"), F.col("target").alias("v")).distinct()
     seen = reachable(edges, entries.select(F.col("path").alias("node"))).select(F.col("node").alias("path"))
     return files.select("path").join(seen, "path", "left_anti")
+
+
+def global_mutations(nodes: DataFrame) -> DataFrame:
+    """Writes to, updates and deletes of members of ``globalThis``, and ``Object`` calls that define some."""
+    member = nodes.where("type = 'MemberExpression'").select("path", "node_id", "parent_id", "key", "line")
+    names = nodes.where("type = 'Identifier' and element_at(attrs, 'name') = 'globalThis'").select("path", F.col("parent_id").alias("node_id"), F.col("key").alias("name_key"))
+    owner = nodes.select("path", F.col("node_id").alias("parent_id"), F.col("type").alias("p_type"), F.element_at("attrs", "operator").alias("op"))
+    on_global = member.join(names.where("name_key = 'object'").select("path", "node_id"), ["path", "node_id"]).join(owner, ["path", "parent_id"])
+    written = on_global.where("(p_type = 'AssignmentExpression' and key = 'left') or p_type = 'UpdateExpression' or (p_type = 'UnaryExpression' and op = 'delete')").select("path", "line")
+    calls = nodes.where("type = 'CallExpression'").select("path", "node_id", "line").join(names.where("name_key = 'arguments'").select("path", "node_id"), ["path", "node_id"])
+    callee = nodes.where(F.col("type").eqNullSafe("MemberExpression") & (F.col("key") == "callee") & F.element_at("attrs", "name").isin("assign", "defineProperty", "defineProperties", "setPrototypeOf")).select("path", F.col("parent_id").alias("node_id"))
+    return written.unionByName(calls.join(callee, ["path", "node_id"]).select("path", "line"))
+
+
+def test_file_mapping(files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Specs without the file they are for, and files with functions or classes without a spec, in one directory."""
+    spec = files.where(F.col("path").rlike(r"[.]spec[.]ts$")).select(F.regexp_replace("path", r"[.]spec[.]ts$", ".ts").alias("impl"), "path")
+    impl = files.where(~F.col("path").rlike(r"[.]spec[.]ts$")).select("path")
+    orphan = spec.join(impl.select(F.col("path").alias("impl")), "impl", "left_anti").select("path", F.lit("spec-without-file").alias("kind"))
+    logic = nodes.where(F.col("type").isin(*FUNCTION_TYPES, "ClassDeclaration")).select("path").distinct()
+    bare = impl.where(~is_index(F.col("path"))).join(logic, "path", "left_semi").join(spec.select(F.col("impl").alias("path")), "path", "left_anti").select("path", F.lit("file-without-spec").alias("kind"))
+    return orphan.unionByName(bare)
+
+
+def describe_titles(nodes: DataFrame, relations: DataFrame) -> DataFrame:
+    """Top-level ``describe`` calls of specs whose title is neither the file's stem nor a name that it imports."""
+    top = nodes.where(F.col("path").rlike(r"[.]spec[.]ts$") & (F.col("key") == "expression") & (F.col("type") == "CallExpression") & (F.col("depth") == 2)).select("path", "node_id", "line")
+    callee = nodes.where("type = 'Identifier' and key = 'callee' and element_at(attrs, 'name') = 'describe'").select("path", F.col("parent_id").alias("node_id"))
+    title = nodes.where("key = 'arguments' and type = 'Literal' and child_ix = 1").select("path", F.col("parent_id").alias("node_id"), F.expr("substring(element_at(attrs, 'raw'), 2, length(element_at(attrs, 'raw')) - 2)").alias("title"))
+    stem = F.regexp_extract("path", r"([^/]*)[.]spec[.]ts$", 1)
+    used = relations.where("type = 'imports'").select("path", F.col("local").alias("title")).distinct()
+    return top.join(callee, ["path", "node_id"]).join(title, ["path", "node_id"]).where(F.col("title") != stem).join(used, ["path", "title"], "left_anti").select("path", "line", "title")

@@ -159,3 +159,11 @@ def test_file_graph(files, spark):
     entries = spark.createDataFrame([("a.ts",)], "path string")
     assert [r["path"] for r in D.unused_files(res, f, entries).collect()] == ["e.ts"]
     assert D.unused_files(res, f, entries.limit(0)).count() == 0
+
+
+def test_more_lints(files):
+    f = files(**{"a": "globalThis.x = 1; delete globalThis.y; globalThis.z++; Object.assign(globalThis, {}); use(globalThis.x); export function q() {}", "b": "export const k = 1;", "c": "export class C {}", "c.spec": "import { C } from './c'; describe('C', () => {}); describe('c', () => {}); describe('other', () => {});", "gone.spec": "x();"})
+    nodes, rel = facts.ast_nodes(f), facts.relations(f)
+    assert D.global_mutations(nodes).count() == 4
+    assert sorted(tuple(r) for r in D.test_file_mapping(f, nodes).collect()) == [("a.ts", "file-without-spec"), ("gone.spec.ts", "spec-without-file")]
+    assert [r["title"] for r in D.describe_titles(nodes, rel).collect()] == ["other"]
