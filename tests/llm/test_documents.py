@@ -140,8 +140,7 @@ def test_op4_loopy_beliefs_equal_exact_marginals_on_a_tree():
             exact[0, a] += p
             exact[1, b] += p
     exact /= exact.sum(1, keepdims=True)
-    single = pii.Weights(w.unary, np.zeros((5, 5)), pair)
-    got = pii.beliefs(two, text, pii.Weights(w.unary, w.chain, w.skip), rounds=60) if not (chain and skip) else pii.beliefs(two, text, pii.Weights(w.unary, single.chain, single.skip), rounds=60)
+    got = pii.beliefs(two, text, w, rounds=60)
     assert np.allclose(got, exact, atol=1e-3)
 
 
