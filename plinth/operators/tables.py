@@ -20,8 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table under the shared folder."""
-    return f"{shared_dir(spark)}/plinth/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a table under the shared folder, among those of this application."""
+    return f"{shared_dir(spark)}/plinth/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Remove the tables that this application's operators wrote between steps; results read from them must be saved before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/plinth/{spark.sparkContext.applicationId}")
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

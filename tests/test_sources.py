@@ -74,3 +74,12 @@ def test_lcs_query_equals_brute_force(spark):
     conv = {(r["conv_id"], r["turn"]): r["text"].lower().split() for r in spark.read.parquet(f"{SMALL}/conversations.parquet").collect()}
     some = sorted(rows)[:40]
     assert some and all(rows[c, t] == len(lcs_pairs(conv[c, t], conv[c, t + 1])) for c, t in some)
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from plinth.operators import tables
+
+    df = tables.written(spark.range(3).toDF("id"), "some")
+    assert df.count() == 3
+    assert tables.scratch(spark, "x").rsplit("/", 1)[0].endswith(spark.sparkContext.applicationId)
+    assert tables.clear_scratch(spark) and not tables.clear_scratch(spark)
