@@ -4,10 +4,12 @@ Statistics (document frequencies, number of documents, mean length) are global a
 come from one pass over all texts, so a score does not depend on a shard and
 merging the shards' top k is exact.
 
-Documents are dealt in turn to shards of bounded size. A task indexes one shard:
-terms in order of their 64-bit hashes, and for each term its blocks of ``BLOCK``
-neighbouring documents with the largest term weight in the block. Documents of a
-shard are ordered by their commonest word, so that blocks hold like documents.
+Documents are dealt in turn to lots, some for each core. A task streams a lot: it
+indexes one shard of bounded size after another, terms in order of their 64-bit
+hashes, and for each term its blocks of ``BLOCK`` neighbouring documents with the
+largest term weight in the block. Documents of a shard are ordered by their
+commonest word, so that blocks hold like documents. A query's best so far carry over
+to the next shard, where they prune more.
 
 Search: queries come in blocks of bounded number, each block with one dictionary of
 its terms. A query first adds up its terms' block maxima, which bounds every
@@ -16,7 +18,7 @@ when a bound falls below the k-th best score so far, all blocks that remain are
 passed over. No document that could enter the top k is.
 
 Shuffled are: term counts, combined by task; each text once for each block of
-queries; each block of queries once for each shard.
+queries; each block of queries once for each lot, so in proportion to the queries.
 """
 
 from __future__ import annotations
@@ -29,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plinth.llm.common import documents, row_count, written
+from plinth.llm.common import bounded_batches, documents, row_count, written
 
 K1, B = 1.2, 0.75
 #: Documents of a shard and of a block, queries that go to a shard at a time, decimals of a score.
 SHARD_DOCS, BLOCK, QUERY_BLOCK, DECIMALS = 8192, 32, 8192, 6
+#: Lots of documents for each core; a lot is searched as a stream of shards.
+LOTS_A_CORE = 4
 #: Stands for a null key inside a shard.
 NO_KEY = -1 << 62
 
@@ -114,8 +118,7 @@ def query_blocks(parts: DataFrame) -> DataFrame:
 class Shard:
     """The inverted index of one shard, with term weights under the global statistics."""
 
-    def __init__(self, keys: np.ndarray, batches, mean: float):
-        made = [vectors(texts) for texts in batches]
+    def __init__(self, keys: np.ndarray, made: list, mean: float):
         hashes, counts, sizes = (np.concatenate([m[k] for m in made]) if made else np.zeros(0, np.int64) for k in range(3))
         made.clear()
         starts = np.cumsum(sizes) - sizes
@@ -141,18 +144,19 @@ class Shard:
         posts = np.flatnonzero(new_entry)
         self.terms, self.blocks = hashes[new_term], block[posts]
         self.entries = np.append(np.searchsorted(posts, np.flatnonzero(new_term)), len(posts))
-        self.posts = np.append(posts, len(hashes))
+        self.posts, self.sizes = posts, np.diff(np.append(posts, len(hashes)))
         self.weight = counts * (K1 + 1) / (counts + norm[self.members]) if len(counts) else np.zeros(0)
         self.most = np.maximum.reduceat(self.weight, posts) if len(counts) else np.zeros(0)
 
-    def top(self, hashes: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k best documents with a term of the query, by rounded score and then by key."""
+    def top(self, hashes: np.ndarray, weights: np.ndarray, k: int, best: list[tuple[float, int]] = ()) -> list[tuple[float, int]]:
+        """The k best of ``best`` and of the documents with a term of the query, by rounded score and then by key."""
+        best = list(best)
         at = np.searchsorted(self.terms, hashes)
         at[at == len(self.terms)] = 0
         have = self.terms[at] == hashes if len(self.terms) else np.zeros(len(hashes), bool)
         at, weights = at[have], weights[have]
         if not len(at):
-            return []
+            return best
         first, count = self.entries[at], self.entries[at + 1] - self.entries[at]
         entry = spans(first, count)
         own = np.repeat(weights, count)
@@ -161,34 +165,63 @@ class Shard:
         bound = np.bincount(where, self.most[entry] * own, n_blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        rank = np.full(n_blocks, len(order))
-        rank[order] = np.arange(len(order))
-        by = np.argsort(rank[where], kind="stable")  # entries in the order in which blocks are scored, terms in order within a block
-        entry, own, step = entry[by], own[by], rank[where][by]
-        best: list[tuple[float, int]] = []
         done, take = 0, 8
         while done < len(order):
             if len(best) >= k and bound[order[done]] < best[k - 1][0] - 10.0**-DECIMALS:
                 break
-            stop = min(done + take, len(order))
-            lo, hi = np.searchsorted(step, (done, stop))
-            posts, size = self.posts[entry[lo:hi]], self.posts[entry[lo:hi] + 1] - self.posts[entry[lo:hi]]
+            least = bound[order[done + take]] if done + take < len(order) else 0.0
+            most = bound[order[done - 1]] if done else np.inf
+            now = (bound[where] > least) & (bound[where] < most) if done else bound[where] > least
+            done = int(np.searchsorted(-bound[order], -least, "left")) if least else len(order)
+            posts, size = self.posts[entry[now]], self.sizes[entry[now]]
             post = spans(posts, size)
-            members = self.members[post]
-            slot = rank[members // BLOCK] - done
-            local = slot * BLOCK + members % BLOCK
-            score = np.bincount(local, self.weight[post] * np.repeat(own[lo:hi], size), (stop - done) * BLOCK)
-            seen = np.flatnonzero(score > 0)
+            score = np.bincount(self.members[post], self.weight[post] * np.repeat(own[now], size), len(self.docs))
+            seen = np.flatnonzero(score)
             if len(seen) > k:  # all that tie with the k-th stay
-                least = np.partition(score[seen], len(seen) - k)[len(seen) - k]
-                seen = seen[score[seen] >= least - 10.0**-DECIMALS]
-            member = order[done + seen // BLOCK] * BLOCK + seen % BLOCK
-            best += zip(np.round(score[seen], DECIMALS).tolist(), self.docs[member].tolist(), strict=True)
+                cut = np.partition(score[seen], len(seen) - k)[len(seen) - k]
+                seen = seen[score[seen] >= cut - 10.0**-DECIMALS]
+            best += zip(np.round(score[seen], DECIMALS).tolist(), self.docs[seen].tolist(), strict=True)
             best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-            done, take = stop, min(take * 2, 256)
+            take *= 4
         return best
 
 
+class Search:
+    """One block of queries against a stream of documents, indexed a shard at a time; the best so far carry over."""
+
+    def __init__(self, n: int, mean: float, k: int):
+        self.n, self.mean, self.k = n, mean, k
+        self.ids: list[int] = []
+        self.keys, self.texts, self.held = [], [], 0
+
+    def ask(self, blobs: dict) -> None:
+        get = lambda name, kind: np.frombuffer(blobs[name], kind).copy()
+        self.ids, self.cuts, self.places, counts, self.terms, df = get("ids", "<i8").tolist(), get("cuts", "<i8").tolist(), get("places", "<i4"), get("counts", "<i4"), get("terms", "<i8"), get("df", "<i8")
+        self.weights = counts * np.log1p((self.n - df + 0.5) / (df + 0.5))[self.places]
+        self.best: list[list[tuple[float, int]]] = [[] for _ in self.ids]
+
+    def add(self, keys: pa.Array, texts: pa.Array) -> None:
+        for i in range(0, len(keys), 512):
+            if self.ids:
+                self.keys.append(keys.slice(i, 512).fill_null(NO_KEY).to_numpy())
+                self.texts.append(vectors(texts.slice(i, 512).to_pylist()))
+                self.held += len(self.keys[-1])
+                if self.held >= SHARD_DOCS:
+                    self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            shard = Shard(np.concatenate(self.keys), self.texts, self.mean)
+            self.keys, self.texts, self.held = [], [], 0
+            for q, (i, j) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)):
+                self.best[q] = shard.top(self.terms[self.places[i:j]], self.weights[i:j], self.k, self.best[q])
+
+    def results(self) -> pa.RecordBatch:
+        self.flush()
+        rows = [(q, None if d == NO_KEY else d, s) for q, best in zip(self.ids, self.best if self.ids else [], strict=True) for s, d in best]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
+
+
 def spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The stretches from ``first`` of ``count`` numbers, end to end."""
     ends = np.cumsum(count)
@@ -205,8 +238,8 @@ def search(docs: DataFrame, is_query, k: int = 10) -> DataFrame:
     first of their texts. Rows
     whose key is null can be found (their ``doc_id`` is null) but are no queries. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     n = row_count(docs)
-    shards = max(1, -(-n // SHARD_DOCS))
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = written(term_statistics(frame), "terms")
     words = known.where("term is null").agg(F.sum("df")).first()[0] or 0
@@ -224,28 +257,33 @@ def search(docs: DataFrame, is_query, k: int = 10) -> DataFrame:
     weighed = written(parts.join(known, "term"), "queries")
     blocks = max(1, -(-weighed.agg(F.count_distinct("query_id")).first()[0] // QUERY_BLOCK))
     asked_blocks = written(query_blocks(weighed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))), "query-blocks")
-    sent = asked_blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    dealt = frame.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
-    held = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_q, out_s, out_d = [], [], []
-        if left.num_rows and right.num_rows:
-            get = lambda name, kind: np.frombuffer(left.column(name)[0].as_buffer(), kind)
-            keys = right.column("doc_id").fill_null(NO_KEY).to_numpy()
-            shard = Shard(keys, (b.column(0).to_pylist() for b in right.select(["text"]).to_batches(max_chunksize=512)), mean)
-            ids, cuts, places, counts, terms, df = (get(*x) for x in (("ids", "<i8"), ("cuts", "<i8"), ("places", "<i4"), ("counts", "<i4"), ("terms", "<i8"), ("df", "<i8")))
-            idf = np.log1p((n - df + 0.5) / (df + 0.5))
-            for q, i, j in zip(ids.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                at = places[i:j]
-                for score, doc in shard.top(terms[at], counts[i:j] * idf[at], k):
-                    out_q.append(q)
-                    out_s.append(score)
-                    out_d.append(None if doc == NO_KEY else doc)
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "doc_id": pa.array(out_d, pa.int64()), "score": pa.array(out_s, pa.float64())})
-
-    by = ("shard", "block")
-    found_in = sent.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(run, "query_id long, doc_id long, score double")
+    lots = max(1, min(docs.sparkSession.sparkContext.defaultParallelism * LOTS_A_CORE, -(-n // BLOCK)))
+    each = lambda c, m: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(c)
+    sent = asked_blocks.select(each("lot", lots), "*", F.lit(0).alias("kind"))
+    held = frame.withColumn("lot", F.pmod(F.monotonically_increasing_id(), F.lit(lots)).cast("int")).select("*", each("block", blocks), F.lit(1).alias("kind"))
+    stream = sent.unionByName(held, allowMissingColumns=True).repartition("lot", "block").sortWithinPartitions("lot", "block", "kind")
+    blobs = [p.split()[0] for p in QUERIES.split(", ")][1:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, found = None, None
+        for b in batches:
+            marks = np.stack([np.asarray(b.column(c)) for c in ("lot", "block", "kind")])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if tuple(marks[:2, i]) != key:
+                    if found is not None:
+                        yield found.results()
+                    key, found = tuple(marks[:2, i]), Search(n, mean, k)
+                if marks[2, i] == 0:
+                    found.ask({c: b.column(c)[i].as_buffer() for c in blobs})
+                else:
+                    found.add(b.column("doc_id").slice(i, j - i), b.column("text").slice(i, j - i))
+        if found is not None:
+            yield found.results()
+
+    found_in = stream.mapInArrow(run, "query_id long, doc_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first())
     return found_in.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
