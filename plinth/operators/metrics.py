@@ -35,8 +35,8 @@ def nesting(marks: DataFrame, keys: list[str], order: str, opens: Column, closes
 
 def line_count(text: Column) -> Column:
     """Lines by any of CRLF, LF, CR, U+2028 and U+2029, one more if the last is not ended; empty text has none (X11)."""
-    ends = F.regexp_count(text, F.lit("\r\n|[\n\r  ]"))
-    open_end = ~text.rlike("[\n\r  ]\\z")
+    ends = F.regexp_count(text, F.lit("\r\n|[\n\r\u2028\u2029]"))
+    open_end = ~text.rlike("[\n\r\u2028\u2029]\\z")
     return F.when(F.length(text) == 0, 0).otherwise(ends + open_end.cast("int")).cast("long")
 
 

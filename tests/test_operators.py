@@ -96,7 +96,7 @@ def test_ancestors_and_longest_prefix(spark):
     assert [tuple(x) for x in joins.longest_prefix(p, "path", r, "root").collect()] == [("/a/b/c", "/a/b")]
 
 
-@pytest.mark.parametrize(("text", "lines"), [("", 0), ("a", 1), ("a\n", 1), ("a\r\nb", 2), ("a\rb ", 2), ("\n\n", 2)])
+@pytest.mark.parametrize(("text", "lines"), [("", 0), ("a", 1), ("a\n", 1), ("a\r\nb", 2), ("a\rb ", 2), ("\n\n", 2), ("a\u2028b\u2029", 2)])
 def test_line_count(spark, text, lines):
     assert spark.createDataFrame([(text,)], "t string").select(metrics.line_count(F.col("t"))).first()[0] == lines
 
