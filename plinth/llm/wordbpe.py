@@ -21,7 +21,7 @@ import regex
 #: Characters at which ``str.split`` splits but the tokenizer's ``\\s`` does not.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Words and pieces kept per process; frequent ones come early, so a memo is simply not extended beyond this.
-MEMO_WORDS, MEMO_PIECES = 200_000, 250_000
+MEMO_WORDS, MEMO_PIECES = 120_000, 150_000
 LIBRARY_WORDS, LIBRARY_PIECES = 300_000, 400_000
 MEMO_PAIRS = 200_000
 #: Up to here (Latin Extended-B) letters and marks are alike in all versions of Unicode in use.
