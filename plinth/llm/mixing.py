@@ -159,14 +159,14 @@ def mix_sizes(docs: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] =
     """``doc_id, size, source_size, target, taken, shards`` for every row of ``docs(doc_id, text, source)``.
 
     ``taken`` is 0 for documents that the mix leaves out; ``shards`` has one entry a
-    copy. Null texts and texts without words have size 0, a null source is a source
+    copy, none for documents without words. Null texts and texts without words have size 0, a null source is a source
     of its own. Rows equal in ``doc_id``, source and size are taken alike. An empty
     table gives no rows; if no document has words, all targets are 0.
     """
     sized = _size_table(docs, "mix-sizes")
     plan, blocks = plan_mix(sized, shards, weights, most)
     met = sized.withColumn("block", block_of(F.col("h"), blocks)).join(plan, ["skey", "block"])
-    copies = taken_copies(F.col("h"))
+    copies = F.when(F.col("size") > 0, taken_copies(F.col("h"))).otherwise(0)
     return met.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), F.slice("shards", F.lit(1), copies).alias("shards"))
 
 
@@ -190,5 +190,5 @@ def mix(docs: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] = WEIGHT
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document."""
-    return mix_sizes(documents(spark, sf_dir, "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    """What the mix takes of every document, and the shard that each copy goes to."""
+    return mix_sizes(documents(spark, sf_dir, "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "shards")

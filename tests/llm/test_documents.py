@@ -262,3 +262,15 @@ def test_op8_tree_keeps_totals(spark):
 def test_op8_runs_no_python(spark):
     plan = mixing.op8_source_mix(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_op8_deals_each_copy_to_a_shard(spark, edge_docs):
+    frame = mixing.op8_source_mix(spark, SMALL)
+    rows = frame.collect()
+    assert all(len(r["shards"]) == (r["taken"] // r["size"] if r["size"] else 0) for r in rows)
+    dealt = Counter(s for r in rows for s in r["shards"])
+    assert sum(dealt.values()) > 0 and set(dealt) <= set(range(mixing.SHARDS)) and len(dealt) == mixing.SHARDS
+    # The tree's random draws are on the query's path: one order a level.
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert all(re.search(rf"xxhash64\({mixing.SEED + 2 + d}, ", plan) for d in range((mixing.SHARDS - 1).bit_length()))
+    assert all(r["shards"] == [] for r in mixing.mix_sizes(edge_docs).collect() if not r["size"])
