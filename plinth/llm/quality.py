@@ -63,6 +63,9 @@ def _count(pattern: str) -> str:
     return f"regexp_count(text, '{pattern}')".replace("\\", "\\\\")
 
 
+#: Lines that hold a word. Spark's parser reads the escape \f as the letter f, so a form feed has its code.
+LINES = "filter(split(text, '\\\\n'), l -> length(btrim(l, ' \\t\\n\\u000b\\u000c\\r')) > 0)"
+
 #: Any of these rejects. The first two are the contract's base.
 RULES = (
     Rule("few_words", f"size(words) < {MIN_WORDS}", 0, 1),
@@ -71,7 +74,7 @@ RULES = (
     Rule("upper_case", f"2 * {_count('[A-Z]')} > length(text)", 14, 0),
     Rule("word_length", "length(concat_ws('', words)) NOT BETWEEN 2 * size(words) AND 25 * size(words)", 1, 10),
     Rule("few_letters", f"2 * {_count(chr(92) + 'p{L}')} < length(concat_ws('', words))", 25, 10),
-    Rule("repeated_lines", "10 * (size(split(text, '\\\\n')) - size(array_distinct(split(text, '\\\\n')))) > 5 * size(split(text, '\\\\n'))", 4, 0),
+    Rule("repeated_lines", let(LINES, "ls", "10 * (size(ls) - size(array_distinct(ls))) > 5 * size(ls)"), 4, 0),
 )
 
 
@@ -111,13 +114,12 @@ def quality_verdicts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules
     frame = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
     with_words = frame.withColumn("words", F.expr(sql_words("text")))
     own = [c for c in keep if c not in ("text", "words")]
-    line = "filter(split(text, '\\\\n'), l -> length(btrim(l, ' \\t\\n\\u000b\\f\\r')) > 0)"
     measured = with_words.select(
         *own, "text", "words",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.concat_ws("", "words")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        F.expr(let(line, "ls", "size(ls) - size(array_distinct(ls))")).cast("long").alias("n_dup_lines"),
+        F.expr(let(LINES, "ls", "size(ls) - size(array_distinct(ls))")).cast("long").alias("n_dup_lines"),
         F.expr(sql_repeat_words("words")).cast("long").alias("n_repeat_words"),
     )
     # What is measured anyway is not computed again in the cascade.

@@ -37,6 +37,16 @@ def test_op1_edges(edge_docs, empty_docs):
     assert quality.keep_good(empty_docs).columns == empty_docs.columns
 
 
+def test_op1_blank_lines_are_no_repeated_lines(spark):
+    prose = [" ".join(word + end for word in ("each", "part", "has", "words", "unlike", "others")) for end in "abcdef"]
+    texts = ["\n\n\n".join(prose), " ".join(prose) + "\n\n\n\n", " ".join(prose) + "\n \n\t\n\f\n\v\n\r\n\f\n" * 3, "\n".join([*prose, *["f", "\f"] * 3]), "\n".join([*prose, *["f"] * 9])]
+    rows = quality.quality_verdicts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["n_dup_lines"] for r in rows] == [base_quality(t)[3] for t in texts] == [0, 0, 0, 2, 8]
+    assert [r["rejected_by"] for r in rows] == [None, None, None, None, "repeated_lines"]
+    kept = quality.keep_good(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 1, 2, 3]
+
+
 def test_op1_order_never_changes_verdicts(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     one = {r["doc_id"] for r in quality.keep_good(docs).collect()}
