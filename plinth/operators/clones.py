@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,20 +20,29 @@ def tier_exclusion(df: DataFrame, exact: str, loose: str, member: str) -> DataFr
     return clone_groups(df, loose, member).join(reps, loose, "left_anti")
 
 
-def common_runs(df: DataFrame, seq: str, pos: str, fp: str, least: int, most: int) -> DataFrame:
+def common_runs(df: DataFrame, seq: str, pos: str, fp: str, least: int, most: int | None = None) -> DataFrame:
     """Maximal runs of equal fingerprints at consecutive positions of two sequences.
 
-    Fingerprints that occur more than ``most`` times are no seeds, so that one
-    fingerprint makes at most ``most`` squared pairs. Runs are islands on the
-    diagonals of the position grid.
+    All common runs of ``least`` or more are found: seeds are ``least`` consecutive
+    fingerprints, so a frequent one makes pairs only where it stands in a run that
+    counts. With ``most``, fingerprints that occur more often are left out before,
+    and runs that hold them are lost or split. Positions are distinct in a sequence.
+    Runs are islands on the diagonals of the position grid.
     """
-    rare = df.groupBy(fp).agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most)).select(fp)
-    seeds = df.join(rare, fp, "left_semi").select(F.col(seq).alias("seq"), F.col(pos).alias("pos"), F.col(fp).alias("fp"))
+    if most is None:
+        own = Window.partitionBy(seq).orderBy(pos)
+        whole = [F.lead(pos, k).over(own) == F.col(pos) + k for k in range(1, least)]
+        gram = F.array(F.col(fp), *(F.lead(fp, k).over(own) for k in range(1, least)))
+        grams = df.select(F.col(seq).alias("seq"), F.col(pos).alias("pos"), gram.alias("fp"), reduce(and_, whole, F.lit(True)).alias("whole"))
+        seeds, more = grams.where("whole").drop("whole").where(F.forall("fp", lambda x: x.isNotNull())), least - 1
+    else:
+        rare = df.groupBy(fp).agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most)).select(fp)
+        seeds, more = df.join(rare, fp, "left_semi").select(F.col(seq).alias("seq"), F.col(pos).alias("pos"), F.col(fp).alias("fp")), 0
     a, b = (seeds.select("fp", F.col("seq").alias(f"seq_{x}"), F.col("pos").alias(f"pos_{x}")) for x in "ab")
     met = a.join(b, "fp").where("seq_a < seq_b").withColumn("diagonal", F.col("pos_a") - F.col("pos_b"))
     island = F.col("pos_a") - F.row_number().over(Window.partitionBy("seq_a", "seq_b", "diagonal").orderBy("pos_a"))
     runs = met.withColumn("island", island).groupBy("seq_a", "seq_b", "diagonal", "island")
-    return runs.agg(F.min("pos_a").alias("start_a"), F.min("pos_b").alias("start_b"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("diagonal", "island")
+    return runs.agg(F.min("pos_a").alias("start_a"), F.min("pos_b").alias("start_b"), (F.count(F.lit(1)) + more).alias("n")).where(F.col("n") >= least).drop("diagonal", "island")
 
 
 def representative(df: DataFrame, key: str, member: str, size: str) -> DataFrame:

@@ -133,6 +133,24 @@ def test_common_runs(spark):
     assert got == {(1, 2, 0, 1, 3), (1, 2, 4, 4, 2)}
 
 
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_common_runs_keep_frequent_lines(spark, least):
+    rng = random.Random(least)
+    texts = [[rng.choice("hhhhabc") for _ in range(rng.randint(0, 9))] for _ in range(25)] + [["only"], list("xhhhy"), list("zhhhy")]
+    at = {(s, p): f for s, t in enumerate(texts) for p, f in enumerate(t) if rng.random() < 0.9}
+    assert sum(f == "h" for f in at.values()) > 40
+    want = set()
+    for (s, p), f in at.items():
+        for t in range(s + 1, len(texts)):
+            for q in range(len(texts[t])):
+                if at.get((t, q)) == f and (at.get((s, p - 1)) is None or at.get((s, p - 1)) != at.get((t, q - 1))):
+                    n = next(k for k in range(1, 99) if at.get((s, p + k)) is None or at.get((s, p + k)) != at.get((t, q + k)))
+                    want |= {(s, t, p, q, n)} if n >= least else set()
+    df = spark.createDataFrame([(*k, f) for k, f in at.items()], "s long, p long, f string")
+    rows = clones.common_runs(df, "s", "p", "f", least).collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want) > 0
+
+
 def test_equal_findings_collapse(spark):
     df = spark.createDataFrame([(1,), (1,), (2,)], "f long")
     part = report.finding(df, "waste", "W", F.col("f"), F.lit(1), F.lit("k"), F.lit("l"))
