@@ -39,6 +39,8 @@ from plinth.llm.wordbpe import default_vocabulary, library
 #: Chunk sizes in ids: least, expected beyond the least, most; and the ids that the rolling hash sees.
 MIN_IDS, MEAN_IDS, MAX_IDS, WINDOW = 256, 1024, 4096, 4
 DIGEST = 16
+#: Recipes of a file under one subtree of its Merkle tree.
+STRETCH = 1024
 
 
 class StoreError(RuntimeError):
@@ -193,8 +195,7 @@ def order_recipes(recipes: DataFrame, path: str) -> None:
     ranged = recipes.repartitionByRange(spark.sparkContext.defaultParallelism * 2, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("chunks"))
     ranged.mapInArrow(run, RECIPE).write.parquet(f"{path}/ordered")
     ordered = spark.read.schema(spark.createDataFrame([], RECIPE).schema).parquet(f"{path}/ordered")
-    # One row a file: bounded by the number of partitions, not by the data.
-    files = ordered.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("ids"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("place", "root"))), lambda x: F.hex(x["root"]))), 256).alias("root"))
+    files = file_roots(ordered)
     rows, start = [], 0
     for r in sorted(files.collect(), key=lambda r: r["file"]):
         rows.append((r["file"], start, r["rows"], r["ids"], r["root"]))
@@ -202,11 +203,45 @@ def order_recipes(recipes: DataFrame, path: str) -> None:
     spark.createDataFrame(rows, "file int, start long, rows long, ids long, root string").coalesce(1).write.parquet(f"{path}/manifest")
 
 
+def _fold(rows: DataFrame, key: tuple[str, ...], at: str) -> DataFrame:
+    """``key, rows, ids, root``: sums and the Merkle root of the roots of each group, in order of ``at``."""
+    held = rows.groupBy(*key).agg(F.sum("rows").alias("rows"), F.sum("ids").alias("ids"), F.transform(F.array_sort(F.collect_list(F.struct(at, "root"))), lambda x: x["root"]).alias("leaves"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            roots = [merkle_root(x) for x in b.column("leaves").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*key, "rows", "ids")), pa.array(roots, pa.binary())], names=[*key, "rows", "ids", "root"])
+
+    return held.mapInArrow(run, "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in key) + "rows long, ids long, root binary")
+
+
+def file_roots(ordered: DataFrame) -> DataFrame:
+    """``file, rows, ids, root`` of each recipe file: a Merkle tree over stretches of ``STRETCH`` recipes.
+
+    A leaf is the digest of a recipe's id, place in the file's stream, ids and root.
+    The rows are bounded by the number of files.
+    """
+    leaf = F.unhex(F.sha2(F.concat_ws(",", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("before").cast("string"), F.col("n_tokens").cast("string"), F.hex("root")), 256))
+    leaves = ordered.select("file", "place", F.floor(F.col("place") / STRETCH).alias("stretch"), F.lit(1).cast("long").alias("rows"), F.col("n_tokens").alias("ids"), leaf.alias("root"))
+    return _fold(_fold(leaves, ("file", "stretch"), "place"), ("file",), "stretch").withColumn("root", F.lower(F.hex("root")))
+
+
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
-    """``row, doc_id, start, n_tokens, chunks, sizes, root``; ``row`` is a document's place in the stream of all."""
+    """``row, doc_id, start, n_tokens, chunks, sizes, root``; ``row`` is a document's place in the stream of all.
+
+    Every recipe file's rows, ids and Merkle root are computed anew and held against the manifest first.
+    """
     ordered = spark.read.schema(spark.createDataFrame([], RECIPE).schema).parquet(f"{path}/ordered")
-    manifest = spark.read.schema("file int, start long, rows long, ids long, root string").parquet(f"{path}/manifest").select("file", "start")
-    return ordered.join(F.broadcast(manifest), "file").select(
+    manifest = spark.read.schema("file int, start long, rows long, ids long, root string").parquet(f"{path}/manifest")
+    found, start = {r["file"]: (r["rows"], r["ids"], r["root"]) for r in file_roots(ordered).collect()}, 0
+    told = sorted(manifest.collect(), key=lambda r: r["file"])
+    for r in told:
+        if found.get(r["file"]) != (r["rows"], r["ids"], r["root"]) or r["start"] != start:
+            raise StoreError(f"recipe file {r['file']} does not match the manifest")
+        start += r["ids"]
+    if len(told) != len(found):
+        raise StoreError("the manifest does not list all recipe files once")
+    return ordered.join(F.broadcast(manifest.select("file", "start")), "file").select(
         F.struct("file", "place").alias("row"), "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "chunks", "sizes", "root"
     )
 
@@ -306,15 +341,25 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, ids`` of every document, put together from its chunks."""
-    used = read_recipes(spark, path).select("row", "doc_id", "start", F.posexplode("chunks").alias("k", "key"))
-    whole = used.join(read_chunks(spark, path, with_ids=True), "key").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
+    own = ("doc_id", "start", "n_tokens", "root")
+    used = read_recipes(spark, path).select("row", *own, F.posexplode_outer("chunks").alias("k", "key"))
+    met = used.join(read_chunks(spark, path, with_ids=True), "key", "left")
+    whole = met.groupBy("row").agg(*(F.first(c).alias(c) for c in own), F.array_sort(F.collect_list(F.struct("k", "key", "ids"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.frombuffer(b"".join(p["ids"] for p in x), "<u4").astype(np.int64) for x in b.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
+            made = []
+            for parts, n, root in zip(b.column("parts").to_pylist(), b.column("n_tokens").to_pylist(), b.column("root").to_pylist(), strict=True):
+                if any(p["ids"] is None for p in parts):
+                    raise StoreError("a recipe names a chunk that the store lacks")
+                if merkle_root([p["key"] for p in parts]) != root:
+                    raise StoreError("a recipe does not match its Merkle root")
+                made.append(np.frombuffer(b"".join(p["ids"] for p in parts), "<u4").astype(np.int64))
+                if len(made[-1]) != n:
+                    raise StoreError("a document is not complete")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
 
-    return whole.select("doc_id", "start", "parts").mapInArrow(run, "doc_id long, start long, ids array<long>")
+    return whole.select(*own, "parts").mapInArrow(run, "doc_id long, start long, ids array<long>")
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

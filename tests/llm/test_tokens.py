@@ -118,6 +118,36 @@ def test_op10_detects_damage(spark, edge_docs):
         token_store.read_summary(spark, bad).collect()
 
 
+def test_op10_detects_lost_and_changed_recipes(spark, texts):
+    from pyspark.sql import functions as F
+
+    path = scratch(spark, "test-store")
+    token_store.write_store(spark.createDataFrame(texts[["doc_id", "text"]].head(60)), path, default_vocabulary())
+    ordered, data = spark.read.parquet(f"{path}/ordered"), spark.read.parquet(f"{path}/data")
+    assert token_store.read_summary(spark, path).count() == token_store.read_documents(spark, path).count() == 60
+    one = ordered.orderBy("doc_id").first()
+    mine = F.col("doc_id") == one["doc_id"]
+    other = ordered.where(F.size("chunks") > 0).where(F.col("root") != F.lit(bytes(one["root"]))).first()
+    swap = lambda c: F.when(mine, F.lit(other[c] if c != "root" else bytes(other[c]))).otherwise(F.col(c))
+    names = F.array(*(F.lit(bytes(x)) for x in other["chunks"]))
+    changed = ordered.withColumns({"chunks": F.when(mine, names).otherwise(F.col("chunks")), "sizes": F.when(mine, F.array(*map(F.lit, other["sizes"]))).otherwise(F.col("sizes")), "root": swap("root"), "n_tokens": swap("n_tokens")})
+    renamed = ordered.withColumn("doc_id", F.when(mine, F.lit(-5).cast("long")).otherwise(F.col("doc_id")))
+    for damaged in (ordered.where(~mine), ordered.where(F.col("file") != one["file"]), changed, renamed):
+        bad = scratch(spark, "test-store")
+        damaged.write.parquet(f"{bad}/ordered")
+        spark.read.parquet(f"{path}/manifest").write.parquet(f"{bad}/manifest")
+        data.write.partitionBy("kind").parquet(f"{bad}/data")
+        for read in (token_store.read_summary, token_store.read_documents):
+            with pytest.raises(Exception, match="manifest"):
+                read(spark, bad).collect()
+    bad = scratch(spark, "test-store")
+    ordered.write.parquet(f"{bad}/ordered")
+    spark.read.parquet(f"{path}/manifest").write.parquet(f"{bad}/manifest")
+    data.where((F.col("kind") != "chunk") | (F.col("key") != F.lit(bytes(one["chunks"][0])))).write.partitionBy("kind").parquet(f"{bad}/data")
+    with pytest.raises(Exception, match="lacks"):
+        token_store.read_documents(spark, bad).collect()
+
+
 def test_equal_passages_are_stored_once(spark, texts):
     docs = spark.createDataFrame([(i, texts.text[texts.n_chars.idxmax()]) for i in range(5)], "doc_id long, text string")
     path = scratch(spark, "test-store")
