@@ -1,28 +1,34 @@
-"""Operator 2: exact BM25 top-k search over an inverted index with block-max pruning.
+"""Operator 2: exact BM25 top-k search over an inverted index with block-max WAND pruning.
 
 Statistics (document frequencies, number of documents, mean length) are global and
 come from one pass over all texts, so a score does not depend on a shard and
 merging the shards' top k is exact.
 
-Documents are dealt in turn to lots, some for each core. A task streams a lot: it
-indexes one shard of bounded size after another, terms in order of their 64-bit
-hashes, and for each term its blocks of ``BLOCK`` neighbouring documents with the
-largest term weight in the block. Documents of a shard are ordered by their
-commonest word, so that blocks hold like documents. A query's best so far carry over
-to the next shard, where they prune more.
-
-Search: queries come in blocks of bounded number, each block with one dictionary of
-its terms. A query first adds up its terms' block maxima, which bounds every
-document of a block of documents. Blocks are scored from the greatest bound down;
-when a bound falls below the k-th best score so far, all blocks that remain are
-passed over. No document that could enter the top k is.
-
-Shuffled are: term counts, combined by task; each text once for each block of
-queries; each block of queries once for each lot, so in proportion to the queries.
+Documents are dealt in turn to lots, whose number grows with the postings; a task
+holds a lot as term vectors, indexes it shard by shard and lets blocks of queries
+pass, so texts move once and each block of queries once for each lot.
+
+Block-max WAND, over arrays and for a batch of queries at a time:
+
+1. Documents of a shard are ordered by their commonest word, so that a block of
+   ``BLOCK`` neighbours holds like documents. Each term has the greatest weight that
+   it has in a block.
+2. The shard's common terms are never walked for a query: their block maxima, times
+   the query's weights, bound what they can give in a block. The postings of the
+   other terms are walked and added up.
+3. Both together bound a block. Blocks whose bound stays below the query's k-th best
+   score so far are passed over; in the others (the pivots) the common terms' exact
+   weights are added. The k-th best starts from what rare terms alone give, rises
+   with each shard, and carries over to the next.
+4. Sums are in single precision up to here and are compared with a slack above their
+   rounding; what may enter the top k is scored again in double precision.
+
+No document that could enter the top k is passed over.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,53 +40,89 @@ from pyspark.sql import functions as F
 from plinth.llm.common import bounded_batches, documents, row_count, written
 
 K1, B = 1.2, 0.75
-#: Documents of a shard and of a block, queries that go to a shard at a time, decimals of a score.
-SHARD_DOCS, BLOCK, QUERY_BLOCK, DECIMALS = 8192, 32, 8192, 6
-#: Lots of documents for each core; a lot is searched as a stream of shards.
-LOTS_A_CORE = 4
+#: Documents and postings of a shard, documents of a block, blocks whose common terms are added at a time.
+SHARD_DOCS, SHARD_POSTS, BLOCK, TILE = 16384, 1 << 22, 32, 16
+#: Queries that travel together and that are scored together; decimals of a score.
+QUERY_BLOCK, BATCH, DECIMALS = 8192, 256, 6
+#: Postings that a lot holds about; lots for each core at least.
+LOT_POSTS, LOTS_A_CORE = 12 << 20, 4
+#: A term is common in a shard if this share of its documents has it, as far as the table of common terms reaches.
+COMMON, MOST_COMMON = 1 / 20, 1024
+#: Share of a score that single precision may lose: 1024 products and sums of numbers rounded to 24 bits.
+SLACK = 1e-4
 #: Stands for a null key inside a shard.
 NO_KEY = -1 << 62
 
 
-@lru_cache(maxsize=1)
-def _hashes() -> dict[str, int]:
-    return {}
+#: White space in every contract of this subpackage, and bytes of text that are hashed at a time.
+SPACES, PIECE = b"\t\n\v\f\r ", 1 << 18
+SPACE = re.compile(rb"[\t-\r ]")
 
 
-def term_hashes(words: list[str]) -> list[int]:
-    """Signed 64-bit hashes of words, kept for the process up to a bound."""
+@lru_cache(maxsize=1)
+def _byte_values() -> np.ndarray:
+    """A 64-bit number for each byte of a word; 0 for white space."""
     import xxhash
 
-    memo, out = _hashes(), []
-    for w in words:
-        h = memo.get(w)
-        if h is None:
-            h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7)
-            h -= (h >> 63) << 64
-            if len(memo) < 500_000 and len(w) < 40:
-                memo[w] = h
-        out.append(h)
-    return out
+    return np.array([0 if b in SPACES else xxhash.xxh64_intdigest(bytes([b]), 7) | 1 for b in range(256)], np.uint64)
+
 
+@lru_cache(maxsize=1)
+def _powers(least: int) -> np.ndarray:
+    """Powers of an odd number modulo 2**64, at least so many."""
+    return np.multiply.accumulate(np.full(least, 0x9E3779B97F4A7C15, np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
 
-def terms_of(text: str | None) -> list[str]:
-    """Lower-cased words (A-Z only) without white space."""
-    if not text:
-        return []
-    return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").lower().split()]
 
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Signed 64-bit hashes of all words, A-Z lowered, of a text in UTF-8, and where they start.
 
-def vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct term hashes in order, and how often each occurs."""
-    h, n = np.unique(np.array(term_hashes(terms_of(text)), np.int64), return_counts=True)
-    return h, n.astype(np.int32)
+    A word's hash is the sum of its bytes' numbers, each times a power for its place,
+    then mixed; all words of a piece of text are hashed at once.
+    """
+    out, places, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while at < len(raw):
+        to = at + PIECE
+        to = m.start() if to < len(raw) and (m := SPACE.search(raw, to)) else len(raw)
+        values = _byte_values()[np.frombuffer(raw[at:to].lower(), np.uint8)]
+        solid = values != 0
+        first = solid.copy()
+        first[1:] &= ~solid[:-1]
+        starts = np.flatnonzero(first)
+        places.append(starts + at)
+        at = to
+        if len(starts):
+            sizes = np.diff(np.append(starts, len(values)))
+            powers = _powers(1 << max(16, int(sizes.max()).bit_length()))
+            h = np.add.reduceat(values[starts[0] :] * powers[spans(np.zeros(len(starts), np.int64), sizes)], starts - starts[0])
+            h = (h ^ h >> np.uint64(30)) * np.uint64(0x94D049BB133111EB)
+            out.append((h ^ h >> np.uint64(31)).view(np.int64))
+    return np.concatenate(out), np.concatenate(places)
 
 
 def vectors(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts' term hashes and counts end to end, and the number of terms of each text."""
-    made = [vector(t) for t in texts]
-    sizes = np.array([len(h) for h, _ in made], np.int64)
-    return (np.concatenate([h for h, _ in made]) if made else np.zeros(0, np.int64)), (np.concatenate([n for _, n in made]) if made else np.zeros(0, np.int32)), sizes
+    """Distinct term hashes of each text in order, how often each occurs, and the number of terms of each text."""
+    hashes, counts, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+    raws = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    held: list[int] = []
+    room = 0
+    for i, raw in enumerate(raws):
+        held.append(i)
+        room += len(raw)
+        if room < PIECE and i + 1 < len(raws):
+            continue
+        # Short texts are hashed together; each text's words are a stretch of the result.
+        words, places = word_hashes(b"\n".join([raws[k] for k in held]))
+        cut = np.searchsorted(places, np.cumsum([0, *(len(raws[k]) + 1 for k in held)]))
+        for k, s, e in zip(held, cut.tolist(), cut[1:].tolist(), strict=False):
+            if s < e:
+                own = np.sort(words[s:e])
+                new = np.flatnonzero(own[1:] != own[:-1]) + 1
+                ends = np.concatenate(([0], new, [e - s]))
+                hashes.append(own[ends[:-1]])
+                counts.append((ends[1:] - ends[:-1]).astype(np.int32))
+                sizes[k] = len(ends) - 1
+        held, room = [], 0
+    return np.concatenate(hashes), np.concatenate(counts), sizes
 
 
 def term_statistics(docs: DataFrame) -> DataFrame:
@@ -115,128 +157,216 @@ def query_blocks(parts: DataFrame) -> DataFrame:
     return parts.groupBy("block").applyInArrow(build, QUERIES)
 
 
-class Shard:
-    """The inverted index of one shard, with term weights under the global statistics."""
-
-    def __init__(self, keys: np.ndarray, made: list, mean: float):
-        hashes, counts, sizes = (np.concatenate([m[k] for m in made]) if made else np.zeros(0, np.int64) for k in range(3))
-        made.clear()
-        starts = np.cumsum(sizes) - sizes
-        lengths = np.add.reduceat(np.append(counts, 0), starts) * (sizes > 0) if len(sizes) else np.zeros(0)
-        like = np.zeros(len(sizes), np.int64)
-        top = np.maximum.reduceat(np.append(counts, 0), starts) if len(sizes) else np.zeros(0)
-        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        most = np.flatnonzero(counts == top[owner]) if len(counts) else np.zeros(0, np.int64)
-        like[owner[most][::-1]] = hashes[most][::-1]
-        order = np.lexsort((keys, like))
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
-        self.docs = keys[order]
-        norm = (K1 * (1 - B + B * lengths / mean) if mean else np.full(len(lengths), K1))[order]
-        members = rank[owner] if len(owner) else owner
-        by = np.lexsort((members, hashes))
-        hashes, counts, self.members = hashes[by], counts[by], members[by]
-        new_term = np.ones(len(hashes), bool)
-        new_term[1:] = hashes[1:] != hashes[:-1]
-        new_entry = new_term.copy()
-        block = self.members // BLOCK
-        new_entry[1:] |= block[1:] != block[:-1]
-        posts = np.flatnonzero(new_entry)
-        self.terms, self.blocks = hashes[new_term], block[posts]
-        self.entries = np.append(np.searchsorted(posts, np.flatnonzero(new_term)), len(posts))
-        self.posts, self.sizes = posts, np.diff(np.append(posts, len(hashes)))
-        self.weight = counts * (K1 + 1) / (counts + norm[self.members]) if len(counts) else np.zeros(0)
-        self.most = np.maximum.reduceat(self.weight, posts) if len(counts) else np.zeros(0)
-
-    def top(self, hashes: np.ndarray, weights: np.ndarray, k: int, best: list[tuple[float, int]] = ()) -> list[tuple[float, int]]:
-        """The k best of ``best`` and of the documents with a term of the query, by rounded score and then by key."""
-        best = list(best)
-        at = np.searchsorted(self.terms, hashes)
-        at[at == len(self.terms)] = 0
-        have = self.terms[at] == hashes if len(self.terms) else np.zeros(len(hashes), bool)
-        at, weights = at[have], weights[have]
-        if not len(at):
-            return best
-        first, count = self.entries[at], self.entries[at + 1] - self.entries[at]
-        entry = spans(first, count)
-        own = np.repeat(weights, count)
-        n_blocks = -(-len(self.docs) // BLOCK)
-        where = self.blocks[entry]
-        bound = np.bincount(where, self.most[entry] * own, n_blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        done, take = 0, 8
-        while done < len(order):
-            if len(best) >= k and bound[order[done]] < best[k - 1][0] - 10.0**-DECIMALS:
-                break
-            least = bound[order[done + take]] if done + take < len(order) else 0.0
-            most = bound[order[done - 1]] if done else np.inf
-            now = (bound[where] > least) & (bound[where] < most) if done else bound[where] > least
-            done = int(np.searchsorted(-bound[order], -least, "left")) if least else len(order)
-            posts, size = self.posts[entry[now]], self.sizes[entry[now]]
-            post = spans(posts, size)
-            score = np.bincount(self.members[post], self.weight[post] * np.repeat(own[now], size), len(self.docs))
-            seen = np.flatnonzero(score)
-            if len(seen) > k:  # all that tie with the k-th stay
-                cut = np.partition(score[seen], len(seen) - k)[len(seen) - k]
-                seen = seen[score[seen] >= cut - 10.0**-DECIMALS]
-            best += zip(np.round(score[seen], DECIMALS).tolist(), self.docs[seen].tolist(), strict=True)
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-            take *= 4
-        return best
-
-
-class Search:
-    """One block of queries against a stream of documents, indexed a shard at a time; the best so far carry over."""
-
-    def __init__(self, n: int, mean: float, k: int):
-        self.n, self.mean, self.k = n, mean, k
-        self.ids: list[int] = []
-        self.keys, self.texts, self.held = [], [], 0
-
-    def ask(self, blobs: dict) -> None:
+class Asked:
+    """One block of queries, with term weights under the global statistics, like queries side by side."""
+
+    def __init__(self, blobs: dict, n: int):
         get = lambda name, kind: np.frombuffer(blobs[name], kind).copy()
-        self.ids, self.cuts, self.places, counts, self.terms, df = get("ids", "<i8").tolist(), get("cuts", "<i8").tolist(), get("places", "<i4"), get("counts", "<i4"), get("terms", "<i8"), get("df", "<i8")
-        self.weights = counts * np.log1p((self.n - df + 0.5) / (df + 0.5))[self.places]
+        self.ids, self.cuts, self.places, counts, self.terms, df = get("ids", "<i8"), get("cuts", "<i8"), get("places", "<i4"), get("counts", "<i4"), get("terms", "<i8"), get("df", "<i8")
+        self.weights = counts * np.log1p((n - df + 0.5) / (df + 0.5))[self.places]
+        self.order = np.lexsort((self.ids, commonest(self.terms[self.places], counts, np.diff(self.cuts))))
         self.best: list[list[tuple[float, int]]] = [[] for _ in self.ids]
 
-    def add(self, keys: pa.Array, texts: pa.Array) -> None:
-        for i in range(0, len(keys), 512):
-            if self.ids:
-                self.keys.append(keys.slice(i, 512).fill_null(NO_KEY).to_numpy())
-                self.texts.append(vectors(texts.slice(i, 512).to_pylist()))
-                self.held += len(self.keys[-1])
-                if self.held >= SHARD_DOCS:
-                    self.flush()
-
-    def flush(self) -> None:
-        if self.held:
-            shard = Shard(np.concatenate(self.keys), self.texts, self.mean)
-            self.keys, self.texts, self.held = [], [], 0
-            for q, (i, j) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)):
-                self.best[q] = shard.top(self.terms[self.places[i:j]], self.weights[i:j], self.k, self.best[q])
-
     def results(self) -> pa.RecordBatch:
-        self.flush()
-        rows = [(q, None if d == NO_KEY else d, s) for q, best in zip(self.ids, self.best if self.ids else [], strict=True) for s, d in best]
+        rows = [(q, None if d == NO_KEY else d, s) for q, best in zip(self.ids.tolist(), self.best, strict=True) for s, d in best]
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
 
 
+def commonest(hashes: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each row's commonest term, the first of equals; 0 for rows without a term."""
+    out = np.zeros(len(sizes), np.int64)
+    if len(hashes):
+        starts = np.minimum(np.cumsum(sizes) - sizes, len(hashes) - 1)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        most = np.flatnonzero(counts == np.maximum.reduceat(counts, starts)[owner])
+        out[owner[most][::-1]] = hashes[most][::-1]
+    return out
+
+
+def order_of(keys: np.ndarray, hashes: np.ndarray, counts: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Documents by their commonest term, without those that have no term or ``k`` equal ones with smaller keys."""
+    starts = np.cumsum(sizes) - sizes
+    total = lambda x: np.add.reduceat(np.append(x, np.zeros(1, x.dtype)), starts) * (sizes > 0).astype(x.dtype)
+    mixed = hashes.view(np.uint64) * (2 * counts.astype(np.uint64) + np.uint64(1))
+    marks = [total(mixed), total((mixed ^ mixed >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15))]
+    order = np.lexsort((keys, *marks, commonest(hashes, counts, sizes)))
+    alike = np.zeros(len(order), bool)
+    alike[1:] = np.logical_and.reduce([m[order][1:] == m[order][:-1] for m in (*marks, total(counts.astype(np.int64)), sizes)])
+    run = np.arange(len(order)) - np.maximum.accumulate(np.where(alike, 0, np.arange(len(order))))
+    return order[(run < k) & (sizes[order] > 0)]
+
+
+class Shard:
+    """The inverted index of one shard, with term weights under the global statistics.
+
+    Of documents with the same terms and counts, which score alike, only the ``k`` with
+    the smallest keys can be among the k best; the others are left out.
+    """
+
+    def __init__(self, keys: np.ndarray, hashes: np.ndarray, counts: np.ndarray, sizes: np.ndarray, mean: float, k: int):
+        order = order_of(keys, hashes, counts, sizes, k)
+        self.keys, self.size, self.k, n = keys[order], sizes[order], k, len(order)
+        self.start = np.cumsum(self.size) - self.size
+        pick = spans((np.cumsum(sizes) - sizes)[order], self.size)
+        hashes, counts = hashes[pick], counts[pick]
+        del pick
+        owner = np.repeat(np.arange(n, dtype=np.int32), self.size)
+        lengths = np.bincount(owner, counts, n)
+        norm = K1 * (1 - B + B * lengths / mean) if mean else np.full(n, K1)
+        self.weight = counts * (K1 + 1) / (counts + norm[owner])
+        by = np.argsort(hashes, kind="stable").astype(np.int32)
+        hashes = hashes[by]
+        new = np.ones(len(by), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        self.first = np.flatnonzero(new)
+        self.terms, self.count = hashes[new], np.diff(np.append(self.first, len(by)))
+        del hashes, counts
+        self.place = np.empty(len(by), np.int32)
+        self.place[by] = np.cumsum(new, dtype=np.int32) - 1
+        self.post_doc, self.post_weight = owner[by], self.weight[by].astype(np.float32)
+        del by, new
+        # The table of common terms, documents padded to whole tiles, and its block maxima.
+        self.n, self.blocks = n, -(-max(n, 1) // (BLOCK * TILE)) * TILE
+        common = np.flatnonzero(self.count > n * COMMON)
+        common = common[np.argsort(-self.count[common], kind="stable")[:MOST_COMMON]]
+        self.column = np.full(len(self.terms), -1, np.int32)
+        self.column[common] = np.arange(len(common), dtype=np.int32)
+        self.table = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        at = self.column[self.place]
+        here = at >= 0
+        self.table[at[here], owner[here]] = self.weight[here]
+        self.most = self.table.reshape(len(common), self.blocks, BLOCK).max(2)
+
+    def search(self, asked: Asked) -> tuple[int, int]:
+        """Bring this shard's best into ``asked.best``; returns how many tiles were scored and how many there are."""
+        if not len(self.terms) or not len(asked.ids):
+            return 0, 0
+        at = np.searchsorted(self.terms, asked.terms)
+        at[at == len(self.terms)] = 0
+        where = np.where(self.terms[at] == asked.terms, at, -1)
+        weight_of, scored = np.zeros(len(self.terms)), 0
+        for i in range(0, len(asked.order), BATCH):
+            scored += self._batch(asked, asked.order[i : i + BATCH], where, weight_of)
+        return scored, len(asked.order) * (self.blocks // TILE)
+
+    def _batch(self, asked: Asked, rows: np.ndarray, where: np.ndarray, weight_of: np.ndarray) -> int:
+        m, own = len(rows), []
+        score = np.zeros((m, self.blocks * BLOCK), np.float32)
+        wide = np.zeros((m, len(self.table)), np.float32)
+        for r, q in enumerate(rows.tolist()):
+            some = slice(asked.cuts[q], asked.cuts[q + 1])
+            t, w = where[asked.places[some]], asked.weights[some]
+            t, w = t[t >= 0], w[t >= 0]
+            own.append((t, w))
+            column = self.column[t]
+            wide[r, column[column >= 0]] = w[column >= 0]
+            t, w = t[column < 0], w[column < 0].astype(np.float32)
+            count = self.count[t]
+            post = spans(self.first[t], count)
+            if len(post):
+                score[r, : self.n] = np.bincount(self.post_doc[post], self.post_weight[post] * np.repeat(w, count), self.n)
+        least = np.array([asked.best[q][self.k - 1][0] if len(asked.best[q]) >= self.k else 0.0 for q in rows])
+        rare = score.reshape(m, self.blocks, BLOCK).max(2)
+        least = np.maximum(least, self._kth(rare))
+        pivots = rare + wide @ self.most >= (least * (1 - SLACK) - 10.0**-DECIMALS)[:, None]
+        tiles = pivots.reshape(m, -1, TILE).any(2)
+        for tile in np.flatnonzero(tiles.any(0)).tolist():
+            hit, stretch = np.flatnonzero(tiles[:, tile]), slice(tile * TILE * BLOCK, (tile + 1) * TILE * BLOCK)
+            score[hit, stretch] += wide[hit] @ self.table[:, stretch]
+        least = np.maximum(least, self._kth(score.reshape(m, self.blocks, BLOCK).max(2)))
+        enter = score >= np.maximum(least * (1 - 2 * SLACK) - 10.0**-DECIMALS, 1e-30)[:, None]
+        at, docs = np.nonzero(enter)
+        cuts = np.searchsorted(at, np.arange(m + 1))
+        for r, q in enumerate(rows.tolist()):
+            found = docs[cuts[r] : cuts[r + 1]]
+            if len(found) > self.k:
+                near = score[r, found]
+                found = found[near >= np.partition(near, len(near) - self.k)[len(near) - self.k] * (1 - 2 * SLACK) - 10.0**-DECIMALS]
+            if len(found):
+                t, w = own[r]
+                weight_of[t] = w
+                sizes = self.size[found]
+                post = spans(self.start[found], sizes)
+                exact = np.bincount(np.repeat(np.arange(len(found)), sizes), self.weight[post] * weight_of[self.place[post]], len(found))
+                weight_of[t] = 0
+                best = asked.best[q] + [x for x in zip(np.round(exact, DECIMALS).tolist(), self.keys[found].tolist(), strict=True) if x[0] > 0]
+                asked.best[q] = sorted(best, key=lambda x: (-x[0], x[1]))[: self.k]
+        return int(tiles.sum())
+
+    def _kth(self, most: np.ndarray) -> np.ndarray:
+        """At most the k-th best of each row: the k-th greatest of what different blocks have."""
+        if most.shape[1] < self.k:
+            return np.zeros(len(most))
+        return np.partition(most, most.shape[1] - self.k, axis=1)[:, most.shape[1] - self.k].astype(float) * (1 - SLACK)
+
+
+class Lot:
+    """The documents of one lot as term vectors, in shards of bounded size."""
+
+    def __init__(self, mean: float, k: int):
+        self.mean, self.k = mean, k
+        self.parts: list[list] = [[]]
+        self.docs = self.posts = 0
+        self.built: Shard | None = None
+
+    def add(self, keys: pa.Array, texts: pa.Array) -> None:
+        for i in range(0, len(keys), 512):
+            hashes, counts, sizes = vectors(texts.slice(i, 512).to_pylist())
+            if self.docs >= SHARD_DOCS or self.posts >= SHARD_POSTS:
+                self.parts.append([])
+                self.docs = self.posts = 0
+            small = np.uint16 if counts.max(initial=0) < 1 << 16 else np.int32
+            self.parts[-1].append((keys.slice(i, 512).fill_null(NO_KEY).to_numpy(), hashes, counts.astype(small), sizes))
+            self.docs, self.posts = self.docs + len(sizes), self.posts + len(hashes)
+
+    def shards(self) -> Iterator[Shard]:
+        """One shard after another; a lot of one shard keeps it."""
+        if self.built:
+            yield self.built
+            return
+        for part in self.parts:
+            if part:
+                columns = [np.concatenate([p[c] for p in part]) for c in range(4)]
+                if len(self.parts) == 1:
+                    part.clear()
+                shard = Shard(*columns, self.mean, self.k)
+                del columns
+                if len(self.parts) == 1:
+                    self.built = shard
+                yield shard
+
+    def answer(self, asked: Asked) -> pa.RecordBatch:
+        for shard in self.shards():
+            shard.search(asked)
+        return asked.results()
+
+
 def spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The stretches from ``first`` of ``count`` numbers, end to end."""
     ends = np.cumsum(count)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + count, count)
 
 
+def dealt(frame: DataFrame, asked_blocks: DataFrame, lots: int) -> DataFrame:
+    """Every text once, in its lot, and every block of queries once a lot; a lot is a partition, its texts come first."""
+    sent = asked_blocks.select(F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"), "*", F.lit(1).alias("kind"))
+    held = frame.withColumn("lot", F.pmod(F.monotonically_increasing_id(), F.lit(lots)).cast("int")).withColumn("kind", F.lit(0))
+    return sent.unionByName(held, allowMissingColumns=True).repartitionById(lots, "lot").sortWithinPartitions("kind")
+
+
 def search(docs: DataFrame, is_query, k: int = 10) -> DataFrame:
     """``query_id, rank, doc_id, score``: the k best rows of ``docs(doc_id, text)`` for each row where ``is_query`` holds.
 
-    The texts of the query rows are the queries, against all rows, their own included.
-    Scores are rounded to 6 decimals; ties go to the smaller key. Queries without a
-    word, null texts among them, and rows without a word of the query give no row.
-    Repeated rows are found each for itself and ask once, with the
-    first of their texts. Rows
-    whose key is null can be found (their ``doc_id`` is null) but are no queries. An empty table gives no rows.
+    The texts of the query rows are the queries, whole, against all rows, their own
+    included. Scores are rounded to 6 decimals; ties go to the smaller key. Queries
+    without a word, null texts among them, and rows without a word of the query give
+    no row. Repeated rows are found each for itself and ask once, with the first of
+    their texts. Rows whose key is null can be found (their ``doc_id`` is null) but
+    are no queries. An empty table gives no rows; other columns, whatever their names,
+    are not read.
+
+    Each block of queries goes to each lot, and lots grow with the postings: what is
+    sent is all texts once, and all queries for each ``LOT_POSTS`` postings.
     """
     bounded_batches(docs.sparkSession)
     n = row_count(docs)
@@ -257,31 +387,20 @@ def search(docs: DataFrame, is_query, k: int = 10) -> DataFrame:
     weighed = written(parts.join(known, "term"), "queries")
     blocks = max(1, -(-weighed.agg(F.count_distinct("query_id")).first()[0] // QUERY_BLOCK))
     asked_blocks = written(query_blocks(weighed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))), "query-blocks")
-    lots = max(1, min(docs.sparkSession.sparkContext.defaultParallelism * LOTS_A_CORE, -(-n // BLOCK)))
-    each = lambda c, m: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(c)
-    sent = asked_blocks.select(each("lot", lots), "*", F.lit(0).alias("kind"))
-    held = frame.withColumn("lot", F.pmod(F.monotonically_increasing_id(), F.lit(lots)).cast("int")).select("*", each("block", blocks), F.lit(1).alias("kind"))
-    stream = sent.unionByName(held, allowMissingColumns=True).repartition("lot", "block").sortWithinPartitions("lot", "block", "kind")
+    postings = known.where("term is not null").agg(F.sum("df")).first()[0] or 0
+    lots = max(1, min(n, docs.sparkSession.sparkContext.defaultParallelism * LOTS_A_CORE), -(-postings // LOT_POSTS))
+    stream = dealt(frame, asked_blocks, lots)
     blobs = [p.split()[0] for p in QUERIES.split(", ")][1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, found = None, None
+        lot = Lot(mean, k)
         for b in batches:
-            marks = np.stack([np.asarray(b.column(c)) for c in ("lot", "block", "kind")])
-            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if i == j:
-                    continue
-                if tuple(marks[:2, i]) != key:
-                    if found is not None:
-                        yield found.results()
-                    key, found = tuple(marks[:2, i]), Search(n, mean, k)
-                if marks[2, i] == 0:
-                    found.ask({c: b.column(c)[i].as_buffer() for c in blobs})
-                else:
-                    found.add(b.column("doc_id").slice(i, j - i), b.column("text").slice(i, j - i))
-        if found is not None:
-            yield found.results()
+            asks = np.flatnonzero(np.asarray(b.column("kind")))
+            texts = b.num_rows - len(asks)
+            if texts:
+                lot.add(b.column("doc_id").slice(0, texts), b.column("text").slice(0, texts))
+            for i in asks.tolist():
+                yield lot.answer(Asked({c: b.column(c)[i].as_buffer() for c in blobs}, n))
 
     found_in = stream.mapInArrow(run, "query_id long, doc_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first())

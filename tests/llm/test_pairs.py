@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -168,3 +169,39 @@ def test_pipeline_stages_at_their_edges(spark, edge_docs, empty_docs):
     assert kept == []  # the long text repeats itself, the others are short
     assert sorted(r["doc_id"] is None for r in C.near_dedup(spark, clash, SMALL).collect()) == [False] * 4
     assert C.secret_scan(spark, clash, SMALL).count() == clash.count()
+
+
+def test_op2_sends_texts_once(spark, monkeypatch):
+    seen = []
+    whole = search.dealt
+    monkeypatch.setattr(search, "dealt", lambda frame, blocks, lots: seen.append((frame.count(), blocks.count(), lots, whole(frame, blocks, lots))) or seen[-1][3])
+    monkeypatch.setattr(search, "QUERY_BLOCK", 5)
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    search.search(docs, F.col("doc_id") % 50 == 0)
+    n, blocks, lots, stream = seen[0]
+    rows = stream.groupBy("kind").count().collect()
+    assert blocks >= 3 and {r["kind"]: r["count"] for r in rows} == {0: n, 1: blocks * lots}
+    monkeypatch.setattr(search, "LOT_POSTS", 1000)
+    search.search(docs, F.col("doc_id") % 50 == 0)
+    assert seen[1][2] > 10 * lots  # lots grow with the postings
+
+
+def test_op2_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abAB é "), rng.integers(1, 9))) for _ in range(3000)]
+    text = " ".join(words) + "\n" + "x" * 5000 + "\t\x0b"
+    want = Counter(w.decode() for w in text.encode().lower().split())
+    sizes = set()
+    for piece in (7, 100, 1 << 18):
+        monkeypatch.setattr(search, "PIECE", piece)
+        hashes, counts, n = search.vectors([None, text, "", "a b a"])
+        assert n.tolist() == [0, len(want), 0, 2] and sorted(counts[: len(want)].tolist()) == sorted(want.values())
+        sizes.add(hashes.tobytes())
+    assert len(sizes) == 1
+
+
+def test_op2_many_equal_documents(spark):
+    rows = [(i, "one and the same text of some words") for i in range(400)] + [(1000 + i, f"one other text {i}") for i in range(50)]
+    found = search.search(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id").isin(3, 1007), k=5).collect()
+    got = {(r["query_id"], r["rank"]): r["doc_id"] for r in found}
+    assert [got[3, k] for k in range(1, 6)] == [0, 1, 2, 3, 4] and got[1007, 1] == 1007
