@@ -20,29 +20,48 @@ def tier_exclusion(df: DataFrame, exact: str, loose: str, member: str) -> DataFr
     return clone_groups(df, loose, member).join(reps, loose, "left_anti")
 
 
-def common_runs(df: DataFrame, seq: str, pos: str, fp: str, least: int, most: int | None = None) -> DataFrame:
+def _grams(df: DataFrame, seq: str, pos: str, fp: str, least: int) -> DataFrame:
+    """``seq, pos, fp``: every stretch of ``least`` consecutive fingerprints, none of them null, by where it starts."""
+    own = Window.partitionBy(seq).orderBy(pos)
+    whole = [F.lead(pos, k).over(own) == F.col(pos) + k for k in range(1, least)]
+    gram = F.array(F.col(fp), *(F.lead(fp, k).over(own) for k in range(1, least)))
+    grams = df.select(F.col(seq).alias("seq"), F.col(pos).alias("pos"), gram.alias("fp"), reduce(and_, whole, F.lit(True)).alias("whole"))
+    return grams.where("whole").drop("whole").where(F.forall("fp", lambda x: x.isNotNull()))
+
+
+def common_runs(df: DataFrame, seq: str, pos: str, fp: str, least: int) -> DataFrame:
     """Maximal runs of equal fingerprints at consecutive positions of two sequences.
 
-    All common runs of ``least`` or more are found: seeds are ``least`` consecutive
-    fingerprints, so a frequent one makes pairs only where it stands in a run that
-    counts. With ``most``, fingerprints that occur more often are left out before,
-    and runs that hold them are lost or split. Positions are distinct in a sequence.
-    Runs are islands on the diagonals of the position grid.
+    All common runs of ``least`` or more are found, for all pairs of sequences: rows
+    grow with the square of the sequences that share a run, so this is for tables
+    where few do; :func:`runs_from_first` has no such growth. Seeds are ``least``
+    consecutive fingerprints. Positions are distinct in a sequence. Runs are islands
+    on the diagonals of the position grid.
     """
-    if most is None:
-        own = Window.partitionBy(seq).orderBy(pos)
-        whole = [F.lead(pos, k).over(own) == F.col(pos) + k for k in range(1, least)]
-        gram = F.array(F.col(fp), *(F.lead(fp, k).over(own) for k in range(1, least)))
-        grams = df.select(F.col(seq).alias("seq"), F.col(pos).alias("pos"), gram.alias("fp"), reduce(and_, whole, F.lit(True)).alias("whole"))
-        seeds, more = grams.where("whole").drop("whole").where(F.forall("fp", lambda x: x.isNotNull())), least - 1
-    else:
-        rare = df.groupBy(fp).agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most)).select(fp)
-        seeds, more = df.join(rare, fp, "left_semi").select(F.col(seq).alias("seq"), F.col(pos).alias("pos"), F.col(fp).alias("fp")), 0
+    seeds = _grams(df, seq, pos, fp, least)
     a, b = (seeds.select("fp", F.col("seq").alias(f"seq_{x}"), F.col("pos").alias(f"pos_{x}")) for x in "ab")
     met = a.join(b, "fp").where("seq_a < seq_b").withColumn("diagonal", F.col("pos_a") - F.col("pos_b"))
     island = F.col("pos_a") - F.row_number().over(Window.partitionBy("seq_a", "seq_b", "diagonal").orderBy("pos_a"))
     runs = met.withColumn("island", island).groupBy("seq_a", "seq_b", "diagonal", "island")
-    return runs.agg(F.min("pos_a").alias("start_a"), F.min("pos_b").alias("start_b"), (F.count(F.lit(1)) + more).alias("n")).where(F.col("n") >= least).drop("diagonal", "island")
+    return runs.agg(F.min("pos_a").alias("start_a"), F.min("pos_b").alias("start_b"), (F.count(F.lit(1)) + least - 1).alias("n")).drop("diagonal", "island")
+
+
+def runs_from_first(df: DataFrame, seq: str, pos: str, fp: str, least: int) -> DataFrame:
+    """``seq, start, first_seq, first_start, n``: common runs, each against the first place that has it.
+
+    A stretch of ``least`` fingerprints belongs to the smallest sequence that has it, at
+    its smallest position there; stretches that follow one another in both are one
+    run. Every stretch that two sequences share lies in a run of all of them but the
+    first, so sequences share it exactly if their runs meet there: what is shared is
+    known in full, in rows that grow with the stretches and not with their pairs.
+    A stretch's first place is one row a stretch, so Spark can split a hot one.
+    """
+    grams = _grams(df, seq, pos, fp, least)
+    first = grams.groupBy("fp").agg(F.min(F.struct("seq", "pos")).alias("o"), F.max("seq").alias("last")).where("o.seq <> last").select("fp", F.col("o.seq").alias("first_seq"), F.col("o.pos").alias("first_pos"))
+    met = grams.join(first, "fp").where("seq <> first_seq").withColumn("diagonal", F.col("first_pos") - F.col("pos"))
+    island = F.col("pos") - F.row_number().over(Window.partitionBy("seq", "first_seq", "diagonal").orderBy("pos"))
+    runs = met.withColumn("island", island).groupBy("seq", "first_seq", "diagonal", "island")
+    return runs.agg(F.min("pos").alias("start"), F.min("first_pos").alias("first_start"), (F.count(F.lit(1)) + least - 1).alias("n")).drop("diagonal", "island")
 
 
 def representative(df: DataFrame, key: str, member: str, size: str) -> DataFrame:

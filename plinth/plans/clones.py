@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.operators.clones import clone_groups, common_runs, representative, tier_exclusion
+from plinth.operators.clones import clone_groups, representative, runs_from_first, tier_exclusion
 from plinth.operators.joins import subsumed
 from plinth.plans.helpers import table
 from plinth.plans.registry import query
 
-#: Lines count from this length and up to this frequency in :func:`clone_fragment_runs`; the cap holds in its SQL too.
-LINE_CHARS, LINE_MOST = 12, 20
+#: Lines count from this length in :func:`clone_fragment_runs`.
+LINE_CHARS = 12
 
 
 @query(
@@ -48,28 +48,27 @@ def _normal(text: str = "text"):
 
 
 @query(f"""
-    SELECT sha1(array_to_string(string_split({NORMAL_SQL}, ' ')[1:8], ' ')) AS fp, count(*) AS n_members, min(doc_id) AS first_member
-    FROM documents GROUP BY 1 HAVING count(*) > 1
+    SELECT sha1({NORMAL_SQL}) AS fp, count(*) AS n_members, min(doc_id) AS first_member
+    FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1
     """)
 def clone_normalized_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups by the first eight normalised tokens."""
+    """Groups by the whole normalised text."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    keyed = docs.select("doc_id", F.sha1(F.array_join(F.slice(F.split(_normal(), " "), 1, 8), " ")).alias("fp"))
-    return clone_groups(keyed, "fp", "doc_id")
+    return clone_groups(docs.select("doc_id", F.sha1(_normal()).alias("fp")), "fp", "doc_id")
 
 
-@query(f"""
-    WITH k AS (SELECT doc_id, sha1(text) AS x, sha1(array_to_string(string_split({NORMAL_SQL}, ' ')[1:8], ' ')) AS n FROM documents),
-    exact AS (SELECT x, min(doc_id) AS rep FROM k GROUP BY x HAVING count(*) > 1),
-    norm AS (SELECT n, count(*) AS n_members, min(doc_id) AS first_member FROM k GROUP BY n HAVING count(*) > 1)
-    SELECT n AS fp, n_members, first_member FROM norm
-    WHERE NOT EXISTS (SELECT 1 FROM exact JOIN k ON k.doc_id = exact.rep WHERE k.n = norm.n)
+@query("""
+    WITH k AS (SELECT p_partkey, sha1(concat_ws('|', p_name, p_brand, p_type, p_size)) AS x, sha1(concat_ws('|', p_name, p_size)) AS n FROM part),
+    exact AS (SELECT x, min(p_partkey) AS rep FROM k GROUP BY x HAVING count(*) > 1),
+    loose AS (SELECT n, count(*) AS n_members, min(p_partkey) AS first_member FROM k GROUP BY n HAVING count(*) > 1)
+    SELECT n AS fp, n_members, first_member FROM loose
+    WHERE NOT EXISTS (SELECT 1 FROM exact JOIN k ON k.p_partkey = exact.rep WHERE k.n = loose.n)
     """)
 def clone_tier_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised groups that no exact group's representative belongs to."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    keyed = docs.select("doc_id", F.sha1("text").alias("x"), F.sha1(F.array_join(F.slice(F.split(_normal(), " "), 1, 8), " ")).alias("fp"))
-    return tier_exclusion(keyed, "x", "fp", "doc_id")
+    """Parts alike in name and size, but for groups that a part of an exact group represents."""
+    part = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    keyed = part.select("p_partkey", F.sha1(F.concat_ws("|", "p_name", "p_brand", "p_type", "p_size")).alias("x"), F.sha1(F.concat_ws("|", "p_name", "p_size")).alias("fp"))
+    return tier_exclusion(keyed, "x", "fp", "p_partkey")
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE n_chars >= 20")
@@ -93,22 +92,19 @@ def clone_data_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
     k AS (SELECT doc_id, pos, sha1(line) AS fp FROM l WHERE length(line) >= {LINE_CHARS}),
-    f AS (SELECT fp FROM k GROUP BY fp HAVING count(*) BETWEEN 2 AND {LINE_MOST}),
-    m AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.pos AS pos_a, b.pos AS pos_b FROM k a JOIN k b ON a.fp = b.fp AND a.doc_id < b.doc_id WHERE a.fp IN (SELECT fp FROM f)),
-    g AS (SELECT *, pos_a - row_number() OVER (PARTITION BY doc_a, doc_b, pos_a - pos_b ORDER BY pos_a) AS island FROM m)
-    SELECT doc_a, doc_b, min(pos_a)::BIGINT AS start_a, min(pos_b)::BIGINT AS start_b, count(*) AS n_lines
-    FROM g GROUP BY doc_a, doc_b, pos_a - pos_b, island HAVING count(*) >= 2
+    p AS (SELECT doc_id, pos, fp, lead(fp) OVER w AS fp2 FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY pos) QUALIFY lead(pos) OVER w = pos + 1),
+    f AS (SELECT fp, fp2, min(struct_pack(d := doc_id, p := pos)) AS o FROM p GROUP BY fp, fp2),
+    m AS (SELECT doc_id, pos, o.d AS first_doc, o.p AS first_pos FROM p JOIN f USING (fp, fp2) WHERE doc_id <> o.d),
+    g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, first_doc, first_pos - pos ORDER BY pos) AS island FROM m)
+    SELECT doc_id, first_doc, min(pos)::BIGINT AS start, min(first_pos)::BIGINT AS first_start, count(*) + 1 AS n_lines
+    FROM g GROUP BY doc_id, first_doc, first_pos - pos, island
     """)
 def clone_fragment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maximal common runs of two lines or more between documents.
-
-    Lines that occur over {LINE_MOST} times are not seeds; the cap bounds the pairs of
-    one line and is part of the query's definition.
-    """
+    """Each document's maximal runs of two lines or more that an earlier document has, against the first that has them."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") >= LINE_CHARS)
     keyed = lines.select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), F.sha1("line").alias("fp"))
-    return common_runs(keyed, "doc_id", "pos", "fp", 2, LINE_MOST).select(F.col("seq_a").alias("doc_a"), F.col("seq_b").alias("doc_b"), "start_a", "start_b", F.col("n").alias("n_lines"))
+    return runs_from_first(keyed, "doc_id", "pos", "fp", 2).select(F.col("seq").alias("doc_id"), F.col("first_seq").alias("first_doc"), "start", "first_start", F.col("n").alias("n_lines"))
 
 
 @query("""

@@ -11,37 +11,42 @@ from plinth.operators.tables import written
 from plinth.plans.helpers import table
 from plinth.plans.registry import query
 
+#: In the sparse graph an edge counts if it occurs so often; the whole graph has all edges.
+STRONG = 3
 EDGES_SQL = """
     e AS (SELECT user_id AS u, lead(user_id) OVER (ORDER BY ts, event_id) AS v FROM events),
     w AS (SELECT u, v, count(*) AS n FROM e WHERE v IS NOT NULL AND u <> v GROUP BY u, v),
-    g AS (SELECT u, v FROM w QUALIFY row_number() OVER (PARTITION BY u ORDER BY n DESC, v) <= {top})
+    g AS (SELECT u, v FROM w {which})
 """
-G1, G2 = EDGES_SQL.format(top=1), EDGES_SQL.format(top=2)
+WHOLE, SPARSE = EDGES_SQL.format(which=""), EDGES_SQL.format(which=f"WHERE n >= {STRONG}")
+#: Only the functional graph of :func:`chain_depth` has one edge a user: the most frequent, the smaller target of equals.
+NEXT = EDGES_SQL.format(which="QUALIFY row_number() OVER (PARTITION BY u ORDER BY n DESC, v) = 1")
 
 
-def _edges(spark: SparkSession, sf_dir: str, top: int) -> DataFrame:
-    """The ``top`` most frequent next users of each user; ties go to the smaller id."""
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = global_lead(table(spark, sf_dir, "events", "event_id", "ts", "user_id"), ["ts", "event_id"], "user_id", "v")
-    counted = led.where("v is not null and v <> user_id").groupBy(F.col("user_id").alias("u"), "v").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("u").orderBy(F.col("n").desc(), "v")
-    return written(counted.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select("u", "v"), "user-edges")
+    return led.where("v is not null and v <> user_id").groupBy(F.col("user_id").alias("u"), "v").agg(F.count("*").alias("n"))
+
+
+def _edges(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
+    """The edges that occur ``least`` times or more."""
+    return written(_weighted(spark, sf_dir).where(F.col("n") >= least).select("u", "v"), "user-edges")
 
 
 def _roots(spark: SparkSession, node: int) -> DataFrame:
     return spark.createDataFrame([(node,)], "node long")
 
 
-@query(f"WITH {G2.replace('g AS', 'unused_g AS')} SELECT u AS node, count(DISTINCT v) AS degree FROM w GROUP BY u")
+@query(f"WITH {WHOLE} SELECT u AS node, count(DISTINCT v) AS degree FROM g GROUP BY u")
 def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct targets of each user (A3)."""
-    led = global_lead(table(spark, sf_dir, "events", "event_id", "ts", "user_id"), ["ts", "event_id"], "user_id", "v")
-    return led.where("v is not null and v <> user_id").groupBy(F.col("user_id").alias("node")).agg(F.countDistinct("v").alias("degree"))
+    return _weighted(spark, sf_dir).groupBy(F.col("u").alias("node")).agg(F.count("v").alias("degree"))
 
 
-@query(f"WITH RECURSIVE {G2}, r(node) AS (SELECT 0::BIGINT UNION SELECT v FROM r JOIN g ON u = node) SELECT node FROM r")
+@query(f"WITH RECURSIVE {WHOLE}, r(node) AS (SELECT 0::BIGINT UNION SELECT v FROM r JOIN g ON u = node) SELECT node FROM r")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users reached from user 0 (G1)."""
-    return G.reachable(_edges(spark, sf_dir, 2), _roots(spark, 0)).select("node")
+    return G.reachable(_edges(spark, sf_dir), _roots(spark, 0)).select("node")
 
 
 SCC_SQL = """
@@ -50,16 +55,16 @@ SCC_SQL = """
 """
 
 
-@query(f"WITH RECURSIVE {G1}, {SCC_SQL} SELECT node, component FROM s")
+@query(f"WITH RECURSIVE {SPARSE}, {SCC_SQL} SELECT node, component FROM s")
 def scc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strongly connected components of the graph of most frequent next users."""
-    return G.strongly_connected(_edges(spark, sf_dir, 1))
+    """Strongly connected components of the sparse graph."""
+    return G.strongly_connected(_edges(spark, sf_dir, STRONG))
 
 
-@query(f"WITH RECURSIVE {G2}, {SCC_SQL} SELECT node, component FROM s")
+@query(f"WITH RECURSIVE {WHOLE}, {SCC_SQL} SELECT node, component FROM s")
 def scc_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the graph with two edges a user."""
-    return G.strongly_connected(_edges(spark, sf_dir, 2))
+    """Components of the whole graph."""
+    return G.strongly_connected(_edges(spark, sf_dir))
 
 
 CYCLE_SQL = """
@@ -75,18 +80,18 @@ CYCLE_SQL = """
 
 
 def _cycles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    edges = _edges(spark, sf_dir, 2)
+    edges = _edges(spark, sf_dir, STRONG)
     return edges, G.greedy_cycles(edges, G.strongly_connected(edges))
 
 
-@query(f"WITH RECURSIVE {G2}, {SCC_SQL}, {CYCLE_SQL} SELECT component, ix::INTEGER AS ix, node FROM pos")
+@query(f"WITH RECURSIVE {SPARSE}, {SCC_SQL}, {CYCLE_SQL} SELECT component, ix::INTEGER AS ix, node FROM pos")
 def representative_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One cycle of each component."""
     return _cycles(spark, sf_dir)[1].select("component", "ix", "node")
 
 
 @query(f"""
-    WITH RECURSIVE {G2}, {SCC_SQL}, {CYCLE_SQL},
+    WITH RECURSIVE {SPARSE}, {SCC_SQL}, {CYCLE_SQL},
     deg AS (SELECT u AS node, count(DISTINCT v) AS d FROM w GROUP BY u),
     p AS (SELECT component, ix, node, lead(node) OVER (PARTITION BY component ORDER BY ix) AS nxt FROM pos)
     SELECT component, node AS cut_from, nxt AS cut_to, greatest(coalesce(d, 0), 1)::BIGINT AS score FROM p LEFT JOIN deg USING (node) WHERE nxt IS NOT NULL
@@ -98,16 +103,17 @@ def edge_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH RECURSIVE {G1}, n(first, pt, depth) AS (SELECT u, u, 0 FROM g UNION ALL SELECT first, v, depth + 1 FROM n JOIN g ON u = pt WHERE depth < 400)
+    WITH RECURSIVE {NEXT}, n(first, pt, depth) AS (SELECT u, u, 0 FROM g UNION ALL SELECT first, v, depth + 1 FROM n JOIN g ON u = pt WHERE depth < 400)
     SELECT first AS node, CASE WHEN max(depth) >= 400 THEN -1 ELSE max(depth) END::BIGINT AS depth FROM n GROUP BY first
     """)
 def chain_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps from each user along most frequent next users; -1 if they never end."""
-    return G.chain_depths(_edges(spark, sf_dir, 1))
+    most = F.max_by("v", F.struct("n", -F.col("v")))
+    return G.chain_depths(written(_weighted(spark, sf_dir).groupBy("u").agg(most.alias("v")), "user-next"))
 
 
 @query(f"""
-    WITH RECURSIVE {G1}, d(node) AS (SELECT DISTINCT v FROM g WHERE v % 5 = 0),
+    WITH RECURSIVE {SPARSE}, d(node) AS (SELECT DISTINCT v FROM g WHERE v % 5 = 0),
     k AS (SELECT node, 0 AS r FROM d),
     p(r, dead) AS (SELECT 0, (SELECT list(node) FROM d) UNION ALL
       SELECT r + 1, list_concat(dead, (SELECT coalesce(list(x.u), []) FROM (SELECT u FROM g GROUP BY u HAVING bool_and(list_contains(dead, v))) x WHERE NOT list_contains(dead, x.u))) FROM p WHERE r < 60)
@@ -115,24 +121,24 @@ def chain_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """)
 def dead_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users all of whose targets are dead, from a seed set on."""
-    edges = _edges(spark, sf_dir, 1)
+    edges = _edges(spark, sf_dir, STRONG)
     seeds = edges.where("v % 5 = 0").select(F.col("v").alias("node"))
     return G.propagate_dead(edges, edges.select(F.col("u").alias("node")).distinct(), seeds)
 
 
-@query(f"WITH RECURSIVE {G2}, r(node) AS (SELECT 0::BIGINT UNION SELECT v FROM r JOIN g ON u = node WHERE v % 7 <> 3) SELECT DISTINCT v AS node FROM g WHERE v NOT IN (SELECT node FROM r)")
+@query(f"WITH RECURSIVE {WHOLE}, r(node) AS (SELECT 0::BIGINT UNION SELECT v FROM r JOIN g ON u = node WHERE v % 7 <> 3) SELECT DISTINCT v AS node FROM g WHERE v NOT IN (SELECT node FROM r)")
 def set_domination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users that user 0 reaches only through a set, or not at all."""
-    edges = _edges(spark, sf_dir, 2)
+    edges = _edges(spark, sf_dir)
     nodes = edges.select(F.col("v").alias("node")).distinct()
     free = G.reachable(edges, _roots(spark, 0), avoid=nodes.where("node % 7 = 3")).select("node")
     return nodes.join(free, "node", "left_anti")
 
 
-@query(f"WITH RECURSIVE {G2}, k AS (SELECT u, v FROM g WHERE u % 7 <> 3 OR (u + v) % 2 = 0), r(node) AS (SELECT 0::BIGINT UNION SELECT v FROM r JOIN k ON u = node) SELECT node FROM r")
+@query(f"WITH RECURSIVE {WHOLE}, k AS (SELECT u, v FROM g WHERE u % 7 <> 3 OR (u + v) % 2 = 0), r(node) AS (SELECT 0::BIGINT UNION SELECT v FROM r JOIN k ON u = node) SELECT node FROM r")
 def edge_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users still reached when a set of users is left only over exceptional edges."""
-    edges = _edges(spark, sf_dir, 2)
+    edges = _edges(spark, sf_dir)
     return G.reachable(edges.where("u % 7 <> 3 or (u + v) % 2 = 0"), _roots(spark, 0)).select("node")
 
 

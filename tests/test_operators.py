@@ -129,7 +129,7 @@ def test_representative_takes_the_upper_median(spark):
 def test_common_runs(spark):
     rows = [(1, i, f) for i, f in enumerate("abcxyz")] + [(2, i, f) for i, f in enumerate("qabcyz")]
     df = spark.createDataFrame(rows, "s long, p long, f string")
-    got = {tuple(r) for r in clones.common_runs(df, "s", "p", "f", 2, 9).collect()}
+    got = {tuple(r) for r in clones.common_runs(df, "s", "p", "f", 2).collect()}
     assert got == {(1, 2, 0, 1, 3), (1, 2, 4, 4, 2)}
 
 
@@ -155,3 +155,29 @@ def test_equal_findings_collapse(spark):
     df = spark.createDataFrame([(1,), (1,), (2,)], "f long")
     part = report.finding(df, "waste", "W", F.col("f"), F.lit(1), F.lit("k"), F.lit("l"))
     assert report.flatten(part, part).count() == 2
+
+
+def test_runs_from_first_cover_all_that_is_shared(spark):
+    rng = random.Random(9)
+    texts = [[rng.choice("hhabcd") for _ in range(rng.randint(0, 12))] for _ in range(30)]
+    rows = [(s, p, f) for s, t in enumerate(texts) for p, f in enumerate(t)]
+    runs = clones.runs_from_first(spark.createDataFrame(rows, "s long, p long, f string"), "s", "p", "f", 2).collect()
+    places: dict = {}
+    for s, t in enumerate(texts):
+        for p in range(len(t) - 1):
+            places.setdefault((t[p], t[p + 1]), []).append((s, p))
+    covered: dict = {}
+    for r in runs:
+        assert r["first_seq"] < r["seq"] and texts[r["seq"]][r["start"] : r["start"] + r["n"]] == texts[r["first_seq"]][r["first_start"] : r["first_start"] + r["n"]]
+        for k in range(r["n"] - 1):
+            key = (r["seq"], r["start"] + k)
+            assert key not in covered
+            covered[key] = (r["first_seq"], r["first_start"] + k)
+    want = {o: min(at) for at in places.values() for o in at if o[0] != min(at)[0]}
+    assert covered == want
+
+
+def test_runs_from_first_with_a_line_in_a_thousand_documents(spark):
+    rows = [(s, p, f) for s in range(1000) for p, f in enumerate(["head", "license", "all rights", f"own {s}"])]
+    runs = clones.runs_from_first(spark.createDataFrame(rows, "s long, p long, f string"), "s", "p", "f", 2).collect()
+    assert len(runs) == 999 and {(r["first_seq"], r["start"], r["first_start"], r["n"]) for r in runs} == {(0, 0, 0, 3)}
