@@ -7,18 +7,19 @@ read back.
 
 Layout under the store's path (Parquet as container, so any file system of Spark's):
 
-- ``data/kind=chunk``: ``key`` (BLAKE2b-128 of the ids), ``payload`` (ids, zstd over
-  16- or 32-bit little-endian integers; the first byte tells the width).
-- ``data/kind=recipe``: written beside the chunks in the same pass.
-- ``recipes``: ``doc_id, start, n_tokens, chunks, sizes, root`` in ascending order of
+- ``data``: rows of kind ``chunk`` with ``key`` (BLAKE2b-128 of the ids) and ``payload``
+  (ids, zstd over 16- or 32-bit little-endian integers; the first byte tells the
+  width), and rows of kind ``recipe``, written beside the chunks in the same pass.
+- ``ordered``: ``doc_id, before, n_tokens, chunks, sizes, root`` in ascending order of
   ``doc_id``, file after file.
 - ``manifest``: per recipe file its rows, ids and Merkle root.
 
-Shuffles: chunks once, by digest, combined before the shuffle so that a chunk
-which very many documents share moves once a task; then recipes, which hold 16
-bytes a chunk. Reading checks every chunk against its digest and takes its crc32;
-a document's crc32 is the exclusive or of its chunks' values, each shifted by the
-ids that follow, so payloads are not shuffled again.
+Shuffles: chunks once, by digest; an encoding task sends a chunk that many of its
+documents share once, and what still repeats between tasks is dropped after the
+shuffle, where rows are sorted by digest. Then recipes, which hold 16 bytes a
+chunk. Reading checks every chunk against its digest and takes its crc32; a
+document's crc32 is the exclusive or of its chunks' values, each shifted by the ids
+that follow, so payloads are not shuffled again.
 """
 
 from __future__ import annotations
@@ -33,14 +34,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm.common import SLICE_ROWS, bounded_batches, documents, scratch
+from plinth.llm.common import SLICE_ROWS, bounded_batches, documents, row_count, scratch
 from plinth.llm.wordbpe import default_vocabulary, library
 
 #: Chunk sizes in ids: least, expected beyond the least, most; and the ids that the rolling hash sees.
 MIN_IDS, MEAN_IDS, MAX_IDS, WINDOW = 256, 1024, 4096, 4
 DIGEST = 16
-#: Recipes of a file under one subtree of its Merkle tree.
-STRETCH = 1024
+#: Recipes of a file under one subtree of its Merkle tree, and recipes that a file holds about.
+STRETCH, FILE_ROWS = 1024, 1 << 16
+#: Digests that an encoding task remembers as sent; later ones may be sent again and are dropped after the shuffle.
+SENT = 1 << 18
 
 
 class StoreError(RuntimeError):
@@ -114,7 +117,7 @@ def encode_chunks(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         import zstandard
 
         press, coder, end = zstandard.ZstdCompressor(level=1), library(vocabulary), np.array([end_id], "<u4").tobytes()
-        task, row = TaskContext.get().partitionId(), 0
+        task, row, sent = TaskContext.get().partitionId(), 0, set()
         kinds = pa.DictionaryArray.from_arrays
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE_ROWS):
@@ -131,13 +134,15 @@ def encode_chunks(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                     for e in ends:
                         raw = whole[4 * (at + prior) : 4 * (at + e)]
                         names.append(name := digest(raw))
-                        if name not in own:
+                        if name not in sent and name not in own:
                             own[name] = raw
                         prior = e
                     recipes.append(names)
                     lengths.append(np.diff([0, *ends]).astype(np.int32))
                     keys.append(task.to_bytes(8, "big") + row.to_bytes(8, "big"))
                     row += 1
+                if len(sent) < SENT:
+                    sent.update(own)
                 n, m = len(own), len(recipes)
                 kind = kinds(pa.array([0] * n + [1] * m, pa.int32()), pa.array(["chunk", "recipe"])).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
@@ -150,7 +155,7 @@ def encode_chunks(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                         pa.array([None] * n + recipes, pa.list_(pa.binary())),
                         pa.array([None] * n + lengths, pa.list_(pa.int32())),
                     ],
-                    names=[p.split()[0] for p in PART.split(", ")],
+                    names=fields(PART),
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, PART)
@@ -161,15 +166,24 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) ->
 
     Null and empty texts have the end id alone; very long texts are cut into more
     chunks; equal ``doc_id`` each keep a recipe, ordered by a hash of their chunks, with
-    nulls first; an empty table gives an empty store.
+    nulls first; an empty table gives an empty store; other columns, whatever their
+    names, are not read.
     """
     spark = docs.sparkSession
     parts = encode_chunks(docs, vocabulary, end_id)
-    once = parts.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in ("doc_id", "n_tokens", "payload", "chunks", "sizes")))
-    once.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/data")
-    fields = spark.createDataFrame([], PART).schema
-    recipes = spark.read.schema(fields).parquet(f"{path}/data").where("kind = 'recipe'").select("doc_id", "n_tokens", "chunks", "sizes")
-    order_recipes(recipes, path)
+    rest = F.first(F.struct(*(c for c in fields(PART) if c != "key"))).alias("x")
+    once = parts.repartition("key").groupBy("key").agg(rest).select("key", *(f"x.{c}" for c in fields(PART) if c != "key"))
+    once.write.option("compression", "zstd").parquet(f"{path}/data")
+    order_recipes(_data(spark, path, "recipe").select("key", "doc_id", "n_tokens", "chunks", "sizes"), path)
+
+
+def fields(schema: str) -> list[str]:
+    """Names of the columns of a schema in text form."""
+    return [part.split()[0] for part in schema.split(", ")]
+
+
+def _data(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(PART).parquet(f"{path}/data").where(F.col("kind") == kind)
 
 
 RECIPE = "file int, place long, doc_id long, before long, n_tokens long, chunks array<binary>, sizes array<int>, root binary"
@@ -188,13 +202,16 @@ def order_recipes(recipes: DataFrame, path: str) -> None:
             size = b.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(size, task, np.int32)), pa.array(np.arange(place, place + size)), b.column("doc_id"), pa.array(ends - n), *(b.column(c) for c in ("n_tokens", "chunks", "sizes")), pa.array(roots, pa.binary())],
-                names=[p.split()[0] for p in RECIPE.split(", ")],
+                names=fields(RECIPE),
             )
             place, before = place + size, int(ends[-1]) if size else before
 
-    ranged = recipes.repartitionByRange(spark.sparkContext.defaultParallelism * 2, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("chunks"))
+    # The key, which no two recipes share, lets ranges cut through rows with one doc_id.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("chunks"), F.col("key")]
+    files = max(spark.sparkContext.defaultParallelism, -(-row_count(recipes) // FILE_ROWS))
+    ranged = recipes.repartitionByRange(files, *order).sortWithinPartitions(*order).drop("key")
     ranged.mapInArrow(run, RECIPE).write.parquet(f"{path}/ordered")
-    ordered = spark.read.schema(spark.createDataFrame([], RECIPE).schema).parquet(f"{path}/ordered")
+    ordered = spark.read.schema(RECIPE).parquet(f"{path}/ordered")
     files = file_roots(ordered)
     rows, start = [], 0
     for r in sorted(files.collect(), key=lambda r: r["file"]):
@@ -231,7 +248,7 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
 
     Every recipe file's rows, ids and Merkle root are computed anew and held against the manifest first.
     """
-    ordered = spark.read.schema(spark.createDataFrame([], RECIPE).schema).parquet(f"{path}/ordered")
+    ordered = spark.read.schema(RECIPE).parquet(f"{path}/ordered")
     manifest = spark.read.schema("file int, start long, rows long, ids long, root string").parquet(f"{path}/manifest")
     found, start = {r["file"]: (r["rows"], r["ids"], r["root"]) for r in file_roots(ordered).collect()}, 0
     told = sorted(manifest.collect(), key=lambda r: r["file"])
@@ -248,7 +265,7 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_chunks(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Every stored chunk, checked against its digest: ``key, crc, n`` and, if asked for, ``ids`` as 32-bit bytes."""
-    stored = spark.read.schema(spark.createDataFrame([], PART).schema).parquet(f"{path}/data").where("kind = 'chunk'").select("key", "payload")
+    stored = _data(spark, path, "chunk").select("key", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
