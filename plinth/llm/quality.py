@@ -155,7 +155,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents
 ), x AS (SELECT row_number() OVER () AS id, * FROM d),
 win AS (
   SELECT id, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM x)
@@ -164,17 +165,16 @@ rep AS (SELECT id, count(DISTINCT i + j) AS n FROM twice, range(0, 8) AS t(j) GR
 m AS (
   SELECT x.id, doc_id, text, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
-    len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))
-      - len(list_distinct(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines,
     coalesce(rep.n, 0) AS n_repeat_words,
     len(regexp_extract_all(text, '[A-Z]')) AS n_upper, len(regexp_extract_all(text, '\p{L}')) AS n_letters,
-    len(string_split(text, chr(10))) AS n_lines, len(list_distinct(string_split(text, chr(10)))) AS n_own_lines
+    len(lines) AS n_lines
   FROM x LEFT JOIN rep ON x.id = rep.id
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
   (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR 2 * n_upper > length(text)
-    OR word_chars NOT BETWEEN 2 * n_words AND 25 * n_words OR 2 * n_letters < word_chars OR 10 * (n_lines - n_own_lines) > 5 * n_lines) AS kept
+    OR word_chars NOT BETWEEN 2 * n_words AND 25 * n_words OR 2 * n_letters < word_chars OR 10 * n_dup_lines > 5 * n_lines) AS kept
 FROM m
 """
