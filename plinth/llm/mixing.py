@@ -33,6 +33,8 @@ WEIGHTS, MOST_REPEATS = (5, 2, 1), 3
 BLOCK_DOCS, LEAST_BLOCKS, MOST_BLOCKS, SHARDS = 2000, 16, 16384, 16
 #: Pieces of a shard that separate tasks write.
 PIECES = 256
+#: Sources that one task ranks.
+RANKED = 1 << 16
 SEED = 42
 
 
@@ -51,24 +53,46 @@ def order_hash(doc_id: Column, source: Column, size: Column) -> Column:
     return F.xxhash64(F.lit(SEED), doc_id, source, size)
 
 
+def running(df: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:
+    """``df`` with, for each name, the sum over all rows before its own in one order over the whole table.
+
+    Rows are ranged over partitions of bounded size; a partition's rows add up after
+    what the partitions before it hold, which is one row a partition on the driver.
+    ``order`` must be a total order.
+    """
+    parts = -(-row_count(df) // RANKED)
+    if parts < 2:
+        placed = df.withColumn("__part", F.lit(0))
+    else:
+        placed = written(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "mix-ranged")
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    held, before = [], {c: 0 for c in sums}
+    if parts > 1:
+        for r in sorted(placed.groupBy("__part").agg(*(F.sum(v).alias(c) for c, v in sums.items())).collect(), key=lambda r: r["__part"]):
+            held.append((r["__part"], dict(before)))
+            before = {c: before[c] + r[c] for c in sums}
+    start = {c: F.element_at(F.create_map(*(F.lit(x) for p, v in held for x in (p, v[c]))), F.col("__part")) if held else F.lit(0) for c in sums}
+    return placed.withColumns({c: start[c] + F.coalesce(F.sum(v).over(inside), F.lit(0)) for c, v in sums.items()}).drop("__part")
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """``sources(skey, source_size)`` with ``target``: shares of all words by weight, none above ``most`` times its size.
 
     Sources rank by code point, null last. With sources in order of ``most`` times
     size over weight, those that stop are a first stretch, so running sums give the
-    level at which all other shares stand.
+    level at which all other shares stand. Sources may be as many as hosts are; only
+    sums reach the driver.
     """
     cap = most * F.col("source_size")
-    ranked = sources.withColumn("rank", F.row_number().over(Window.orderBy((F.col("skey") == "").cast("int"), "skey")))
-    weighed = ranked.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1)).withColumn("level", cap / F.col("weight"))
-    order = Window.orderBy("level", "skey")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    total = F.sum("source_size").over(whole)
-    rest = (total - F.coalesce(F.sum(cap).over(before), F.lit(0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    levelled = weighed.withColumn("rest", rest)
-    stand = F.min(F.when(F.col("rest") <= F.col("level"), F.struct("level", "skey", "rest"))).over(whole)["rest"]
-    return levelled.withColumn("stand", stand).select("skey", "source_size", F.least(cap.cast("double"), F.col("weight") * F.coalesce("stand", F.lit(float("inf")))).alias("target"))
+    ranked = running(sources, [(F.col("skey") == "").cast("int"), F.col("skey")], {"rank": F.lit(1).cast("long")})
+    weighed = ranked.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.pmod("rank", F.lit(len(weights))).cast("int") + 1)).withColumn("level", cap / F.col("weight"))
+    weighed = written(weighed, "mix-ranked")
+    all_size, all_weight = weighed.agg(F.sum("source_size"), F.sum("weight")).first()
+    levelled = running(weighed, [F.col("level"), F.col("skey")], {"cap_before": cap, "weight_before": F.col("weight")})
+    rest = (F.lit(all_size or 0) - F.col("cap_before")) / (F.lit(all_weight or 0.0) - F.col("weight_before"))
+    first = levelled.withColumn("rest", rest).agg(F.min(F.when(F.col("rest") <= F.col("level"), F.struct("level", "skey", "rest"))).alias("m")).first()["m"]
+    stand = float("inf") if first is None else first["rest"]
+    return weighed.select("skey", "source_size", F.least(cap.cast("double"), F.col("weight") * F.lit(stand)).alias("target"))
 
 
 def _size_table(docs: DataFrame, name: str) -> DataFrame:
@@ -160,20 +184,25 @@ def mix_sizes(docs: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] =
 
     ``taken`` is 0 for documents that the mix leaves out; ``shards`` has one entry a
     copy, none for documents without words. Null texts and texts without words have size 0, a null source is a source
-    of its own. Rows equal in ``doc_id``, source and size are taken alike. An empty
-    table gives no rows; if no document has words, all targets are 0.
+    of its own. Rows equal in ``doc_id``, source and size are taken alike. Texts are
+    counted whole, however long; other columns are not read. An empty table gives no
+    rows; if no document has words, all targets are 0.
     """
     sized = _size_table(docs, "mix-sizes")
     plan, blocks = plan_mix(sized, shards, weights, most)
     met = sized.withColumn("block", block_of(F.col("h"), blocks)).join(plan, ["skey", "block"])
     copies = F.when(F.col("size") > 0, taken_copies(F.col("h"))).otherwise(0)
-    return met.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), F.slice("shards", F.lit(1), copies).alias("shards"))
+    # A document is taken as often as the tree deals it to a shard.
+    dealt = met.select("doc_id", "size", "source_size", "target", F.slice("shards", F.lit(1), copies).alias("shards"))
+    return dealt.select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).cast("long").alias("taken"), "shards")
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """The mixed documents themselves, each as often as it is taken, with the columns of ``docs``.
 
-    Documents without words are never drawn. Rows go to a piece of their shard and
+    Null texts and documents without words are never drawn; a null source is a source
+    of its own; texts of any length move whole; other columns pass through, whatever
+    their names; an empty table gives no rows. Rows go to a piece of their shard and
     follow a hash there.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
