@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm.common import documents, map_texts
-from plinth.llm.spans import apart, digest, joined, ordered
+from plinth.llm.spans import Free, digest, joined, ordered
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: Each takes a whole run and then, if it can, the rest; a run without the rest is passed over and costs its length.
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)?")
+IP = re.compile(r"[0-9]++((?:\.[0-9]+){3})?")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -60,10 +61,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the four patterns; matches that fail their test are dropped and not tried again."""
     out = []
     if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        out += [("email", *m.span()) for m in EMAIL.finditer(text) if m[1]]
     if DIGIT.search(text):
         if "." in text:
-            out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(q := p.lstrip("0")) < 4 and int(q or "0") <= 255 for p in m[0].split("."))]
+            out += [("ip", *m.span()) for m in IP.finditer(text) if m[1] and all(len(q := p.lstrip("0")) < 4 and int(q or "0") <= 255 for p in m[0].split("."))]
         out += [("card", *m.span()) for m in CARD.finditer(text) if 14 <= len(d := only_digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             out += [("phone", *m.span()) for m in PHONE.finditer(text) if 10 <= len(only_digits(m[0])) <= 15]
@@ -87,7 +88,7 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[Mention]:
     users = {m.text.split("@")[0].lower() for m in out if m.label == 1}
     users = {u for u in users if len(u) >= USER_CHARS and re.search("[0-9._]", u)}
     taken = sorted((s, e) for _, s, e in base)
-    free = _Free(taken)
+    free = Free(base)
     if DIGIT.search(text):
         at = 0
         for s, e in [*taken, (len(text), len(text))]:  # numbers between the base spans
@@ -103,18 +104,6 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[Mention]:
     return sorted(out, key=lambda m: (m.start, m.end))
 
 
-class _Free:
-    """Whether a stretch lies outside sorted taken stretches; asked in ascending order or not."""
-
-    def __init__(self, taken: list[tuple[int, int]]):
-        self.starts = np.array([s for s, _ in taken])
-        self.ends = np.maximum.accumulate(np.array([e for _, e in taken])) if taken else np.array([])
-
-    def __call__(self, start: int, end: int) -> bool:
-        k = int(np.searchsorted(self.starts, end, "left"))
-        return k == 0 or self.ends[k - 1] <= start
-
-
 def key_of(s: str, kind: str) -> str:
     """Numbers resemble each other if their last nine digits agree, addresses if their user names do."""
     return "u" + s.split("@")[0].lower() if kind == "email" else "d" + only_digits(s)[-9:]
@@ -273,14 +262,17 @@ def find_personal(text: str | None, w: Weights) -> tuple[list, list]:
             own.append((LABELS[k], m.start, m.end))
     kept: list[tuple[str, int, int]] = []
     for s in own:
-        if not kept or apart(s, kept[-1:]):
+        if not kept or kept[-1][2] <= s[1]:  # mentions are in order
             kept.append(s)
     return base, ordered(base + kept, KINDS)
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE) -> Weights:
-    """Weights from at most ``rows`` documents that have a digit or an address sign."""
-    some = docs.select("text").where(F.col("text").rlike("[0-9@]")).take(rows)
+    """Weights from the ``rows`` documents with the smallest hashes among those with a digit or an address sign.
+
+    The order of files and partitions does not matter.
+    """
+    some = docs.select("text").where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text"), "text").limit(rows).collect()
     return train([r["text"] for r in some])
 
 

@@ -17,7 +17,7 @@ from math import log2
 from pyspark.sql import DataFrame, SparkSession
 
 from plinth.llm.common import bounded_batches, documents, map_texts
-from plinth.llm.spans import apart, digest, joined, ordered, replaced
+from plinth.llm.spans import Free, digest, joined, ordered, replaced
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -32,9 +32,10 @@ THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7}
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Strings that are random-looking but public: identifiers, digests in integrity notes, paths, data of pictures.
 ALLOWED = re.compile(
-    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(sha(1|224|256|384|512)|md5)[-_=].*|(/[a-z]+[a-z0-9_-]*){3,}/?|[A-Z_]+|[a-z_-]+|[0-9_=/+-]+|iVBORw0KGgo.*|R0lGOD.*|(0123456789|abcdefghijklmnopqrstuvwxyz|ABCDEFGHIJKLMNOPQRSTUVWXYZ|[/+=_-])+"
+    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(sha(1|224|256|384|512)|md5)[-_=].*|(?:/[a-z][a-z0-9_-]*+){3,}+/?|[A-Z_]+|[a-z_-]+|[0-9_=/+-]+|iVBORw0KGgo.*|R0lGOD.*|(0123456789|abcdefghijklmnopqrstuvwxyz|ABCDEFGHIJKLMNOPQRSTUVWXYZ|[/+=_-])+"
 )
-_TERM = [0.0, *(c * log2(c) for c in range(1, WIDTH + 1))]
+#: ``c log2 c``; a character enters the window before another leaves it.
+_TERM = [0.0, *(c * log2(c) for c in range(1, WIDTH + 2))]
 
 
 def char_class(s: str) -> str | None:
@@ -91,16 +92,15 @@ def entropy_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[st
     """The method's own spans: none that a base span overlaps."""
     if not DIGIT.search(text):
         return []
-    out = []
+    out, free = [], Free(taken)
     for m in CANDIDATE.finditer(text):
         s = m[0]
         kind = char_class(s)
         if kind is None or ALLOWED.fullmatch(s):
             continue
         for a, b in hot_windows(s, THRESHOLDS[kind]):
-            span = ("entropy", m.start() + a, m.start() + b)
-            if mixed_enough(s[a:b], kind) and apart(span, taken):
-                out.append(span)
+            if mixed_enough(s[a:b], kind) and free(m.start() + a, m.start() + b):
+                out.append(("entropy", m.start() + a, m.start() + b))
     return out
 
 
@@ -134,8 +134,9 @@ def scan_secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
 def redact_secrets(docs: DataFrame, mark: str = "[secret]", length: str = "n_chars") -> DataFrame:
     """``docs`` with every span in ``text`` put as ``mark`` and, if there, the column ``length`` set anew.
 
-    Null texts stay null. Rows without a span are returned as they are. Other
-    columns pass through, whatever their names.
+    Null texts stay null and empty ones empty. Texts are scanned whole, however long.
+    Rows without a span are returned as they are; repeated rows each stay; an empty
+    table gives no rows. Other columns pass through, whatever their names.
     """
     import pyarrow as pa
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from itertools import accumulate
 
 
 def ordered(spans: list[tuple[str, int, int]], kinds: tuple[str, ...]) -> list[tuple[str, int, int]]:
@@ -19,9 +21,17 @@ def digest(spans: list[tuple[str, int, int]]) -> str:
     return hashlib.sha256(joined(spans).encode()).hexdigest()
 
 
-def apart(span: tuple[str, int, int], others: list[tuple[str, int, int]]) -> bool:
-    """Whether a span overlaps none of the others."""
-    return all(span[2] <= s or e <= span[1] for _, s, e in others)
+class Free:
+    """Whether a stretch overlaps none of the given ones; each answer takes the logarithm of their number."""
+
+    def __init__(self, taken: list[tuple[str, int, int]]):
+        own = sorted((s, e) for _, s, e in taken)
+        self.starts = [s for s, _ in own]
+        self.ends = list(accumulate((e for _, e in own), max))
+
+    def __call__(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k == 0 or self.ends[k - 1] <= start
 
 
 def replaced(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
