@@ -270,10 +270,13 @@ def find_personal(text: str | None, w: Weights) -> tuple[list, list]:
 def fit(docs: DataFrame, rows: int = SAMPLE) -> Weights:
     """Weights from the ``rows`` documents with the smallest hashes among those with a digit or an address sign.
 
-    The order of files and partitions does not matter.
+    The order of files and partitions does not matter. Hashes are ranked first, so
+    that only the chosen texts leave the executors.
     """
-    some = docs.select("text").where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text"), "text").limit(rows).collect()
-    return train([r["text"] for r in some])
+    marked = docs.select("text", F.xxhash64("text").alias("h")).where(F.col("text").rlike("[0-9@]"))
+    least = [r["h"] for r in marked.select("h").distinct().orderBy("h").limit(rows).collect()]
+    some = marked.where(F.col("h") <= least[-1]).dropDuplicates(["h"]).collect() if least else []
+    return train([r["text"] for r in sorted(some, key=lambda r: r["h"])])
 
 
 def scan_personal(docs: DataFrame, weights: Weights | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
