@@ -90,11 +90,85 @@ FAMILIES = (
 )
 
 
+#: label; keyword; pattern over lower-cased text. A blank stands for anything but letters and digits, ``~`` for that or nothing.
+PATTERNS = (
+    ("agpl-3.0", "affero", r"(?:gnu )?affero general public licen[cs]e(?: as published by the free software foundation)? (?:either )?v(?:ersion)?~3(?:~0)?"),
+    ("agpl-3.0", "affero", r"licen[cs]ed under (?:the )?(?:gnu )?affero (?:gpl|general public licen[cs]e)"),
+    ("gpl-3.0", "gpl", r"(?:licen[cs]ed|released|distributed) under (?:the )?(?:terms of (?:the )?)?(?:gnu )?gpl~v?~3"),
+    ("gpl-3.0", "general", r"gnu general public licen[cs]e(?: as published by the free software foundation)? (?:either )?v(?:ersion)?~3(?:~0)?"),
+    ("gpl-2.0", "gpl", r"(?:licen[cs]ed|released|distributed) under (?:the )?(?:terms of (?:the )?)?(?:gnu )?gpl~v?~2(?!~1)"),
+    ("gpl-2.0", "general", r"gnu general public licen[cs]e(?: as published by the free software foundation)? (?:either )?v(?:ersion)?~2(?:~0)?(?!~1)"),
+    ("gpl-2.0", "general", r"general public licen[cs]e v(?:ersion)?~2(?:~0)? only"),
+    ("gpl", "general", r"under the terms of the gnu general public licen[cs]e(?! v(?:ersion)?~[123])"),
+    ("gpl", "general", r"you should have received a copy of the gnu general public licen[cs]e"),
+    ("lgpl-3.0", "lesser", r"gnu lesser general public licen[cs]e(?: as published by the free software foundation)? (?:either )?v(?:ersion)?~3"),
+    ("lgpl-2.1", "lesser", r"gnu lesser general public licen[cs]e(?: as published by the free software foundation)? (?:either )?v(?:ersion)?~2~1"),
+    ("lgpl-2.0", "library", r"gnu library general public licen[cs]e(?: as published by the free software foundation)? (?:either )?v(?:ersion)?~2(?!~1)"),
+    ("lgpl", "lesser", r"under the terms of the gnu lesser general public licen[cs]e(?! v(?:ersion)?~[23])"),
+    ("lgpl", "lesser", r"you should have received a copy of the gnu lesser general public licen[cs]e"),
+    ("gfdl", "documentation", r"under the terms of the gnu free documentation licen[cs]e(?: v(?:ersion)?~1~[123])?"),
+    ("apache-2.0", "apache", r"licen[cs]ed under (?:the )?apache licen[cs]e v(?:ersion)?~2(?:~0)?"),
+    ("apache-2.0", "apache", r"(?:released|distributed|available) under (?:the )?(?:terms of (?:the )?)?apache~2(?:~0)? licen[cs]e"),
+    ("apache-2.0", "apache", r"apache (?:software )?licen[cs]e v(?:ersion)?~2(?:~0)?(?!~1)"),
+    ("apache-1.1", "apache", r"apache (?:software )?licen[cs]e v(?:ersion)?~1~1"),
+    ("apache", "apache", r"this product includes software developed (?:by|at) the apache software foundation"),
+    ("mit", "mit", r"(?:licen[cs]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?mit(?:~x11)? licen[cs]e(?! server)"),
+    ("mit", "software", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "warranty", r"the software is provided as is without warranty of any kind express or implied including but not limited to"),
+    ("mit-0", "mit", r"(?:licen[cs]ed|released) under (?:the )?mit~0 licen[cs]e"),
+    ("x11", "x11", r"(?:licen[cs]ed|released) under (?:the )?x11 licen[cs]e"),
+    ("bsd-2-clause", "bsd", r"(?:licen[cs]ed|released|distributed) under (?:the )?(?:terms of (?:the )?)?(?:2|two) clause bsd licen[cs]e"),
+    ("bsd-2-clause", "bsd", r"bsd~2~clause (?:simplified )?licen[cs]e"),
+    ("bsd-3-clause", "bsd", r"(?:licen[cs]ed|released|distributed) under (?:the )?(?:terms of (?:the )?)?(?:3|three) clause bsd licen[cs]e"),
+    ("bsd-3-clause", "bsd", r"bsd~3~clause (?:new |revised )?licen[cs]e"),
+    ("bsd-3-clause", "endorse", r"may be used to endorse or promote products derived from this software without (?:specific )?prior written permission"),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd", "bsd", r"(?:use of this source code is governed by|licen[cs]ed under) a bsd~style licen[cs]e"),
+    ("bsd", "redistributions", r"redistributions of source code must retain the (?:above )?copyright notice this list of conditions"),
+    ("0bsd", "bsd", r"(?:bsd zero|zero~clause bsd|0~clause bsd) licen[cs]e"),
+    ("isc", "isc", r"(?:licen[cs]ed|released|distributed) under (?:the )?isc licen[cs]e"),
+    ("mpl-2.0", "mozilla", r"subject to the terms of the mozilla public licen[cs]e v(?:ersion)?~2(?:~0)?"),
+    ("mpl-2.0", "mozilla", r"mozilla public licen[cs]e v(?:ersion)?~2(?:~0)?"),
+    ("mpl-1.1", "mozilla", r"subject to the mozilla public licen[cs]e v(?:ersion)?~1~1"),
+    ("epl-2.0", "eclipse", r"(?:under the terms of the )?eclipse public licen[cs]e v(?:ersion)?~2(?:~0)?"),
+    ("epl-1.0", "eclipse", r"(?:under the terms of the )?eclipse public licen[cs]e v(?:ersion)?~1(?:~0)?"),
+    ("cddl-1.0", "distribution", r"common development and distribution licen[cs]e(?: v(?:ersion)?~1~[01])?"),
+    ("eupl", "european", r"european union public licen[cs]e v(?:ersion)?~1~[12]"),
+    ("artistic-2.0", "artistic", r"(?:the )?artistic licen[cs]e v?(?:ersion )?~2(?:~0)?"),
+    ("boost-1.0", "boost", r"(?:distributed|released) under the boost software licen[cs]e(?: v(?:ersion)?~1~0)?"),
+    ("busl-1.1", "source", r"business source licen[cs]e(?: v?(?:ersion )?~1~1)?"),
+    ("sspl-1.0", "server", r"server side public licen[cs]e(?: v(?:ersion)?~1)?"),
+    ("elastic-2.0", "elastic", r"(?:licen[cs]ed|released) under (?:the )?elastic licen[cs]e(?: v?(?:ersion )?~2(?:~0)?)?"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("unlicense", "unlicense", r"(?:dedicated to the public domain|released) under (?:the )?unlicense"),
+    ("python-2.0", "python", r"python software foundation licen[cs]e v(?:ersion)?~2"),
+    ("ofl-1.1", "sil", r"(?:licen[cs]ed|released) under (?:the )?sil open font licen[cs]e(?: v(?:ersion)?~1~[01])?"),
+    ("cc0-1.0", "cc0", r"cc0(?: v?~1~0)? public domain dedication"),
+    ("cc-by-nc-nd", "noncommercial", r"creative commons attribution noncommercial no~?deriv(?:ative)?s(?: [234]~[05])? (?:international|unported|generic) licen[cs]e"),
+    ("cc-by-nc-sa", "noncommercial", r"creative commons attribution noncommercial share~?alike(?: [234]~[05])? (?:international|unported|generic) licen[cs]e"),
+    ("cc-by-nc", "noncommercial", r"creative commons attribution noncommercial(?: [234]~[05])? (?:international|unported|generic) licen[cs]e"),
+    ("cc-by-sa", "alike", r"creative commons attribution share~?alike(?: [234]~[05])? (?:international|unported|generic) licen[cs]e"),
+    ("cc-by", "attribution", r"creative commons attribution(?: [234]~[05])? (?:international|unported|generic) licen[cs]e"),
+    ("public-domain", "domain", r"(?:this work|this file|this software) (?:is|has been) (?:hereby )?(?:placed|released) (?:in|into) the public domain"),
+    ("proprietary", "confidential", r"(?:confidential and proprietary|proprietary and confidential)(?: information)? (?:of|all rights reserved) copyright"),
+    ("all-rights-reserved", "reserved", r"(?:copyright )?all rights reserved(?! worldwide under)"),
+    ("ms-pl", "microsoft", r"(?:licen[cs]ed|released) under (?:the )?microsoft public licen[cs]e"),
+    ("llama", "llama", r"llama~[234](?:~[0-9])? community licen[cs]e(?: agreement)?"),
+)
+#: Tiers of rules: tags, license texts, addresses, titles and patterns.
+TIERS = 4
+
+
 def phrase(words: str) -> str:
     """Pattern for words in a row with anything but letters and digits between."""
     return EDGE_L + GAP.join(words.split()) + EDGE_R
 
 
+def pattern(text: str) -> str:
+    """Pattern for a text of :data:`PATTERNS`; a blank at the start of an optional part belongs to it."""
+    return EDGE_L + text.replace("~?", "(?:" + GAP + ")?").replace("~", "(?:" + GAP + ")?").replace(" ", GAP) + EDGE_R
+
+
 #: Words that many licenses share, so of little use as a keyword.
 COMMON = frozenset("license licence public general version software the of or and to is in this use copy free open original new with without any for it not be domain".split())
 
@@ -111,11 +185,13 @@ def signatures() -> tuple[Signature, ...]:
         for rank, family in enumerate(FAMILIES):
             for item in family[column]:
                 if column == 1:
-                    pattern, key = phrase(f"spdx license identifier {item}"), "spdx"
+                    regex, key = phrase(f"spdx license identifier {item}"), "spdx"
                 elif column == 4:
-                    pattern = EDGE_L + item.replace(".", r"\.").replace("/", r"/+") + EDGE_R
+                    regex = EDGE_L + item.replace(".", r"\.").replace("/", r"/+") + EDGE_R
                     key = item.split("/")[0]
                 else:
-                    pattern, key = phrase(item), rarest(item)
-                out.append(Signature(family[0], key, pattern, tier * 1000 + rank, weight))
+                    regex, key = phrase(item), rarest(item)
+                out.append(Signature(family[0], key, regex, tier * 1000 + rank, weight))
+    ranks = {family[0]: rank for rank, family in enumerate(FAMILIES)}
+    out += [Signature(label, key, pattern(text), (TIERS - 1) * 1000 + ranks[label], 0.85) for label, key, text in PATTERNS]
     return tuple(out)

@@ -2,8 +2,8 @@
 
 A text first meets one test for the few words without which no rule can match, then
 each rule's own keyword, then the rule's pattern. Matches become intervals; an
-interval inside another of a better rule, or inside a longer one of an equal rule,
-is suppressed. What is left names the text's licenses. Base phrases are found over
+interval inside another of a better rule, or inside a longer one of its tier, is
+suppressed, in one pass over the sorted intervals. What is left names the text's licenses. Base phrases are found over
 words and always stay. The work is a map over rows: no shuffle.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm.common import documents
-from plinth.llm.license_rules import signatures
+from plinth.llm.license_rules import TIERS, signatures
 from plinth.llm.quality import let
 
 #: A word, before lower-casing A-Z.
@@ -44,25 +44,50 @@ def sql_rules() -> str:
     return f"array({rows})"
 
 
+#: Matches or hits that a fold gathers before they are set aside, so that no array is copied once an item.
+STRIDE = 256
+HIT = "struct<s:int,ne:int,priority:int,label:string,weight:double,e:int>"
+
+
+def sql_fold(count: str, start: str, step: str, gathered: str) -> str:
+    """SQL for what ``step`` gathers over ``0 .. count - 1``, in two levels.
+
+    ``step`` maps a state ``a`` and an index ``k`` to a state; ``start`` is the first, both
+    without the field ``out``, an array of ``gathered`` to which ``step`` adds.
+    """
+    none, nests = f"cast(array() AS array<{gathered}>)", f"cast(array() AS array<array<{gathered}>>)"
+    inner = f"aggregate(sequence(b * {STRIDE}, least({count}, (b + 1) * {STRIDE}) - 1), named_struct('state', o.state, 'out', {none}), (a, k) -> {step})"
+    outer = let(inner, "i", "named_struct('state', i.state, 'out', concat(o.out, array(i.out)))")
+    return f"CASE WHEN {count} = 0 THEN {none} ELSE aggregate(sequence(0, ({count} - 1) DIV {STRIDE}), named_struct('state', {start}, 'out', {nests}), (o, b) -> {outer}, o -> flatten(o.out)) END"
+
+
 def sql_hits(text: str) -> str:
     """SQL for the intervals of all rules whose keyword the lower-cased ``text`` has.
 
     Starts follow from the lengths of the stretches between matches and of the matches.
     """
-    step = "named_struct('at', a.at + length(p[k]) + length(m[k]), 'out', concat(a.out, array(named_struct('label', r.label, 'priority', r.priority, 'weight', r.weight, 's', a.at + length(p[k]), 'e', a.at + length(p[k]) + length(m[k])))))"
-    empty = "cast(array() AS array<struct<label:string,priority:int,weight:double,s:int,e:int>>)"
-    spans = let(
-        f"regexp_extract_all({text}, r.pattern, 0)",
-        "m",
-        let(f"split({text}, r.pattern)", "p", f"CASE WHEN size(m) = 0 THEN {empty} ELSE aggregate(sequence(0, size(m) - 1), named_struct('at', 0, 'out', {empty}), (a, k) -> {step}, a -> a.out) END"),
-    )
+    at, end = "a.state + length(p[k])", "a.state + length(p[k]) + length(m[k])"
+    hit = f"named_struct('s', {at}, 'ne', -({end}), 'priority', r.priority, 'label', r.label, 'weight', r.weight, 'e', {end})"
+    found = sql_fold("size(m)", "0", f"named_struct('state', {end}, 'out', concat(a.out, array({hit})))", HIT)
+    spans = let(f"regexp_extract_all({text}, r.pattern, 0)", "m", let(f"split({text}, r.pattern)", "p", found))
     return f"flatten(transform(filter({sql_rules()}, r -> contains({text}, r.keyword)), r -> {spans}))"
 
 
 def sql_best(hits: str) -> str:
-    """SQL for the hits that no better or longer interval contains."""
-    worse = "b.s <= a.s AND a.e <= b.e AND (b.priority < a.priority OR (b.e - b.s > a.e - a.s AND b.priority DIV 1000 = a.priority DIV 1000))"
-    return f"filter({hits}, a -> NOT exists({hits}, b -> {worse}))"
+    """SQL for the hits that no hit of a better tier contains, nor a longer or better one of their own.
+
+    Hits are sorted by start, the longer first and then the better; a hit is contained
+    in one before it if that one's end is not before its own, so the greatest end of
+    each tier so far decides. Hits alike in place and rule share a verdict.
+    """
+    tiers = range(TIERS)
+    bound = "CASE h.priority DIV 1000 " + " ".join(f"WHEN {t} THEN greatest(-1, {', '.join(f'a.state.m{j}' for j in range(t + 1))})" for t in tiers) + " END"
+    same = "h.s = a.state.s AND h.e = a.state.e AND h.priority = a.state.p"
+    moved = ", ".join(f"'m{t}', CASE WHEN h.priority DIV 1000 = {t} THEN greatest(a.state.m{t}, h.e) ELSE a.state.m{t} END" for t in tiers)
+    state = f"named_struct({moved}, 's', h.s, 'e', h.e, 'p', h.priority, 'kept', good)"
+    step = let("q[k]", "h", let(f"CASE WHEN {same} THEN a.state.kept ELSE {bound} < h.e END", "good", f"named_struct('state', {state}, 'out', CASE WHEN good THEN concat(a.out, array(h)) ELSE a.out END)"))
+    start = "named_struct(" + ", ".join(f"'m{t}', -1" for t in tiers) + ", 's', -1, 'e', -1, 'p', -1, 'kept', false)"
+    return let(f"array_sort({hits})", "q", sql_fold("size(q)", start, step, HIT))
 
 
 def scan_licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

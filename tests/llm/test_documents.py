@@ -471,3 +471,55 @@ def test_op4_added_spans_recall():
         found += sum(any(f in a or a in f for a in added) for f in forms)
         wrong += any(other in a for a in added)
     assert found / planted >= 0.9 and wrong <= 10, (found, planted, wrong)
+
+
+def brute_hits(text):
+    """All rules' matches that no better or longer one contains, compared in pairs."""
+    low = text.lower()
+    hits = []
+    for s in license_rules.signatures():
+        if s.keyword in low:
+            own = s.pattern.replace(r"\x{80}-\x{10ffff}", "\x80-\U0010ffff")
+            hits += [(m.start(), m.end(), s.priority, s.label) for m in re.finditer(own, low)]
+    inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1] and (b[2] < a[2] or (b[1] - b[0] > a[1] - a[0] and a[2] // 1000 == b[2] // 1000))
+    return sorted((h[3], h[0], h[1]) for h in hits if not any(inside(h, b) for b in hits))
+
+
+def test_op9_rules_equal_brute_force(spark):
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(11)
+    plain = [re.sub(r"\(\?[<!:=][^()]*\)\??", "", x).replace("~", " ").replace("?", "") for _, _, x in license_rules.PATTERNS]
+    known = [t for f in license_rules.FAMILIES for column in f[1:] for t in column] + [f"SPDX-License-Identifier: {t.replace(' ', '-')}" for f in license_rules.FAMILIES for t in f[1]] + plain
+    texts = [" ".join(rng.choice(known) if rng.random() < 0.7 else rng.choice(["and", "x.", "(c)", "Version 2.0,", "LICENSE"]) for _ in range(rng.randint(1, 600))) for _ in range(12)]
+    texts += [t for t in pd.read_parquet(f"{MIDDLE}/documents.parquet").text if "icen" in t][:60]
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    total = 0
+    for r in rows:
+        want = brute_hits(texts[r["doc_id"]])
+        assert sorted((h["label"], h["start"], h["end"]) for h in r["hits"] or []) == want
+        total += len(want)
+        assert set(r["labels"].split(",")) == {x[0] for x in want} | set(r["base_labels"].split(",")) - {""} or not want
+    assert total > 1000
+
+
+def test_op9_patterns_each_match(spark):
+    examples = {
+        "gpl-2.0": "released under the terms of the GNU GPL v2", "gpl-3.0": "GNU General Public License as published by the Free Software Foundation, either version 3", "lgpl-2.1": "GNU Lesser General Public Licence version 2.1",
+        "apache-2.0": "Licensed under the Apache License, Version 2.0", "mit": "distributed under the MIT/X11 license", "bsd-3-clause": "licensed under the three-clause BSD license", "mpl-2.0": "subject to the terms of the Mozilla Public License, v. 2.0",
+        "cc-by-sa": "Creative Commons Attribution-ShareAlike 4.0 International License", "zlib": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.", "unlicense": "released under the Unlicense",
+    }
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(examples.values())), "doc_id long, text string")).collect()
+    assert all(list(examples)[r["doc_id"]] in r["labels"].split(",") for r in rows)
+
+
+def test_op9_long_text_takes_its_length(spark):
+    import time
+
+    dense = "Licensed under the Apache License, Version 2.0; MIT License. GNU GPL v3 " * 12_000
+    frame = spark.createDataFrame([(1, dense + "word " * 200_000)], "doc_id long, text string")
+    began = time.monotonic()
+    row = licenses.scan_licenses(frame).first()
+    assert len(row["hits"]) == 36_000 and time.monotonic() - began < 60
