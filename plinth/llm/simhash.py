@@ -14,13 +14,19 @@
    again, so a bucket of near copies costs about its size. Buckets over a size are
    cut into blocks, and each pair of blocks is a task's work: no bucket is held whole.
 6. Links are joined to components by :func:`plinth.operators.components.connected_components`.
+
+The query links by the 64 bits alone, as its contract fixes. :func:`keep_one_each` is
+told a similarity of shingles instead. Texts of similarity ``s`` differ in a share
+``acos(2s / (1 + s)) / pi`` of the bits, so candidates come from a wider radius, and a
+check word, 64 more bits of the same hashes, decides with the fingerprint whether
+the share over all 128 bits is small enough.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, comb, floor, pi
 
 import numpy as np
 import pyarrow as pa
@@ -37,22 +43,25 @@ BLOCK, HISTOGRAM_BITS = 8192, 16
 PROBE_COST, MOST_FLIPS = 20.0, 2
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """SimHash of the shingles of ``words`` words; 0 without a word."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each shingle of ``words`` words, repeats included; of the whole if there are fewer."""
     import xxhash
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(tokens)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
     if n <= words:
-        hashes = np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
-    else:
-        starts = [0, *(ends[: n - words] + 1).tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter([digest(line[s:e], SEED) for s, e in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64, n - words + 1)
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
+    starts = [0, *(ends[: n - words] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter([digest(line[s:e], SEED) for s, e in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64, n - words + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 without a hash."""
     total = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         some = hashes[i : i + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -60,13 +69,38 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and ``fp``, the fingerprint as a signed 64-bit integer."""
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """SimHash of the shingles of ``words`` words; 0 without a word."""
+    return majority(shingle_hashes(text, words))
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other 64 bits for each hash."""
+    h = (hashes ^ hashes >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def check_word(hashes: np.ndarray) -> int:
+    """SimHash over the other bits of the same hashes; 0 without a hash."""
+    return majority(mixed(hashes))
+
+
+def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", keep: tuple[str, ...] = ("doc_id",), checked: bool = False) -> DataFrame:
+    """``keep``, ``fp``, the fingerprint as a signed 64-bit integer, ``check``, its check word or 0, and ``node``, which names both."""
 
     def kernel(texts: list) -> dict[str, list]:
-        return {"fp": np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)}
+        hashes = [shingle_hashes(t, words) for t in texts]
+        fp = np.array([majority(h) for h in hashes], np.uint64)
+        check = np.array([check_word(h) if checked else 0 for h in hashes], np.uint64)
+        return {"fp": fp.view(np.int64), "check": check.view(np.int64), "node": (fp ^ check * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)}
+
+    return map_texts(docs, kernel, "fp long, check long, node long", text, keep)
+
 
-    return map_texts(docs, kernel, "fp long", text, keep)
+def bits_apart(similarity: float, bits: int) -> int:
+    """Bits of ``bits`` that texts whose shingles have this Jaccard similarity are expected to differ in."""
+    return floor(bits * acos(2 * similarity / (1 + similarity)) / pi)
 
 
 def bit_counts(nodes: DataFrame) -> np.ndarray:
@@ -191,11 +225,12 @@ def allot(costs: np.ndarray, total: int) -> np.ndarray:
     return out
 
 
-def bucket_links(fps: np.ndarray, probing: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def bucket_links(fps: np.ndarray, probing: np.ndarray, radius: int, checks: np.ndarray | None = None, most: int = 2 * BITS) -> list[tuple[int, int]]:
     """Pairs that connect all of a bucket's members within the radius of one another.
 
-    A pair counts only if one of the two probes here. From each member reached,
-    only what is not yet reached is compared.
+    A pair counts only if one of the two probes here and, with ``checks``, if both
+    words together differ in at most ``most`` bits. From each member reached, only what
+    is not yet reached is compared.
     """
     links = []
     left = np.arange(len(fps))
@@ -203,7 +238,10 @@ def bucket_links(fps: np.ndarray, probing: np.ndarray, radius: int) -> list[tupl
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(fps[left] ^ fps[x]) <= radius
+            apart = np.bitwise_count(fps[left] ^ fps[x])
+            near = apart <= radius
+            if checks is not None:
+                near &= apart + np.bitwise_count(checks[left] ^ checks[x]) <= most
             if not probing[x]:
                 near &= probing[left]
             if near.any():
@@ -236,7 +274,7 @@ class Forest:
         return [(x, self.root(x)) for x in list(self.up)]
 
 
-PROBE = "part int, value long, fp long, probing boolean"
+PROBE = "part int, value long, fp long, check long, node long, probing boolean"
 
 
 def probes(nodes: DataFrame, groups: list[list[int]], hists: list[np.ndarray], n: int, radius: int) -> DataFrame:
@@ -264,7 +302,7 @@ def probes(nodes: DataFrame, groups: list[list[int]], hists: list[np.ndarray], n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
-                fps = np.ascontiguousarray(batch.column(0).slice(i, 4096)).astype(np.int64).view(np.uint64)
+                fps, checks, nodes_of = (np.ascontiguousarray(batch.column(c).slice(i, 4096)).astype(np.int64).view(np.uint64) for c in range(3))
                 values = [project(fps, bits) for _, bits in blocks]
                 costs = np.zeros((parts, most + 2, len(fps)))
                 for g, bits in enumerate(groups):
@@ -272,34 +310,37 @@ def probes(nodes: DataFrame, groups: list[list[int]], hists: list[np.ndarray], n
                     for t in range(most + 1):
                         costs[g, t + 1] = PROBE_COST * (sum(comb(len(bits), d) for d in range(t + 1)) - 1) + count[t]
                 limits = allot(costs, total)
-                out_p, out_v, out_f, out_q = [], [], [], []
+                out_p, out_v, out_i, out_q = [], [], [], []
+                every = np.arange(len(fps))
                 for g, bits in enumerate(groups):
                     own = project(fps, bits)
                     out_p.append(np.full(len(fps), g, np.int32))
                     out_v.append(own)
-                    out_f.append(fps)
+                    out_i.append(every)
                     out_q.append(limits[g] >= 0)
                     for d in range(1, most + 1):
                         far = limits[g] >= d
                         if far.any():
                             masks = np.array(flips[g][d], np.int64)
                             out_v.append((own[far][:, None] ^ masks).ravel())
-                            out_f.append(np.repeat(fps[far], len(masks)))
-                            out_p.append(np.full(len(out_f[-1]), g, np.int32))
-                            out_q.append(np.ones(len(out_f[-1]), bool))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_p)), pa.array(np.concatenate(out_v)), pa.array(np.concatenate(out_f).view(np.int64)), pa.array(np.concatenate(out_q))], names=["part", "value", "fp", "probing"])
+                            out_i.append(np.repeat(every[far], len(masks)))
+                            out_p.append(np.full(len(out_i[-1]), g, np.int32))
+                            out_q.append(np.ones(len(out_i[-1]), bool))
+                which = np.concatenate(out_i)
+                own = [x[which].view(np.int64) for x in (fps, checks, nodes_of)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(out_p), np.concatenate(out_v), *own, np.concatenate(out_q))], names=["part", "value", "fp", "check", "node", "probing"])
 
-    return nodes.select("fp").mapInArrow(run, PROBE)
+    return nodes.select("fp", "check", "node").mapInArrow(run, PROBE)
 
 
-def links(probe_rows: DataFrame, radius: int) -> DataFrame:
-    """``u, v``: fingerprints within the radius, enough of them to connect each component."""
+def links(probe_rows: DataFrame, radius: int, most: int | None = None) -> DataFrame:
+    """``u, v``: nodes within the radius and, if given, with ``most`` bits apart over both words, enough of them to connect each component."""
     hot = probe_rows.groupBy("part", "value").count().where(F.col("count") > BLOCK).select("part", "value", F.ceil(F.col("count") / BLOCK).cast("int").alias("cuts"))
     cut = probe_rows.join(hot, ["part", "value"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp"), F.col("cuts"))
+    mine = F.pmod(F.xxhash64("node"), F.col("cuts"))
     # A member of a cut bucket goes to each pair of blocks that has its own.
     spread = cut.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts").cast("long") - 1)))
-    keyed = spread.select("part", "value", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "fp", "probing")
+    keyed = spread.select("part", "value", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "fp", "check", "node", "probing")
     keys = ["part", "value", "x", "y"]
     dealt = keyed.repartition(*keys).sortWithinPartitions(*keys)
 
@@ -307,16 +348,15 @@ def links(probe_rows: DataFrame, radius: int) -> DataFrame:
         forest, key, held = Forest(), None, []
 
         def close() -> None:
-            fps = np.concatenate([h[0] for h in held])
-            probing = np.concatenate([h[1] for h in held])
+            fps, checks, names, probing = (np.concatenate([h[c] for h in held]) for c in range(4))
             if len(fps) > 1 and probing.any():
-                for a, b in bucket_links(fps, probing, radius):
-                    forest.join(int(fps[a]), int(fps[b]))
+                for a, b in bucket_links(fps, probing, radius, None if most is None else checks, most or 0):
+                    forest.join(int(names[a]), int(names[b]))
 
         for batch in batches:
             columns = [np.asarray(batch.column(k)) for k in range(4)]
-            fps = np.ascontiguousarray(batch.column(4)).astype(np.int64).view(np.uint64)
-            probing = np.array(batch.column(5).to_numpy(zero_copy_only=False), bool)
+            fps, checks, names = (np.ascontiguousarray(batch.column(c)).astype(np.int64).view(np.uint64) for c in (4, 5, 6))
+            probing = np.array(batch.column(7).to_numpy(zero_copy_only=False), bool)
             if not len(fps):
                 continue
             change = np.zeros(len(fps), bool)
@@ -329,7 +369,7 @@ def links(probe_rows: DataFrame, radius: int) -> DataFrame:
                     close()
                     held = []
                 key = new
-                held.append((fps[s:e], probing[s:e]))
+                held.append((fps[s:e], checks[s:e], names[s:e], probing[s:e]))
         if held:
             close()
         edges = np.array(forest.edges(), np.uint64).reshape(-1, 2)
@@ -338,43 +378,48 @@ def links(probe_rows: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def near_components(prints: DataFrame, radius: int = 4, key: str = "doc_id") -> DataFrame:
-    """``prints(key, fp)`` with ``component_id``, the smallest key that links lead to, and ``root``, its fingerprint.
+def near_components(prints: DataFrame, radius: int = 4, key: str = "doc_id", most: int | None = None) -> DataFrame:
+    """``prints(key, fp, check, node)`` with ``component_id``, the smallest key that links lead to, and ``root``, its node.
 
     Null keys are linked like others but never name a component, unless it has no
     other. Repeated rows each stay. An empty table gives no rows.
     """
-    spark = prints.sparkSession
-    nodes = written(prints.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
+    nodes = written(prints.groupBy("node", "fp", "check").agg(F.min(key).alias("least")), "nodes")
     n = nodes.count()
     groups = group_bits(bit_counts(nodes), n, count_parts(n, radius))
     rows = written(probes(nodes, groups, histograms(nodes, groups), n, radius), "probes")
-    joined = connected_components(links(rows, radius))
-    placed = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    joined = connected_components(links(rows, radius, most)).withColumnRenamed("node", "name")
+    placed = nodes.join(joined, nodes["node"] == joined["name"], "left").select("node", "least", F.coalesce("component", "node").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    owner = placed.select("fp", "root").join(named, "root").select("fp", "component_id", "root")
-    return prints.join(owner, "fp")
+    owner = placed.select("node", "root").join(named, "root").select("node", "component_id", "root")
+    return prints.join(owner, "node")
 
 
 def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """``doc_id, fp, component_id`` of every row of ``docs(doc_id, text)``.
 
-    Null and empty texts have fingerprint 0 and are linked like any other.
+    Null and empty texts have fingerprint 0 and are linked like any other; texts are
+    read whole, however long; repeated rows each give a row; an empty table gives no
+    rows; other columns, whatever their names, are not read.
     """
     return near_components(written(fingerprints(docs, words), "prints"), radius).select("doc_id", "fp", "component_id")
 
 
-def keep_one_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+def keep_one_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 12) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates, with all its columns.
 
-    The row with the smallest ``doc_id`` stays, nulls last; of repeated rows, one.
-    Only fingerprints and keys are compared; the texts move once, to meet the keys
-    that stay.
+    Texts are linked if their fingerprints are within ``radius`` bits and if, over
+    fingerprint and check word, they differ in no more bits than texts whose
+    shingles of ``words`` words have the given Jaccard similarity are expected to. The
+    row with the smallest ``doc_id`` stays, nulls last; of repeated rows, one. Null
+    texts and texts without a word are one group; texts are read whole, however long;
+    an empty table gives no rows. Only fingerprints and keys are compared; the texts
+    move once, to meet the keys that stay.
     """
     kid, kh = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), F.xxhash64(F.col("doc_id").isNull(), "text")
     keyed = docs.select(kid.alias("kid"), kh.alias("kh"), F.col("doc_id").isNull().alias("last"), "text")
-    prints = written(fingerprints(keyed, words, keep=("kid", "kh", "last")), "prints")
-    groups = near_components(prints, radius, "kid")
+    prints = written(fingerprints(keyed, words, keep=("kid", "kh", "last"), checked=True), "prints")
+    groups = near_components(prints, radius, "kid", bits_apart(similarity, 2 * BITS))
     stay = groups.groupBy("root").agg(F.min(F.struct("last", "kid", "kh")).alias("w")).select(F.col("w.kid").alias("kid"), F.col("w.kh").alias("kh"))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     met = docs.select(kid.alias("kid"), kh.alias("kh"), row.alias("row")).join(stay, ["kid", "kh"], "left_semi")

@@ -44,6 +44,63 @@ def brute_groups(prints, radius=4):
     return {k: keys[root(i)] for i, k in enumerate(keys)}
 
 
+def brute_similar(texts, words=5, radius=12, most=19):
+    """Groups of texts by fingerprint and check word, all pairs compared."""
+    import xxhash
+
+    def prints(text):
+        found = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        shingles = [" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))] if found else []
+        hashes = [xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), 42) for s in shingles]
+        other = []
+        for h in hashes:
+            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+            other.append(h ^ h >> 31)
+        return [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) for hs in (hashes, other)]
+
+    keys = sorted(texts)
+    a, b = np.array([prints(texts[k]) for k in keys], np.uint64).reshape(-1, 2).T
+    up = {k: k for k in keys}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, k in enumerate(keys):
+        near = np.bitwise_count(a[i + 1 :] ^ a[i])
+        for j in np.flatnonzero((near <= radius) & (near + np.bitwise_count(b[i + 1 :] ^ b[i]) <= most)) + i + 1:
+            x, y = root(k), root(keys[j])
+            up[max(x, y)] = min(x, y)
+    return {k: root(k) for k in keys}
+
+
+def test_near_dedup_finds_similar_texts(spark):
+    """Of pairs of different texts whose five-word shingles are 0.8 alike or more, nine in ten are grouped; unlike ones are not."""
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "text")
+    prints = simhash.fingerprints(docs, 5, checked=True)
+    assert simhash.bits_apart(0.8, 128) == 19
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_components(prints, 12, most=19).collect()}
+    texts = {r["doc_id"]: WORD.findall(r["text"].lower()) for r in docs.collect()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in texts.items() if len(w) >= 20}
+    where: dict = {}
+    for d, s in sets.items():
+        for x in s:
+            where.setdefault(x, []).append(d)
+    shared: Counter = Counter()
+    for at in where.values():
+        if len(at) < 200:
+            shared.update((x, y) for i, x in enumerate(at) for y in at[i + 1 :])
+    alike = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in shared.items()}
+    near = [p for p, j in alike.items() if 0.8 <= j < 1]
+    found = sum(groups[x] == groups[y] for x, y in near)
+    assert len(near) >= 10 and found >= 0.9 * len(near), (found, len(near))
+    wrong = [p for p, j in alike.items() if j < 0.5 and groups[p[0]] == groups[p[1]]]
+    lone = sum(len({d for d in sets if groups[d] == g}) > 1 for g in set(groups.values()))
+    assert not wrong and lone > 0
+
+
 def test_op3_equals_brute_force(spark, texts):
     prints = {d: brute_print(t) for d, t in zip(texts.doc_id, texts.text, strict=True)}
     groups = brute_groups(prints)
@@ -63,7 +120,7 @@ def test_op3_any_partitioning_finds_all_links(spark, parts, monkeypatch):
                 y ^= 1 << int(bit)
             prints.append(y)
             x = y if rng.random() < 0.5 else x
-    df = spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(len(prints)), "fp": np.array(prints, np.uint64).view(np.int64)}))
+    df = spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(len(prints)), "fp": np.array(prints, np.uint64).view(np.int64)})).selectExpr("*", "0L AS check", "fp AS node")
     monkeypatch.setattr(simhash, "count_parts", lambda n, r: parts)
     monkeypatch.setattr(simhash, "BLOCK", 16)
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(df).collect()}
@@ -140,7 +197,7 @@ def test_pipeline_equals_brute_force(spark):
     good = {r["doc_id"] for r in quality.op1_quality_rules(spark, SMALL).where("kept").collect()}
     one, two, three, four, five = (df for _, df in seen)
     assert set(one.doc_id) == good and list(one.columns) == ["doc_id", "text", "lang", "source", "n_chars"]
-    groups = brute_groups({d: brute_print(t) for d, t in zip(one.doc_id, one.text, strict=True)})
+    groups = brute_similar(dict(zip(one.doc_id, one.text, strict=True)))
     assert sorted(two.doc_id) == sorted(set(groups.values()))
     want = {d: replaced(t, secrets.find_secrets(t)[1], "[secret]") for d, t in zip(two.doc_id, two.text, strict=True)}
     assert dict(zip(three.doc_id, three.text, strict=True)) == want
