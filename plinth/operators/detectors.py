@@ -152,23 +152,6 @@ def barrel_statements(nodes: DataFrame) -> DataFrame:
     return star.unionByName(other)
 
 
-def resolved_relations(relations: DataFrame, files: DataFrame) -> DataFrame:
-    """Relations with ``target``: relative specifiers resolved against files by ranked candidates."""
-    rel = relations.where(F.col("specifier").rlike(r"^\.{1,2}(/|$)")).select("path", "specifier").distinct()
-    parts = F.split(F.concat_ws("/", F.regexp_replace("path", "/?[^/]*$", ""), F.col("specifier")), "/")
-    step = lambda acc, p: F.when((p == ".") | (p == ""), acc).when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
-    joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
-    base = rel.withColumn("base", F.when(F.col("path").startswith("/"), F.concat(F.lit("/"), joined)).otherwise(joined))
-    tries = base.select("path", "specifier", F.posexplode(F.array("base", F.concat("base", F.lit(".ts")), F.concat("base", F.lit("/index.ts")), F.regexp_replace("base", r"\.js$", ".ts"))).alias("rank", "target"))
-    found = tries.join(files.select(F.col("path").alias("target")).distinct(), "target").groupBy("path", "specifier").agg(F.min_by("target", "rank").alias("target"))
-    return relations.join(found, ["path", "specifier"], "left")
-
-
-def unresolved_imports(resolved: DataFrame) -> DataFrame:
-    """Relative specifiers without a file."""
-    return resolved.where(F.col("target").isNull() & F.col("specifier").rlike(r"^\.{1,2}(/|$)")).select("path", "specifier").distinct()
-
-
 def deep_imports(resolved: DataFrame, files: DataFrame) -> DataFrame:
     """Imports of a file that is no index, outside the importer's own and ancestor directories: ``deep-import`` if an index is there to use, else ``missing-index``."""
     folder = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
@@ -178,14 +161,6 @@ def deep_imports(resolved: DataFrame, files: DataFrame) -> DataFrame:
     return outside.join(index, "dir", "left").select("path", "target", F.when(F.col("has"), "deep-import").otherwise("missing-index").alias("kind"))
 
 
-def dead_exports(resolved: DataFrame, entries: DataFrame) -> DataFrame:
-    """Exported names that no file imports; files in ``entries(path)`` and modules imported whole are held."""
-    exports = resolved.where("type = 'exports'").select("path", F.col("local").alias("name")).distinct()
-    used = resolved.where("target is not null and type in ('imports', 're-exports', 'dynamic')").select(F.col("target").alias("path"), F.col("imported").alias("name"))
-    whole = used.where("name = '*'").select("path").distinct()
-    return exports.join(entries.select("path"), "path", "left_anti").join(whole, "path", "left_anti").join(used.distinct(), ["path", "name"], "left_anti")
-
-
 # -- lint rules
 
 

@@ -113,26 +113,32 @@ def origins(resolved: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"chains of re-exports did not end in {max_rounds} rounds")
 
 
-def dead_exports(resolved: DataFrame, entries: DataFrame) -> DataFrame:
+def dead_exports(resolved: DataFrame, entries: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """``path, name`` of declared names that no other module uses, directly or over re-exports that are used.
 
-    Files of ``entries(path)`` are held with all they offer, as are modules that are
-    imported whole, over ``export *`` too. A re-export uses a name only if
-    it is used itself. Types count like values.
+    Files of ``entries(path)`` and what they offer, wherever it comes from, are in use.
+    Held are modules that are imported or re-exported whole, and files of ``held(path)``.
+    A re-export uses a name only if it is used itself. Types count like values.
     """
     found = written(origins(resolved), "origins")
     links = resolved.where("target is not null and target <> path")
     used = links.where("type = 'imports' and imported is not null and imported <> '*'").select(F.col("target").alias("path"), F.col("imported").alias("name")).distinct()
-    opened = links.where("(type = 'imports' and imported = '*') or type = 'dynamic'").select(F.col("target").alias("path"))
-    held = opened.unionByName(entries.select("path")).distinct()
-    # What an entry or a whole import offers counts as used, wherever it comes from.
-    offered = found.join(held, "path", "left_semi")
-    alive = found.join(used, ["path", "name"], "left_semi").unionByName(offered).select(F.col("origin_path").alias("path"), F.col("origin_name").alias("name")).distinct()
-    whole = alive.where("name = '*'").select("path").unionByName(held).distinct()
-    # A name whose star export leads to a module outside the table cannot be proved dead.
+    opened = links.where("imported = '*' or type = 'dynamic'").select(F.col("target").alias("path"))
+    offered = found.join(entries.select("path").union(opened).distinct(), "path", "left_semi")
+    alive = found.join(used, ["path", "name"], "left_semi").unionByName(offered).select(F.col("origin_path").alias("path"), F.col("origin_name")).distinct()
+    closed = opened.union(entries.select("path")).union(alive.where("origin_name = '*'").select("path"))
+    if held is not None:
+        closed = closed.union(held.select("path"))
     declared = found.where("path = origin_path").select("path", "name", "origin_name")
-    dead = declared.join(alive.select("path", F.col("name").alias("origin_name")), ["path", "origin_name"], "left_anti").join(whole, "path", "left_anti")
-    return dead.select("path", "name").distinct()
+    return declared.join(alive, ["path", "origin_name"], "left_anti").join(closed.distinct(), "path", "left_anti").select("path", "name").distinct()
+
+
+def nested_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``path`` of files below a manifest that lies below another one: their users may lie outside (held)."""
+    dirs = manifest.where("field = 'package'").select("dir").distinct()
+    up = dirs.where("dir <> ''").withColumn("above", F.explode(F.expr("transform(sequence(0, size(split(dir, '/')) - 1), i -> array_join(slice(split(dir, '/'), 1, i), '/'))")))
+    inner = up.join(dirs.select(F.col("dir").alias("above")), "above", "left_semi").select("dir").distinct()
+    return owner(files.select("path"), dirs).join(inner, "dir", "left_semi").select("path")
 
 
 def duplicate_exports(resolved: DataFrame) -> DataFrame:

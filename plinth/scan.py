@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from plinth.operators import detectors as D
 from plinth.operators import metrics, report
+from plinth.operators import modules as M
 from plinth.operators.tables import ship_package, written
-from plinth.sources import facts
+from plinth.sources import facts, projects
 from plinth.sources.control_flow import dead_store_findings, lifetime_findings, pressure_findings
 from plinth.sources.files import select_detectors
 
@@ -45,6 +46,32 @@ class Options:
     max_forward_depth: int = 1
     max_lifetime: int = 30
     entry: tuple[str, ...] = ()
+    layers: tuple[tuple[str, str], ...] = ()
+    allowed: dict[str, list[str]] | None = None
+
+
+@dataclass(frozen=True)
+class Project:
+    """Facts beside the sources: manifests, path mappings, workspace packages, installed packages, ambient types.
+
+    What is absent is not guessed: without manifests no package is told as unlisted
+    or unused, without installed packages none as unused.
+    """
+
+    manifest: DataFrame | None = None
+    configs: DataFrame | None = None
+    spaces: DataFrame | None = None
+    installed: DataFrame | None = None
+    ambient: DataFrame | None = None
+
+
+def read_project(spark: SparkSession, roots: list[str]) -> Project:
+    """Project facts below ``roots``."""
+    own = written(projects.manifests(projects.read_texts(spark, roots, "package.json")), "manifests")
+    there = written(projects.manifests(projects.read_texts(spark, roots, "package.json", installed=True)), "installed")
+    texts = projects.read_texts(spark, roots, "*.json").where("path not like '%/package.json'")
+    pnpm = projects.read_texts(spark, roots, "pnpm-workspace.yaml")
+    return Project(own, written(projects.tsconfigs(texts), "configs"), written(projects.workspaces(spark, own, pnpm), "spaces"), written(M.installed_packages(there), "installed"), written(projects.ambient_types(texts), "ambient"))
 
 
 @dataclass(frozen=True)
@@ -55,14 +82,17 @@ class Report:
     detectors: list[str]
 
 
-def scan(spark: SparkSession, files: DataFrame, options: Options = Options()) -> Report:  # noqa: B008
-    """Findings of ``files(path, source_text)``, each once, with the catalog rows of the codes found."""
+def scan(spark: SparkSession, files: DataFrame, options: Options = Options(), project: Project = Project()) -> Report:  # noqa: B008
+    """Findings of ``files(path, source_text)``, each once, with the catalog rows of the codes found.
+
+    Entries are those of the options and the source files that manifests name.
+    """
     ship_package(spark)
     chosen = select_detectors(options.features, list(options.only) or None)
     files = written(files.select("path", "source_text"), "files")
     nodes = written(facts.ast_nodes(files), "nodes") if set(chosen) & {"barrel", "error-flow", "nesting", "early-return", "collapsible-if", "indirection"} else None
     relations = written(facts.relations(files), "relations") if set(chosen) & {"barrel", "indirection", "dependencies"} else None
-    resolved = written(D.resolved_relations(relations, files), "resolved") if relations is not None and set(chosen) & {"barrel", "dependencies"} else None
+    resolved = written(M.resolve(relations, files, project.configs, project.spaces), "resolved") if relations is not None and set(chosen) & {"barrel", "dependencies"} else None
     line0 = F.lit(0)
 
     def rows(df: DataFrame, category: str, code: str, kind, label, line=None, detail=None) -> DataFrame:
@@ -75,6 +105,7 @@ def scan(spark: SparkSession, files: DataFrame, options: Options = Options()) ->
     if "barrel" in chosen:
         parts.append(rows(D.barrel_statements(nodes), "barrel", "BARREL", kind, kind, detail=F.col("line").cast("string")))
         parts.append(rows(D.deep_imports(resolved, files), "barrel", "BARREL", kind, F.col("target"), line0, F.col("target")))
+        parts.append(rows(M.cross_module_reexports(resolved), "barrel", "BARREL", F.lit("cross-module-reexport"), F.col("specifier"), line0, F.col("specifier")))
     if "error-flow" in chosen:
         parts.append(rows(D.error_flow(nodes), "error-flow", "ERROR_FLOW", kind, kind, detail=F.col("line").cast("string")))
     if "nesting" in chosen:
@@ -90,13 +121,32 @@ def scan(spark: SparkSession, files: DataFrame, options: Options = Options()) ->
         parts.append(rows(D.type_remaps(nodes), "indirection", "INDIRECTION", F.lit("type-remap"), F.lit("alias of a type name"), detail=F.col("line").cast("string")))
         parts.append(rows(D.interface_rewraps(nodes), "indirection", "INDIRECTION", F.lit("interface-rewrap"), F.lit("empty interface"), detail=F.col("line").cast("string")))
     if "dependencies" in chosen:
-        cycles = D.circular_dependencies(resolved).groupBy("component").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", "node"))), lambda x: x["node"]), " -> ").alias("way"))
-        parts.append(rows(cycles.withColumnRenamed("component", "path"), "dependencies", "DEPENDENCIES", F.lit("circular-dependency"), F.col("way"), line0, F.col("way")))
-        parts.append(rows(D.unresolved_imports(resolved), "dependencies", "DEPENDENCIES", F.lit("unresolved-import"), F.col("specifier"), line0, F.col("specifier")))
-        if options.entry:
-            entries = spark.createDataFrame([(e,) for e in options.entry], "path string")
-            parts.append(rows(D.dead_exports(resolved, entries), "dependencies", "DEPENDENCIES", F.lit("dead-export"), F.col("name"), line0, F.col("name")))
-            parts.append(rows(D.unused_files(resolved, files, entries), "dependencies", "DEPENDENCIES", F.lit("unused-file"), F.lit("no entry reaches it"), line0))
+        found = written(D.circular_dependencies(resolved), "cycles")
+        cuts = M.cycle_cuts(resolved, found).select("component", F.concat_ws(" -> ", "cut_from", "cut_to").alias("cut"))
+        cycles = found.groupBy("component").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", "node"))), lambda x: x["node"]), " -> ").alias("way")).join(cuts, "component", "left")
+        deps = lambda df, what, label, detail=None: parts.append(rows(df, "dependencies", "DEPENDENCIES", F.lit(what), label, line0, label if detail is None else detail))
+        deps(cycles.withColumnRenamed("component", "path"), "circular-dependency", F.col("way"), F.to_json(F.struct("way", "cut")))
+        deps(M.unresolved(resolved), "unresolved-import", F.col("specifier"))
+        deps(M.duplicate_exports(resolved).withColumnRenamed("first_module", "path"), "duplicate-export", F.col("name"), F.concat_ws("#", "origin_path", "name"))
+        if options.layers:
+            deps(M.layer_violations(resolved, list(options.layers), options.allowed or {}), "layer-violation", F.concat_ws(" -> ", "from_layer", "to_layer"), F.col("target"))
+        entries, held, surface = spark.createDataFrame([(e,) for e in options.entry], "path string"), None, True
+        if project.manifest is not None:
+            held = written(M.nested_files(files, project.manifest), "nested")
+            named = project.manifest.where("field = 'entry'").select(F.explode(F.array("value", F.regexp_replace("value", r"\.js$", ".ts"), F.concat("value", F.lit("/index.ts")))).alias("path"))
+            surface = bool(options.entry) or named.isEmpty() or not named.join(files, "path", "left_semi").isEmpty()
+            entries = written(entries.unionByName(named.join(files.select("path"), "path", "left_semi")).distinct(), "entries")
+            deps(M.unlisted_dependencies(resolved, project.manifest), "unlisted-dependency", F.col("package"))
+            if project.installed is not None:
+                unused = M.unused_dependencies(resolved, project.manifest, project.installed, project.ambient)
+                deps(unused.withColumn("path", F.concat("dir", F.lit("/package.json"))), "unused-dependency", F.col("package"))
+        if surface and not entries.isEmpty():
+            # What entries do not reach is told as a file; users of nested packages may lie outside. Both are held.
+            unused = written(D.unused_files(resolved, files, entries), "unused")
+            if held is not None:
+                unused = unused.join(held, "path", "left_anti")
+            deps(unused, "unused-file", F.lit("no entry reaches it"), F.lit(""))
+            deps(M.dead_exports(resolved, entries, unused if held is None else unused.unionByName(held)), "dead-export", F.col("name"))
     if "variable-lifetime" in chosen:
         parts.append(rows(lifetime_findings(files, options.max_lifetime), "variable-lifetime", "LIFETIME", F.lit("variable-lifetime"), F.concat(F.col("var"), F.lit(" lives "), F.col("lines").cast("string"), F.lit(" lines")), detail=F.concat_ws(":", "line", "var", "burden")))
         parts.append(rows(pressure_findings(files), "variable-lifetime", "LIFETIME", F.lit("liveness-pressure"), F.concat(F.col("max_live").cast("string"), F.lit(" variables live at once")), line0, F.col("fn").cast("string")))

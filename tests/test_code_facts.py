@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from plinth.operators import detectors as D
+from plinth.operators import modules as M
 from plinth.sources import facts
 from plinth.sources.ts_parser import ParseError, parse
 
@@ -104,11 +105,11 @@ def test_modules(files, spark):
     )
     nodes, rel = facts.ast_nodes(f), facts.relations(f)
     assert sorted((r["path"], r["kind"]) for r in D.barrel_statements(nodes).collect()) == [("lib/index.ts", "export-star"), ("lib/index.ts", "invalid-index-statement")]
-    res = D.resolved_relations(rel, f).cache()
-    assert [tuple(r) for r in D.unresolved_imports(res).collect()] == [("app/main.ts", "./nope")]
+    res = M.resolve(rel, f).cache()
+    assert [tuple(r) for r in M.unresolved(res).collect()] == [("app/main.ts", "./nope")]
     assert sorted(tuple(r) for r in D.deep_imports(res, f).collect()) == [("app/main.ts", "bare/c.ts", "missing-index"), ("app/main.ts", "lib/a.ts", "deep-import")]
     entries = spark.createDataFrame([("app/main.ts",)], "path string")
-    assert [tuple(r) for r in D.dead_exports(res, entries).collect()] == [("lib/a.ts", "unused")]
+    assert [tuple(r) for r in M.dead_exports(res, entries).collect()] == [("lib/a.ts", "unused")]
     assert [r["local"] for r in D.unused_imports(nodes, rel).collect()] == ["Z"]
 
 
@@ -154,7 +155,7 @@ function ok() { try { g(); } catch (e) { h(e); } finally { k(() => { return 1; }
 
 def test_file_graph(files, spark):
     f = files(a="import { b } from './b'; b();", b="import { c } from './c'; export const b = c;", c="import { b } from './b'; import type { T } from './d'; export const c = b;", d="import { a } from './c'; export type T = 1;", e="export {}")
-    res = D.resolved_relations(facts.relations(f), f).cache()
+    res = M.resolve(facts.relations(f), f).cache()
     assert [r["node"] for r in D.circular_dependencies(res).orderBy("ix").collect()] == ["b.ts", "c.ts"]
     entries = spark.createDataFrame([("a.ts",)], "path string")
     assert [r["path"] for r in D.unused_files(res, f, entries).collect()] == ["e.ts"]
