@@ -126,14 +126,16 @@ def early_returns(nodes: DataFrame, least: int = 2) -> DataFrame:
 
 
 def clone_tiers(prints: DataFrame) -> DataFrame:
-    """``tier, fp, n, path, start_off, name, is_primary`` of exact groups, then of renamed groups that no exact group already is."""
-    exact = prints.groupBy("exact").agg(F.count("*").alias("n"), F.min("shape").alias("s")).where("n > 1")
-    shape = prints.groupBy("shape").agg(F.count("*").alias("n"), F.count_distinct("exact").alias("kinds")).where("n > 1 and kinds > 1")
-    shape = shape.join(exact.select(F.col("s").alias("shape")).distinct(), "shape", "left_anti")
-    items = prints.join(exact.select("exact", "n"), "exact").select(F.lit("exact").alias("tier"), F.col("exact").alias("fp"), "n", "path", "start_off", "line", "name", "size")
-    more = prints.join(shape.select("shape", "n"), "shape").select(F.lit("shape").alias("tier"), F.col("shape").alias("fp"), "n", "path", "start_off", "line", "name", "size")
+    """``tier, fp, n, path, start_off, line, name, size, is_primary`` of exact groups, then of renamed groups that no exact group already is, then of normalised groups that neither is."""
+    every = prints.groupBy("exact").agg(F.count("*").alias("n"), F.min("shape").alias("s"), F.min("normal").alias("m")).where("n > 1")
+    shape = prints.groupBy("shape").agg(F.count("*").alias("n"), F.count_distinct("exact").alias("kinds"), F.min("normal").alias("m")).where("n > 1 and kinds > 1")
+    shape = shape.join(every.select(F.col("s").alias("shape")).distinct(), "shape", "left_anti")
+    normal = prints.groupBy("normal").agg(F.count("*").alias("n"), F.count_distinct("shape").alias("kinds")).where("n > 1 and kinds > 1")
+    normal = normal.join(every.select(F.col("m").alias("normal")).unionByName(shape.select(F.col("m").alias("normal"))).distinct(), "normal", "left_anti")
+    columns = ("n", "path", "start_off", "line", "name", "size")
+    parts = [prints.join(groups.select(fp, "n"), fp).select(F.lit(tier).alias("tier"), F.col(fp).alias("fp"), *columns) for tier, fp, groups in (("exact", "exact", every), ("shape", "shape", shape), ("normalized", "normal", normal))]
     first = Window.partitionBy("tier", "fp").orderBy("path", "start_off")
-    return items.unionByName(more).withColumn("is_primary", F.row_number().over(first) == 1)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("is_primary", F.row_number().over(first) == 1)
 
 
 # -- modules

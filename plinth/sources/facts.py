@@ -7,11 +7,13 @@ that does not parse gives no facts but a row in :func:`parse_errors`.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from plinth.sources.rewrites import normalised
 from plinth.sources.ts_parser import Node, ParseError, parse
 
 FUNCTIONS = frozenset(("FunctionDeclaration", "FunctionExpression", "ArrowFunctionExpression"))
@@ -172,7 +174,7 @@ def canonical(n: Node, bound: set[str] | None, names: dict[str, str] | None = No
         attrs = dict(x.attrs)
         if x.type == "Identifier" and bound is not None and attrs.get("name") in bound:
             attrs["name"] = "\x00" + names.setdefault(attrs["name"], str(len(names)))
-        if x.type == "TSType":
+        if x.type in ("TSType", "TSInterfaceBody", "object-type"):
             attrs["text"] = " ".join(attrs.get("text", "").split())
         if top:
             attrs.pop("name", None)
@@ -189,7 +191,8 @@ def canonical(n: Node, bound: set[str] | None, names: dict[str, str] | None = No
 
 
 def size_of(n: Node) -> int:
-    return sum(1 for _ in n.walk())
+    """Nodes of a subtree; what types and interfaces hold counts by its words."""
+    return sum(1 + (len(re.findall(r"\w+", x.attrs.get("text", ""))) if x.type in ("TSType", "TSInterfaceBody") else 0) for x in n.walk())
 
 
 def is_skeleton(n: Node) -> bool:
@@ -223,11 +226,23 @@ def is_skeleton(n: Node) -> bool:
     return value.type in ("Identifier", "ThisExpression")
 
 
-PRINTS = "path string, start_off int, end_off int, line int, kind string, name string, size int, exact string, shape string"
+PRINTS = "path string, start_off int, end_off int, line int, kind string, name string, size int, exact string, shape string, normal string"
+
+
+def contract_form(n: Node) -> Node:
+    """An interface without parents and an alias of an object type in one form; other nodes as they are."""
+    body = n.get("body") if n.type == "TSInterfaceDeclaration" and not n.all("extends") else None
+    if n.type == "TSTypeAliasDeclaration" and (t := n.get("typeAnnotation")) is not None:
+        inner = t.get("member")
+        body = t if inner is not None and (inner.start, inner.end) == (t.start, t.end) else None
+    if body is None:
+        return n
+    own = Node("object-type", body.start, body.end, {"text": body.attrs.get("text", "")})
+    return Node("contract", n.start, n.end, dict(n.attrs), [*((k, c) for k, c in n.children if k in ("id", "typeParameters")), ("body", own)])
 
 
 def fingerprints(files: DataFrame, min_size: int = 12) -> DataFrame:
-    """Clone targets with their exact and alpha-renamed fingerprints.
+    """Clone targets with their exact, alpha-renamed and normalised fingerprints.
 
     Anonymous functions and types below ``min_size`` nodes, and skeletons, are left out.
     """
@@ -244,7 +259,8 @@ def fingerprints(files: DataFrame, min_size: int = 12) -> DataFrame:
             if small:
                 continue
             sha = lambda s: hashlib.sha1(s.encode("utf-8", "surrogatepass")).hexdigest()
-            out.append((path, n.start, n.end, text.count("\n", 0, n.start) + 1, n.type, name or "anonymous", size, sha(canonical(n, None)), sha(canonical(n, bound_names(n)))))
+            normal = normalised(contract_form(n))
+            out.append((path, n.start, n.end, text.count("\n", 0, n.start) + 1, n.type, name or "anonymous", size, sha(canonical(n, None)), sha(canonical(n, bound_names(n))), sha(canonical(normal, bound_names(normal)))))
         return out
 
     return _extract(files, PRINTS, rows)

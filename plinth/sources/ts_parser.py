@@ -755,7 +755,7 @@ class Parser:
         inner = self.i + 1
         self.skip_balanced()
         empty = self.i - inner == 1
-        return self.node(kind, start, empty=empty)
+        return self.node(kind, start, empty=empty, text=self.src[start : self.end()] if kind == "TSInterfaceBody" else None)
 
     # -- expressions
     def expression(self, no_in: bool = False) -> Node:
