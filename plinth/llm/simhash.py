@@ -39,8 +39,8 @@ from plinth.operators.components import connected_components
 SEED, BITS = 42, 64
 #: Members of a bucket that one task holds at a time, and the widest histogram in bits.
 BLOCK, HISTOGRAM_BITS = 8192, 16
-#: Cost of sending one probe against comparing one candidate.
-PROBE_COST, MOST_FLIPS = 20.0, 2
+#: Cost of sending one probe, which is written and sorted, against comparing one candidate; bits that a probe flips at least, if need be.
+PROBE_COST, MOST_FLIPS = 1000.0, 2
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -86,6 +86,11 @@ def check_word(hashes: np.ndarray) -> int:
     return majority(mixed(hashes))
 
 
+def named(fps: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """One number for a fingerprint and its check word; the fingerprint itself without one."""
+    return fps ^ checks * np.uint64(0x9E3779B97F4A7C15)
+
+
 def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", keep: tuple[str, ...] = ("doc_id",), checked: bool = False) -> DataFrame:
     """``keep``, ``fp``, the fingerprint as a signed 64-bit integer, ``check``, its check word or 0, and ``node``, which names both."""
 
@@ -93,7 +98,7 @@ def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", keep: tupl
         hashes = [shingle_hashes(t, words) for t in texts]
         fp = np.array([majority(h) for h in hashes], np.uint64)
         check = np.array([check_word(h) if checked else 0 for h in hashes], np.uint64)
-        return {"fp": fp.view(np.int64), "check": check.view(np.int64), "node": (fp ^ check * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)}
+        return {"fp": fp.view(np.int64), "check": check.view(np.int64), "node": named(fp, check).view(np.int64)}
 
     return map_texts(docs, kernel, "fp long, check long, node long", text, keep)
 
@@ -274,7 +279,8 @@ class Forest:
         return [(x, self.root(x)) for x in list(self.up)]
 
 
-PROBE = "part int, value long, fp long, check long, node long, probing boolean"
+#: A bucket is a partition's number and a value of its bits.
+PROBE = "bucket long, fp long, check long, probing boolean"
 
 
 def probes(nodes: DataFrame, groups: list[list[int]], hists: list[np.ndarray], n: int, radius: int) -> DataFrame:
@@ -302,7 +308,7 @@ def probes(nodes: DataFrame, groups: list[list[int]], hists: list[np.ndarray], n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
-                fps, checks, nodes_of = (np.ascontiguousarray(batch.column(c).slice(i, 4096)).astype(np.int64).view(np.uint64) for c in range(3))
+                fps, checks = (np.ascontiguousarray(batch.column(c).slice(i, 4096)).astype(np.int64).view(np.uint64) for c in range(2))
                 values = [project(fps, bits) for _, bits in blocks]
                 costs = np.zeros((parts, most + 2, len(fps)))
                 for g, bits in enumerate(groups):
@@ -310,11 +316,10 @@ def probes(nodes: DataFrame, groups: list[list[int]], hists: list[np.ndarray], n
                     for t in range(most + 1):
                         costs[g, t + 1] = PROBE_COST * (sum(comb(len(bits), d) for d in range(t + 1)) - 1) + count[t]
                 limits = allot(costs, total)
-                out_p, out_v, out_i, out_q = [], [], [], []
+                out_v, out_i, out_q = [], [], []
                 every = np.arange(len(fps))
                 for g, bits in enumerate(groups):
-                    own = project(fps, bits)
-                    out_p.append(np.full(len(fps), g, np.int32))
+                    own = project(fps, bits) | g << 32  # a partition has at most half of the bits, or is the only one
                     out_v.append(own)
                     out_i.append(every)
                     out_q.append(limits[g] >= 0)
@@ -324,39 +329,42 @@ def probes(nodes: DataFrame, groups: list[list[int]], hists: list[np.ndarray], n
                             masks = np.array(flips[g][d], np.int64)
                             out_v.append((own[far][:, None] ^ masks).ravel())
                             out_i.append(np.repeat(every[far], len(masks)))
-                            out_p.append(np.full(len(out_i[-1]), g, np.int32))
                             out_q.append(np.ones(len(out_i[-1]), bool))
                 which = np.concatenate(out_i)
-                own = [x[which].view(np.int64) for x in (fps, checks, nodes_of)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(out_p), np.concatenate(out_v), *own, np.concatenate(out_q))], names=["part", "value", "fp", "check", "node", "probing"])
+                own = [x[which].view(np.int64) for x in (fps, checks)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(out_v), *own, np.concatenate(out_q))], names=["bucket", "fp", "check", "probing"])
 
-    return nodes.select("fp", "check", "node").mapInArrow(run, PROBE)
+    return nodes.select("fp", "check").mapInArrow(run, PROBE)
 
 
 def links(probe_rows: DataFrame, radius: int, most: int | None = None) -> DataFrame:
     """``u, v``: nodes within the radius and, if given, with ``most`` bits apart over both words, enough of them to connect each component."""
-    hot = probe_rows.groupBy("part", "value").count().where(F.col("count") > BLOCK).select("part", "value", F.ceil(F.col("count") / BLOCK).cast("int").alias("cuts"))
-    cut = probe_rows.join(hot, ["part", "value"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
-    mine = F.pmod(F.xxhash64("node"), F.col("cuts"))
-    # A member of a cut bucket goes to each pair of blocks that has its own.
-    spread = cut.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts").cast("long") - 1)))
-    keyed = spread.select("part", "value", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "fp", "check", "node", "probing")
-    keys = ["part", "value", "x", "y"]
-    dealt = keyed.repartition(*keys).sortWithinPartitions(*keys)
+    # Written, so that its size is known before the join is planned: few buckets are hot, and mostly none.
+    hot = written(probe_rows.groupBy("bucket").count().where(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).cast("long").alias("cuts")), "hot-buckets")
+    if hot.isEmpty():
+        keyed = probe_rows.withColumn("pair", F.lit(0).cast("long"))
+    else:
+        cut = probe_rows.join(hot, "bucket", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1).cast("long")))
+        # A member of a cut bucket goes to each pair of blocks that has its own.
+        spread = cut.withColumn("mine", F.pmod(F.xxhash64("fp", "check"), F.col("cuts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+        keyed = spread.withColumn("pair", F.shiftleft(F.least("mine", "other"), 32).bitwiseOR(F.greatest("mine", "other")))
+    keys = ["bucket", "pair"]
+    dealt = keyed.select(*keys, "fp", "check", "probing").repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, key, held = Forest(), None, []
 
         def close() -> None:
-            fps, checks, names, probing = (np.concatenate([h[c] for h in held]) for c in range(4))
+            fps, checks, probing = (np.concatenate([h[c] for h in held]) for c in range(3))
             if len(fps) > 1 and probing.any():
+                names = named(fps, checks)
                 for a, b in bucket_links(fps, probing, radius, None if most is None else checks, most or 0):
                     forest.join(int(names[a]), int(names[b]))
 
         for batch in batches:
-            columns = [np.asarray(batch.column(k)) for k in range(4)]
-            fps, checks, names = (np.ascontiguousarray(batch.column(c)).astype(np.int64).view(np.uint64) for c in (4, 5, 6))
-            probing = np.array(batch.column(7).to_numpy(zero_copy_only=False), bool)
+            columns = [np.asarray(batch.column(k)) for k in range(2)]
+            fps, checks = (np.ascontiguousarray(batch.column(c)).astype(np.int64).view(np.uint64) for c in (2, 3))
+            probing = np.array(batch.column(4).to_numpy(zero_copy_only=False), bool)
             if not len(fps):
                 continue
             change = np.zeros(len(fps), bool)
@@ -369,7 +377,7 @@ def links(probe_rows: DataFrame, radius: int, most: int | None = None) -> DataFr
                     close()
                     held = []
                 key = new
-                held.append((fps[s:e], checks[s:e], names[s:e], probing[s:e]))
+                held.append((fps[s:e], checks[s:e], probing[s:e]))
         if held:
             close()
         edges = np.array(forest.edges(), np.uint64).reshape(-1, 2)
@@ -405,7 +413,7 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4) -> Data
     return near_components(written(fingerprints(docs, words), "prints"), radius).select("doc_id", "fp", "component_id")
 
 
-def keep_one_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 12) -> DataFrame:
+def keep_one_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 11) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates, with all its columns.
 
     Texts are linked if their fingerprints are within ``radius`` bits and if, over

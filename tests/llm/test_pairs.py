@@ -44,7 +44,7 @@ def brute_groups(prints, radius=4):
     return {k: keys[root(i)] for i, k in enumerate(keys)}
 
 
-def brute_similar(texts, words=5, radius=12, most=19):
+def brute_similar(texts, words=5, radius=11, most=19):
     """Groups of texts by fingerprint and check word, all pairs compared."""
     import xxhash
 
@@ -81,7 +81,7 @@ def test_near_dedup_finds_similar_texts(spark):
     docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "text")
     prints = simhash.fingerprints(docs, 5, checked=True)
     assert simhash.bits_apart(0.8, 128) == 19
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_components(prints, 12, most=19).collect()}
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_components(prints, 11, most=19).collect()}
     texts = {r["doc_id"]: WORD.findall(r["text"].lower()) for r in docs.collect()}
     sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in texts.items() if len(w) >= 20}
     where: dict = {}
