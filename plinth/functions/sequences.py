@@ -5,45 +5,48 @@ No built-in expresses them; each call handles one pair, and memory is that of th
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import pandas as pd
 from pyspark.sql import functions as F
 
 
-def lcs_length(a: list, b: list) -> int:
-    """Length by matching positions of equal tokens, in (matches + length) times its logarithm."""
+def _rows(a: list, b: list):
+    """For each prefix of ``a``, a number whose zero bits mark where the length grows along ``b``."""
     where: dict = {}
     for j, t in enumerate(b):
-        where.setdefault(t, []).append(j)
-    ends: list[int] = []
+        where[t] = where.get(t, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    yield row
     for t in a:
-        for j in reversed(where.get(t, ())):
-            k = bisect_left(ends, j)
-            if k == len(ends):
-                ends.append(j)
-            else:
-                ends[k] = j
-    return len(ends)
+        hit = row & where.get(t, 0)
+        row = (row + hit | row - hit) & full
+        yield row
+
+
+def lcs_length(a: list, b: list) -> int:
+    """Length by a row of bits for each token of ``a``: len(a) times len(b) / 64 steps, and two rows of memory."""
+    for row in _rows(a, b):  # noqa: B007
+        pass
+    return len(b) - row.bit_count()
 
 
 def lcs_pairs(a: list, b: list) -> list[tuple[int, int]]:
-    """Index pairs of one alignment; where two are as long, the first sequence is shortened first."""
-    m, n = len(a), len(b)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        row, up = best[i], best[i - 1]
-        for j in range(1, n + 1):
-            row[j] = up[j - 1] + 1 if a[i - 1] == b[j - 1] else max(up[j], row[j - 1])
-    out, i, j = [], m, n
+    """Index pairs of one alignment; where two are as long, the first sequence is shortened first.
+
+    All rows are kept, at a bit a cell: 20,000 tokens on either side take 50 MB.
+    """
+    rows = list(_rows(a, b))
+    out, i, j = [], len(a), len(b)
     while i and j:
         if a[i - 1] == b[j - 1]:
             out.append((i - 1, j - 1))
             i, j = i - 1, j - 1
-        elif best[i - 1][j] >= best[i][j - 1]:
-            i -= 1
         else:
-            j -= 1
+            low = (1 << j) - 1
+            if (rows[i - 1] & low).bit_count() == (rows[i] & low).bit_count():  # as long without a's last
+                i -= 1
+            else:
+                j -= 1
     return out[::-1]
 
 

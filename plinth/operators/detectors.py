@@ -51,11 +51,16 @@ def function_metrics(nodes: DataFrame) -> DataFrame:
 
 
 def callback_depths(nodes: DataFrame) -> DataFrame:
-    """``path, fn_id, callback_depth``: functions given as arguments that hold this one, itself included, by nested-set ranges."""
-    fns = nodes.where(F.col("type").isin(*FUNCTION_TYPES))
-    given = fns.where("key = 'arguments'").select("path", F.col("pre").alias("a_pre"), F.col("post").alias("a_post"))
-    met = fns.join(given, "path").where("a_pre <= pre and pre <= a_post")
-    return met.groupBy("path", F.col("node_id").alias("fn_id")).agg(F.count("*").alias("callback_depth"))
+    """``path, fn_id, callback_depth``: functions given as arguments that hold this one, itself included.
+
+    A sum over each file in nested-set order: one more where such a function begins,
+    one less after its end.
+    """
+    fns = nodes.where(F.col("type").isin(*FUNCTION_TYPES)).withColumn("given", (F.col("key") == "arguments").cast("int"))
+    begins = fns.select("path", F.col("pre").alias("at"), F.lit(0).alias("order"), F.col("given").alias("d"), F.col("node_id").alias("fn_id"))
+    ends = fns.where("given = 1").select("path", F.col("post").alias("at"), F.lit(1).alias("order"), F.lit(-1).alias("d"), F.lit(None).cast("int").alias("fn_id"))
+    depth = F.sum("d").over(Window.partitionBy("path").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return begins.unionByName(ends).withColumn("callback_depth", depth).where("fn_id is not null and callback_depth > 0").select("path", "fn_id", "callback_depth")
 
 
 def nesting_findings(nodes: DataFrame, max_depth: int = 3, max_complexity: int = 15, max_callbacks: int = 3, min_lines: int = 8, max_density: float = 0.5) -> DataFrame:

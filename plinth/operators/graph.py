@@ -95,14 +95,18 @@ def greedy_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
     c = components.join(size, "component", "left_semi")
     inner = edges.where("u <> v").join(c.select(F.col("node").alias("u"), "component"), "u").join(c.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v").where("component = cv")
     step = written(inner.groupBy("component", "u").agg(F.min("v").alias("v")), "steps")
-    walk = written(size.select("component", F.col("component").alias("at"), F.array("component").alias("path"), F.lit(-1).alias("close")), "walk")
-    while True:
-        on = walk.where("close < 0").join(step, (walk["component"] == step["component"]) & (walk["at"] == step["u"])).select(walk["component"], F.col("v").alias("at"), "path", (F.array_position("path", F.col("v")) - 1).cast("int").alias("close"))
-        moved = on.select("component", "at", F.when(F.col("close") < 0, F.concat("path", F.array("at"))).otherwise(F.col("path")).alias("path"), "close")
-        walk = written(walk.where("close >= 0").unionByName(moved), "walk")
-        if walk.where("close < 0").isEmpty():
-            break
-    return walk.select("component", F.posexplode(F.expr("slice(path, close + 1, size(path))")).alias("ix", "node"))
+    # Places along the walk by doubling: each round knows twice as many, so rounds grow with the logarithm of its length.
+    walk = written(size.select("component", F.col("component").alias("node"), F.lit(0).cast("long").alias("ix")), "walk")
+    jump, reach, known = step, 1, -1
+    while (n := walk.count()) != known:
+        known = n
+        ahead = walk.join(jump.withColumnRenamed("u", "node"), ["component", "node"]).select("component", F.col("v").alias("node"), (F.col("ix") + reach).alias("ix"))
+        walk = written(walk.unionByName(ahead).groupBy("component", "node").agg(F.min("ix").alias("ix")), "walk")
+        twice = jump.select("component", "u", F.col("v").alias("m")).join(jump.select("component", F.col("u").alias("m"), "v"), ["component", "m"]).select("component", "u", "v")
+        jump, reach = written(twice, "jump"), 2 * reach
+    last = walk.groupBy("component").agg(F.max_by("node", "ix").alias("u")).join(step, ["component", "u"]).select("component", F.col("v").alias("node"))
+    entry = last.join(walk, ["component", "node"]).select("component", F.col("ix").alias("first"))
+    return walk.join(entry, "component").where("ix >= first").select("component", (F.col("ix") - F.col("first")).cast("int").alias("ix"), "node")
 
 
 def edge_cuts(cycles: DataFrame, degrees: DataFrame) -> DataFrame:

@@ -36,15 +36,32 @@ def narrowest(met: DataFrame, point_id: list[str], start: str, end: str, interva
     return met.groupBy(*point_id).agg(F.min(F.struct((F.col(end) - F.col(start)).alias("size"), F.col(interval_id))).alias("__m")).select(*point_id, F.col(f"__m.{interval_id}").alias(interval_id))
 
 
-def contained(children: DataFrame, parents: DataFrame, keys: list[str], cell: int) -> DataFrame:
+def dyadic_cells(start: Column, end: Column, levels: int) -> Column:
+    """Array of ``level, cell`` whose cells of ``2 ** level`` numbers make up ``start .. end`` (inclusive) without overlap; at most two a level."""
+    first = F.struct(start.cast("long").alias("l"), (end + 1).cast("long").alias("r"), F.array().cast("array<struct<level:int,cell:bigint>>").alias("out"))
+
+    def step(a: Column, k: Column) -> Column:
+        one = lambda c: F.struct(k.cast("int").alias("level"), c.alias("cell"))
+        odd_l, odd_r = (a["l"] < a["r"]) & (F.pmod(a["l"], F.lit(2)) == 1), (a["l"] < a["r"]) & (F.pmod(a["r"], F.lit(2)) == 1)
+        more = F.concat(a["out"], F.when(odd_l, F.array(one(a["l"]))).otherwise(F.array().cast("array<struct<level:int,cell:bigint>>")), F.when(odd_r, F.array(one(a["r"] - 1))).otherwise(F.array().cast("array<struct<level:int,cell:bigint>>")))
+        return F.struct(F.shiftright(a["l"] + odd_l.cast("long"), 1).alias("l"), F.shiftright(a["r"] - odd_r.cast("long"), 1).alias("r"), more.alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), first, step, lambda a: a["out"])
+
+
+def contained(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of a child span and a parent span of one key that contains it; spans have ``id, s, e``, ends inclusive.
 
-    Parents are listed in the cells they touch, children in the cell they start in,
-    so each pair meets once.
+    A parent is listed in the dyadic cells that make it up, a child in those of each
+    size that hold its start: both in the logarithm of the longest span, and a pair
+    meets once.
     """
-    p = parents.select(*keys, F.col("id").alias("parent"), F.col("s").alias("ps"), F.col("e").alias("pe"), F.explode(F.sequence(F.floor(F.col("s") / cell), F.floor(F.col("e") / cell))).alias("__cell"))
-    c = children.select(*keys, F.col("id").alias("child"), F.col("s").alias("cs"), F.col("e").alias("ce"), F.floor(F.col("s") / cell).alias("__cell"))
-    return c.join(p, [*keys, "__cell"]).where((F.col("ps") <= F.col("cs")) & (F.col("pe") >= F.col("ce"))).drop("__cell")
+    longest = parents.agg(F.max(F.col("e") - F.col("s") + 1)).first()[0] or 1
+    levels = int(longest).bit_length()
+    p = parents.select(*keys, F.col("id").alias("parent"), F.col("s").alias("ps"), F.col("e").alias("pe"), F.explode(dyadic_cells(F.col("s"), F.col("e"), levels)).alias("__at"))
+    cells = F.array(*(F.struct(F.lit(k).cast("int").alias("level"), F.shiftright(F.col("s").cast("long"), k).alias("cell")) for k in range(levels + 1)))
+    c = children.select(*keys, F.col("id").alias("child"), F.col("s").alias("cs"), F.col("e").alias("ce"), F.explode(cells).alias("__at"))
+    return c.join(p, [*keys, "__at"]).where(F.col("pe") >= F.col("ce")).drop("__at")
 
 
 def resolve_ranked(specs: DataFrame, spec: str, files: DataFrame, path: str, rules: list[Column]) -> DataFrame:
@@ -74,7 +91,7 @@ def first_rule(value: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
-def subsumed(groups: DataFrame, items: DataFrame, cell: int) -> DataFrame:
+def subsumed(groups: DataFrame, items: DataFrame) -> DataFrame:
     """Groups all of whose items lie within items of one other group.
 
     ``items(group, key, id, s, e)``, ``groups(group, tier, n)``: a parent's tier must
@@ -82,7 +99,7 @@ def subsumed(groups: DataFrame, items: DataFrame, cell: int) -> DataFrame:
     two groups that would subsume each other the smaller id stays.
     """
     child = items.select("key", F.col("id"), "s", "e")
-    pairs = contained(child, child, ["key"], cell)
+    pairs = contained(child, child, ["key"])
     owner = items.select(F.col("id"), "group")
     met = pairs.join(owner.select(F.col("id").alias("child"), F.col("group").alias("cg")), "child").join(owner.select(F.col("id").alias("parent"), F.col("group").alias("pg")), "parent").where("cg <> pg")
     held = met.groupBy("cg", "pg").agg(F.countDistinct("child").alias("held"))

@@ -6,17 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def halstead(tokens: DataFrame, keys: list[str], token: str, is_operator: Column) -> DataFrame:
-    """``n1, n2, total1, total2, volume, difficulty`` of each key's tokens (A6); both figures with two decimals.
+def halstead(df: DataFrame, keys: list[str], tokens: str, is_operator) -> DataFrame:
+    """``keys, n1, n2, total1, total2, volume, difficulty`` of each row's array of tokens (A6); both figures with two decimals.
 
-    Tokens are counted before they are told apart, so no distinct sets are gathered.
+    ``is_operator`` maps a token to a condition. Rows without a token are left out. A
+    row's tokens are told apart within the row, so nothing is shuffled.
     """
-    counted = tokens.groupBy(*keys, token).agg(F.count("*").alias("n"))
-    op = counted.withColumn("op", is_operator)
-    agg = op.groupBy(*keys).agg(
-        F.count(F.when(F.col("op"), 1)).alias("n1"), F.count(F.when(~F.col("op"), 1)).alias("n2"),
-        F.sum(F.when(F.col("op"), F.col("n")).otherwise(0)).alias("total1"), F.sum(F.when(~F.col("op"), F.col("n")).otherwise(0)).alias("total2"),
-    )
+    split = df.where(F.size(tokens) > 0).select(*keys, F.filter(tokens, is_operator).alias("ops"), F.filter(tokens, lambda t: ~is_operator(t)).alias("rest"))
+    n = lambda c: F.size(c).cast("long")
+    agg = split.select(*keys, n(F.array_distinct("ops")).alias("n1"), n(F.array_distinct("rest")).alias("n2"), n("ops").alias("total1"), n("rest").alias("total2"))
     words, size = F.col("n1") + F.col("n2"), F.col("total1") + F.col("total2")
     volume = F.when(words > 0, size * F.log2(words.cast("double"))).otherwise(0.0)
     # n1 / 2 * total2 / n2 in hundredths, half up, in whole numbers: ties do not hang on a quotient's last bit.

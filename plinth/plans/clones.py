@@ -118,7 +118,7 @@ def clone_subsumption(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = ev.groupBy("user_id", "event_type").agg(F.min("event_id").alias("s"), F.max("event_id").alias("e"))
     items = spans.select(F.concat_ws("-", "user_id", "event_type").alias("group"), F.col("user_id").alias("key"), F.concat_ws("-", "user_id", "event_type").alias("id"), "s", "e")
     groups = items.select("group", F.lit(0).alias("tier"), F.lit(1).cast("long").alias("n"))
-    return subsumed(groups, items, 4096).select(F.col("group").alias("span_id"))
+    return subsumed(groups, items).select(F.col("group").alias("span_id"))
 
 
 @query("""

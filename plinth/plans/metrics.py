@@ -20,8 +20,8 @@ from plinth.plans.registry import query
 def halstead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Halstead figures of each document's tokens, marks being operators."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    tokens = docs.select("doc_id", F.explode(F.expr(r"regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\\s]', 0)")).alias("tok"))
-    return M.halstead(tokens, ["doc_id"], "tok", F.col("tok").rlike("^[^A-Za-z0-9]$"))
+    tokens = docs.select("doc_id", F.expr(r"regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\\s]', 0)").alias("tokens"))
+    return M.halstead(tokens, ["doc_id"], "tokens", lambda t: t.rlike("^[^A-Za-z0-9]$"))
 
 
 @query(r"""

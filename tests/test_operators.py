@@ -87,7 +87,7 @@ def test_unknown_does_not_satisfy(spark):
 def test_mutual_subsumption_keeps_the_smaller(spark):
     items = spark.createDataFrame([("a", "f", "a1", 0, 9), ("b", "f", "b1", 0, 9), ("c", "f", "c1", 2, 3), ("d", "g", "d1", 2, 3)], "group string, key string, id string, s long, e long")
     groups = items.select("group", F.lit(0).alias("tier"), F.lit(1).cast("long").alias("n"))
-    assert {r[0] for r in joins.subsumed(groups, items, 4).collect()} == {"b", "c"}
+    assert {r[0] for r in joins.subsumed(groups, items).collect()} == {"b", "c"}
 
 
 def test_ancestors_and_longest_prefix(spark):
@@ -181,3 +181,59 @@ def test_runs_from_first_with_a_line_in_a_thousand_documents(spark):
     rows = [(s, p, f) for s in range(1000) for p, f in enumerate(["head", "license", "all rights", f"own {s}"])]
     runs = clones.runs_from_first(spark.createDataFrame(rows, "s long, p long, f string"), "s", "p", "f", 2).collect()
     assert len(runs) == 999 and {(r["first_seq"], r["start"], r["first_start"], r["n"]) for r in runs} == {(0, 0, 0, 3)}
+
+
+def test_dyadic_cells_are_few_and_make_up_the_span(spark):
+    from plinth.operators.joins import contained, dyadic_cells
+
+    rng = random.Random(2)
+    rows = [(i, a := rng.randint(0, 10**9), a + rng.randint(0, 10**9)) for i in range(200)] + [(900, 0, 0), (901, 7, 7), (902, 0, (1 << 30) - 1)]
+    df = spark.createDataFrame(rows, "id long, s long, e long")
+    for r in df.withColumn("cells", dyadic_cells(F.col("s"), F.col("e"), 31)).collect():
+        spans = sorted((c["cell"] << c["level"], (c["cell"] + 1 << c["level"]) - 1) for c in r["cells"])
+        assert len(spans) <= 62 and spans[0][0] == r["s"] and spans[-1][1] == r["e"] and all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:], strict=False))
+    keyed = df.withColumn("k", F.lit(1))
+    got = {(r["child"], r["parent"]) for r in contained(keyed, keyed, ["k"]).collect()}
+    assert got == {(a[0], b[0]) for a in rows for b in rows if b[1] <= a[1] and a[2] <= b[2]}
+
+
+def test_greedy_cycles_take_rounds_in_the_logarithm(spark, monkeypatch):
+    from plinth.operators import graph
+
+    n, rounds = 300, []
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)] + [(n - 1, 40), (40, 0), (7, 3)], "u long, v long")
+    parts = spark.createDataFrame([(i, 0) for i in range(n)], "node long, component long")
+    whole = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: rounds.append(name) or whole(df, name))
+    rows = sorted((r["ix"], r["node"]) for r in graph.greedy_cycles(edges, parts).collect())
+    # From 0 along smallest neighbours: 7 turns back to 3.
+    assert rows == [(k, 3 + k) for k in range(5)] and rounds.count("walk") <= 8
+    ring = spark.createDataFrame([(i, (i + 1) % 257) for i in range(257)], "u long, v long")
+    parts = spark.createDataFrame([(i, 0) for i in range(257)], "node long, component long")
+    rounds.clear()
+    assert sorted((r["ix"], r["node"]) for r in graph.greedy_cycles(ring, parts).collect()) == [(i, i) for i in range(257)] and rounds.count("walk") <= 12
+
+
+def test_lcs_rows_equal_the_table():
+    from plinth.functions.sequences import lcs_length, lcs_pairs
+
+    def table(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                best[i][j] = best[i - 1][j - 1] + 1 if x == y else max(best[i - 1][j], best[i][j - 1])
+        out, i, j = [], len(a), len(b)
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                out.append((i - 1, j - 1))
+                i, j = i - 1, j - 1
+            elif best[i - 1][j] >= best[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        return out[::-1]
+
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        assert lcs_pairs(a, b) == table(a, b) and lcs_length(a, b) == len(table(a, b))
