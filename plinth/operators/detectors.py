@@ -63,13 +63,48 @@ def callback_depths(nodes: DataFrame) -> DataFrame:
     return begins.unionByName(ends).withColumn("callback_depth", depth).where("fn_id is not null and callback_depth > 0").select("path", "fn_id", "callback_depth")
 
 
-def nesting_findings(nodes: DataFrame, max_depth: int = 3, max_complexity: int = 15, max_callbacks: int = 3, min_lines: int = 8, max_density: float = 0.5) -> DataFrame:
+def quadratic_targets(nodes: DataFrame) -> DataFrame:
+    """``path, fn_id, targets``: names over which a loop or array method iterates inside another one over the same name.
+
+    Iterations are ``for`` of and in a name, ``for`` up to a name's length, and array
+    methods of a name. A sum over each name's iterations in nested-set order tells
+    those that lie in another; the function is that of the inner one.
+    """
+    kid = children(nodes, "c").join(nodes.select("path", F.col("node_id").alias("c_node_id"), F.element_at("attrs", "name").alias("c_name")), ["path", "c_node_id"])
+    named = kid.where("c_type = 'Identifier'")
+    over = nodes.where("type in ('ForOfStatement', 'ForInStatement')").join(named.where("c_key = 'right'").select("path", "node_id", F.col("c_name").alias("name")), ["path", "node_id"])
+    owner = named.where("c_key = 'object'").select("path", F.col("node_id").alias("member"), F.col("c_name").alias("name"))
+    lengths = kid.where("c_key = 'right' and c_type = 'MemberExpression' and c_name = 'length'").select("path", F.col("node_id").alias("test"), F.col("c_node_id").alias("member")).join(owner, ["path", "member"])
+    tests = kid.where("c_key = 'test' and c_type = 'BinaryExpression'").select("path", "node_id", F.col("c_node_id").alias("test"))
+    counted = nodes.where("type = 'ForStatement'").join(tests, ["path", "node_id"]).join(lengths.select("path", "test", "name"), ["path", "test"])
+    methods = kid.where((F.col("c_key") == "callee") & (F.col("c_type") == "MemberExpression") & F.col("c_name").isin(*ARRAY_CALLBACKS)).select("path", "node_id", F.col("c_node_id").alias("member")).join(owner, ["path", "member"])
+    called = nodes.where("type = 'CallExpression'").join(methods.select("path", "node_id", "name"), ["path", "node_id"])
+    columns = ["path", "node_id", "fn_id", "pre", "post", "name"]
+    every = over.select(*columns).unionByName(counted.select(*columns)).unionByName(called.select(*columns))
+    begins = every.select("path", "name", F.col("pre").alias("at"), F.lit(0).alias("order"), F.lit(1).alias("d"), "fn_id")
+    ends = every.select("path", "name", F.col("post").alias("at"), F.lit(1).alias("order"), F.lit(-1).alias("d"), F.lit(None).cast("int").alias("fn_id"))
+    depth = F.sum("d").over(Window.partitionBy("path", "name").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inner = begins.unionByName(ends).withColumn("depth", depth).where("order = 0 and depth > 1")
+    return inner.groupBy("path", "fn_id").agg(F.array_sort(F.collect_set("name")).alias("targets"))
+
+
+def promise_chains(nodes: DataFrame) -> DataFrame:
+    """``path, fn_id, chain_depth``: most calls of ``then``, ``catch`` and ``finally`` in one chain of a function; a chain's calls begin at one place."""
+    kid = children(nodes, "c").join(nodes.select("path", F.col("node_id").alias("c_node_id"), F.element_at("attrs", "name").alias("c_name")), ["path", "c_node_id"])
+    links = kid.where("c_key = 'callee' and c_type = 'MemberExpression' and c_name in ('then', 'catch', 'finally')").select("path", "node_id")
+    chains = nodes.where("type = 'CallExpression'").join(links, ["path", "node_id"]).groupBy("path", "fn_id", "start_off").agg(F.count("*").alias("n"))
+    return chains.groupBy("path", "fn_id").agg(F.max("n").alias("chain_depth"))
+
+
+def nesting_findings(nodes: DataFrame, max_depth: int = 3, max_complexity: int = 15, max_callbacks: int = 3, max_chain: int = 3, min_lines: int = 8, max_density: float = 0.5) -> DataFrame:
     """Functions with any signal, the first in order being the kind; bounds are met at ``>=``, density at ``>``."""
     m = function_metrics(nodes).join(callback_depths(nodes), ["path", "fn_id"], "left").withColumn("callback_depth", F.coalesce("callback_depth", F.lit(0)))
+    m = m.join(quadratic_targets(nodes), ["path", "fn_id"], "left").join(promise_chains(nodes), ["path", "fn_id"], "left").withColumn("chain_depth", F.coalesce("chain_depth", F.lit(0)))
     signal = lambda name, fires: F.when(fires, F.lit(name))
     signals = F.array_compact(F.array(
+        signal("accidental-quadratic", F.col("targets").isNotNull()),
         signal("high-cognitive-complexity", F.col("complexity") >= max_complexity), signal("callback-depth", F.col("callback_depth") >= max_callbacks),
-        signal("deep-nesting", F.col("max_depth") >= max_depth), signal("complexity-density", (F.col("n_lines") >= min_lines) & (F.col("complexity") / F.col("n_lines") > max_density)),
+        signal("promise-chain-depth", F.col("chain_depth") >= max_chain), signal("deep-nesting", F.col("max_depth") >= max_depth), signal("complexity-density", (F.col("n_lines") >= min_lines) & (F.col("complexity") / F.col("n_lines") > max_density)),
     ))
     return m.withColumn("signals", signals).where(F.size("signals") > 0).withColumn("kind", F.col("signals")[0])
 
@@ -124,9 +159,56 @@ def wrapping_ifs(nodes: DataFrame) -> DataFrame:
     return no_else.join(then, ["path", "node_id"]).join(count, ["path", "then"]).where("n_stmts >= 2").join(own, ["path", "node_id"]).select("path", F.col("node_id").alias("if_id"), "fn_id", "line", F.lit("wrapping-if").alias("kind"), F.col("n_stmts").alias("score"))
 
 
+LOOP_TYPES = ("ForStatement", "ForOfStatement", "ForInStatement", "WhileStatement", "DoWhileStatement")
+
+
+def _in_loops(nodes: DataFrame) -> DataFrame:
+    """``path, block, in_loop`` of the statement lists that are a function's or a loop's body."""
+    holders = nodes.where(F.col("type").isin(*FUNCTION_TYPES, *LOOP_TYPES)).select("path", F.col("node_id").alias("parent_id"), F.col("type").isin(*LOOP_TYPES).alias("in_loop"))
+    return nodes.where("type = 'BlockStatement' and key = 'body'").join(holders, ["path", "parent_id"]).select("path", F.col("node_id").alias("block"), "in_loop")
+
+
+def _leaves(last, in_loop):
+    """Whether a last statement leaves: the function, or within a loop its round."""
+    return last.isin("ReturnStatement", "ThrowStatement") | (in_loop & last.isin("ContinueStatement", "BreakStatement"))
+
+
+def implicit_elses(nodes: DataFrame, most: int = 3) -> DataFrame:
+    """An if without ``else`` that leaves, twice as long or more as the up to ``most`` statements after it, which leave too or end a loop's round."""
+    kid = children(nodes, "c")
+    count = statement_counts(nodes)
+    lists = _in_loops(nodes).join(count.select("path", F.col("node_id").alias("block"), F.col("n_stmts").alias("n"), F.col("last_type").alias("end")), ["path", "block"])
+    no_else = nodes.where("type = 'IfStatement'").join(kid.where("c_key = 'alternate'").select("path", "node_id").distinct(), ["path", "node_id"], "left_anti").select("path", F.col("node_id").alias("if_id"), F.col("parent_id").alias("block"), "child_ix", "fn_id", "line")
+    then = kid.where("c_key = 'consequent'").select("path", F.col("node_id").alias("if_id"), F.col("c_node_id").alias("node_id")).join(count, ["path", "node_id"]).select("path", "if_id", "n_stmts", "last_type")
+    met = no_else.join(lists, ["path", "block"]).join(then, ["path", "if_id"]).withColumn("after", F.col("n") - F.col("child_ix") - 1)
+    fits = (F.col("after") >= 1) & (F.col("after") <= most) & (F.col("n_stmts") >= 2 * F.col("after")) & _leaves(F.col("last_type"), F.col("in_loop")) & (F.col("in_loop") | _leaves(F.col("end"), F.lit(False)))
+    return met.where(fits).select("path", "if_id", "fn_id", "line", F.lit("implicit-else").alias("kind"), F.col("n_stmts").alias("score"))
+
+
+def cascade_guards(nodes: DataFrame) -> DataFrame:
+    """Chains of two ifs or more whose branches all leave.
+
+    With a closing ``else`` the score is the chain's length times that side's statements,
+    without one the branches' statements; chains of single exits with a closing
+    ``else`` of one statement only choose, and are left out.
+    """
+    kid = children(nodes, "c")
+    count = statement_counts(nodes)
+    ifs = nodes.where("type = 'IfStatement'").select("path", "node_id", F.element_at("attrs", "chain").cast("int").alias("chain"))
+    side = lambda key: kid.where(F.col("c_key") == key).select("path", "node_id", F.col("c_node_id").alias("branch"), "c_type").join(count.select("path", F.col("node_id").alias("branch"), "n_stmts", "last_type"), ["path", "branch"])
+    then = ifs.join(side("consequent"), ["path", "node_id"])
+    closing = ifs.join(side("alternate").where("c_type <> 'IfStatement'"), ["path", "node_id"]).select("path", "chain", F.col("n_stmts").alias("closing"))
+    place = nodes.where("type = 'IfStatement'").select("path", F.col("node_id").alias("chain"), "fn_id", "line", F.col("parent_id").alias("block"))
+    lists = _in_loops(nodes)
+    known = then.join(place, ["path", "chain"]).join(lists, ["path", "block"], "left").withColumn("in_loop", F.coalesce("in_loop", F.lit(False)))
+    chains = known.groupBy("path", "chain", "fn_id", "line").agg(F.count("*").alias("n"), F.sum("n_stmts").alias("branches"), F.bool_and(_leaves(F.col("last_type"), F.col("in_loop"))).alias("leaves"), F.count(F.when(F.col("n_stmts") <= 1, 1)).alias("single"))
+    found = chains.where("n >= 2 and leaves").join(closing, ["path", "chain"], "left").where("closing is null or (closing > 0 and not (single = n and closing <= 1))")
+    return found.select("path", F.col("chain").alias("if_id"), "fn_id", "line", F.lit("cascade-guard").alias("kind"), F.when(F.col("closing").isNull(), F.col("branches")).otherwise(F.col("n") * F.col("closing")).alias("score"))
+
+
 def early_returns(nodes: DataFrame, least: int = 2) -> DataFrame:
     """Reductions of each function: the sum of scores, at least ``least``, and the best part's kind."""
-    parts = invertible_ifs(nodes).unionByName(wrapping_ifs(nodes))
+    parts = invertible_ifs(nodes).unionByName(wrapping_ifs(nodes)).unionByName(implicit_elses(nodes)).unionByName(cascade_guards(nodes))
     return parts.groupBy("path", "fn_id").agg(F.sum("score").alias("score"), F.min_by("kind", F.struct((-F.col("score")).alias("s"), "line", "if_id")).alias("kind"), F.min("line").alias("line")).where(F.col("score") >= least)
 
 

@@ -64,7 +64,7 @@ def ast_nodes(files: DataFrame) -> DataFrame:
 
     ``fn_id`` is the enclosing function (its own id for a function, -1 at the top),
     ``nest`` how many nesting constructs of that function hold the node; an ``else if``
-    nests no deeper than its ``if``.
+    nests no deeper than its ``if``, and both have that ``if`` as their ``chain``.
     """
 
     def rows(path: str, text: str, root: Node) -> list[tuple]:
@@ -72,17 +72,21 @@ def ast_nodes(files: DataFrame) -> DataFrame:
         breaks = [i for i, c in enumerate(text) if c == "\n"]
         from bisect import bisect_left
 
-        def visit(n: Node, parent: int, depth: int, key: str, ix: int, fn: int, nest: int) -> int:
+        def visit(n: Node, parent: int, depth: int, key: str, ix: int, fn: int, nest: int, chain: int = -1) -> int:
             me = len(out)
             if n.type in FUNCTIONS:
                 fn, nest = me, 0
-            row = [path, me, parent, me, me, depth, n.type, key, ix, n.start, n.end, bisect_left(breaks, n.start) + 1, fn, nest, list(n.attrs.items())]
+            attrs = list(n.attrs.items())
+            if n.type == "IfStatement":
+                chain = me if chain < 0 else chain
+                attrs.append(("chain", str(chain)))
+            row = [path, me, parent, me, me, depth, n.type, key, ix, n.start, n.end, bisect_left(breaks, n.start) + 1, fn, nest, attrs]
             out.append(row)
             inner = nest + (n.type in NESTING)
             for k, (name, c) in enumerate(n.children):
                 chained = n.type == "IfStatement" and name == "alternate" and c.type == "IfStatement"
                 kept = name in ("test", "discriminant") or chained
-                row[4] = visit(c, me, depth + 1, name, k, fn, nest if kept else inner)
+                row[4] = visit(c, me, depth + 1, name, k, fn, nest if kept else inner, chain if chained else -1)
             return out[-1][3]
 
         visit(root, -1, 0, "", 0, -1, 0)

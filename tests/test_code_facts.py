@@ -168,3 +168,38 @@ def test_more_lints(files):
     assert D.global_mutations(nodes).count() == 4
     assert sorted(tuple(r) for r in D.test_file_mapping(f, nodes).collect()) == [("a.ts", "file-without-spec"), ("gone.spec.ts", "spec-without-file")]
     assert [r["title"] for r in D.describe_titles(nodes, rel).collect()] == ["other"]
+
+
+def test_quadratic_targets(files):
+    src = """
+function a(xs) { for (const x of xs) { for (const y of xs) { g(x, y); } } }
+function b(xs, ys) { for (const x of xs) { for (const y of ys) { g(x, y); } } }
+function c(xs) { for (let i = 0; i < xs.length; i++) { g(xs.filter((y) => y > i)); } }
+function d(xs) { for (const x of xs) { g(x); } for (const x of xs) { g(x); } }
+"""
+    nodes = facts.ast_nodes(files(a=src))
+    lines = {r["fn_id"]: r["line"] for r in D.function_metrics(nodes).collect()}
+    assert {(lines[r["fn_id"]], tuple(r["targets"])) for r in D.quadratic_targets(nodes).collect()} == {(2, ("xs",)), (4, ("xs",))}
+    found = {r["line"]: r["kind"] for r in D.nesting_findings(nodes).collect()}
+    assert found == {2: "accidental-quadratic", 4: "accidental-quadratic"}
+
+
+def test_promise_chains(files):
+    src = "function a() { return p().then(f).then(g).catch(h); }\nfunction b() { p().then(f).catch(g); q().then(f).then(g); }"
+    got = {r["line"]: (r["kind"], r["chain_depth"]) for r in D.nesting_findings(facts.ast_nodes(files(a=src))).collect()}
+    assert got == {1: ("promise-chain-depth", 3)}
+
+
+def test_cascades_and_implicit_elses(files):
+    src = """
+function a(x) { if (x) { g(); return 1; } else if (h) { g(); return 2; } else { g(); g(); return 3; } }
+function b(x) { if (x) { return 1; } else if (h) { return 2; } else { return 3; } }
+function c(x) { if (x) { g(); } else if (h) { return 2; } else { return 3; } }
+function d(x) { if (x) { g(); h(); return 1; } return 2; }
+function e(x) { if (x) { g(); return 1; } k(); return 2; }
+function f(xs) { for (const x of xs) { if (x) { g(); h(); continue; } k(); } }
+function i(x) { if (x) { return 1; } else if (h) { g(); return 2; } }
+"""
+    nodes = facts.ast_nodes(files(a=src))
+    assert {(r["line"], r["score"]) for r in D.cascade_guards(nodes).collect()} == {(2, 6), (8, 3)}
+    assert {(r["line"], r["score"]) for r in D.implicit_elses(nodes).collect()} == {(5, 3), (7, 3)}
