@@ -16,8 +16,9 @@ from plinth.operators import metrics, report
 from plinth.operators import modules as M
 from plinth.operators.tables import ship_package, written
 from plinth.sources import facts, projects
-from plinth.sources.control_flow import dead_store_findings, lifetime_findings, pressure_findings
+from plinth.sources.control_flow import dead_store_findings, lifetime_findings, mutation_findings, pressure_findings
 from plinth.sources.files import select_detectors
+from plinth.sources.states import temporal_couplings
 
 #: What a code stands for; the report lists the codes that were found.
 CATALOG = (
@@ -32,6 +33,8 @@ CATALOG = (
     ("GIANT_FILE", "a file has too many lines"),
     ("LIFETIME", "a variable lives long or beside many others"),
     ("CLONE", "code is repeated"),
+    ("TEMPORAL", "a state must be written before it is read"),
+    ("LINT", "a rule of style is broken"),
 )
 
 
@@ -45,6 +48,7 @@ class Options:
     max_lines: int = 1000
     max_forward_depth: int = 1
     max_lifetime: int = 30
+    max_mutations: int | None = None
     entry: tuple[str, ...] = ()
     layers: tuple[tuple[str, str], ...] = ()
     allowed: dict[str, list[str]] | None = None
@@ -150,6 +154,10 @@ def scan(spark: SparkSession, files: DataFrame, options: Options = Options(), pr
     if "variable-lifetime" in chosen:
         parts.append(rows(lifetime_findings(files, options.max_lifetime), "variable-lifetime", "LIFETIME", F.lit("variable-lifetime"), F.concat(F.col("var"), F.lit(" lives "), F.col("lines").cast("string"), F.lit(" lines")), detail=F.concat_ws(":", "line", "var", "burden")))
         parts.append(rows(pressure_findings(files), "variable-lifetime", "LIFETIME", F.lit("liveness-pressure"), F.concat(F.col("max_live").cast("string"), F.lit(" variables live at once")), line0, F.col("fn").cast("string")))
+        if options.max_mutations is not None:
+            parts.append(rows(mutation_findings(files, options.max_mutations), "variable-lifetime", "LIFETIME", F.lit("mutation-density"), F.concat(F.col("var"), F.lit(" is written "), F.col("writes").cast("string"), F.lit(" times")), line0, F.concat_ws(":", "fn", "var")))
+    if "temporal-coupling" in chosen:
+        parts.append(rows(temporal_couplings(files), "temporal-coupling", "TEMPORAL", F.lit("temporal-coupling"), F.col("state"), detail=F.concat_ws(":", "state", "writers", "readers")))
     if "giant-file" in chosen:
         parts.append(rows(metrics.oversized(files, "source_text", options.max_lines), "giant-file", "GIANT_FILE", F.lit("giant-file"), F.concat(F.col("n_lines").cast("string"), F.lit(" lines")), F.lit(1)))
     if "duplicates" in chosen:
@@ -160,3 +168,28 @@ def scan(spark: SparkSession, files: DataFrame, options: Options = Options(), pr
     findings = written(findings, "findings")
     catalog = report.seen_catalog(findings, spark.createDataFrame(list(CATALOG), "code string, cause string"))
     return Report(findings, catalog, facts.parse_errors(files), chosen)
+
+
+def lint(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Findings of the lint rules that source text alone decides, in the uniform table."""
+    ship_package(spark)
+    files = written(files.select("path", "source_text"), "files")
+    nodes, relations = written(facts.ast_nodes(files), "nodes"), written(facts.relations(files), "relations")
+    line0 = F.lit(0)
+
+    def rows(df: DataFrame, rule, label, line=None) -> DataFrame:
+        at = F.col("line") if line is None else line
+        return report.finding(df, "lint", "LINT", F.col("path"), at, F.lit(rule) if isinstance(rule, str) else rule, label, detail=F.concat_ws(":", at.cast("string"), label))
+
+    text = F.lit("")
+    parts = [
+        rows(D.simple_lints(nodes), F.col("rule"), text),
+        rows(D.unused_imports(nodes, relations), "unused-imports", F.col("local"), line0),
+        rows(D.tombstones(files), "no-tombstone", text, line0),
+        rows(D.exported_classes(nodes), "single-exported-class", text, line0),
+        rows(D.member_order(nodes), "member-ordering", F.coalesce("name", text)),
+        rows(D.global_mutations(nodes), "no-globalthis-mutation", text),
+        rows(D.test_file_mapping(files, nodes), "test-unit-file-mapping", F.col("kind"), line0),
+        rows(D.describe_titles(nodes, relations), "test-describe-sut-name", F.col("title")),
+    ]
+    return report.flatten(*parts)

@@ -27,3 +27,20 @@ def test_scan_of_one_detector_and_no_files(spark):
     r = scan(spark, none, Options(only=("giant-file",)))
     assert r.detectors == ["giant-file"] and r.findings.count() == 0
     assert scan(spark, none).findings.count() == 0
+
+
+def test_lint_gathers_all_rules(spark):
+    from plinth.scan import lint
+
+    src = {"a.ts": "import { b, c } from './b'; globalThis.x = b; export class A {} export class B {}", "b.ts": "export {}", "c.spec.ts": "describe('other', () => {}); let o: object;"}
+    got = {(r["file"], r["kind"]) for r in lint(spark, spark.createDataFrame(list(src.items()), "path string, source_text string")).collect()}
+    assert got == {
+        ("a.ts", "unused-imports"), ("a.ts", "no-globalthis-mutation"), ("a.ts", "single-exported-class"), ("a.ts", "test-unit-file-mapping"), ("b.ts", "no-tombstone"),
+        ("c.spec.ts", "test-unit-file-mapping"), ("c.spec.ts", "test-describe-sut-name"), ("c.spec.ts", "no-umbrella-types"),
+    }
+
+
+def test_scan_tells_states_and_mutations(spark):
+    src = {"a.ts": "let db; export function init() { db = 1; } export function get() { return db; } export function many(x) { let y = 0; y = x; y += 1; y++; return y; }"}
+    r = scan(spark, spark.createDataFrame(list(src.items()), "path string, source_text string"), Options(only=("temporal-coupling", "variable-lifetime"), max_mutations=2))
+    assert {(x["kind"], x["label"]) for x in r.findings.collect()} == {("temporal-coupling", "db"), ("mutation-density", "y is written 3 times")}
