@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a listing or a printed report shows at most; tables hold all.
+LISTED = 10_000
 SCHEMA = "store_key string, version long, tie string, created_at long, deleted boolean, payload string"
 
 
@@ -34,9 +36,9 @@ class KvStore:
         last = self._rows().groupBy("store_key").agg(F.max(F.struct("version", "tie", "created_at", "deleted", "payload")).alias("m"))
         return last.where("not m.deleted").select("store_key", F.col("m.payload").alias("payload"), F.col("m.created_at").alias("created_at"), F.col("m.version").alias("updated_at"))
 
-    def keys(self) -> list[str]:
-        """Keys, the last written first."""
-        return [r["store_key"] for r in self.latest().orderBy(F.col("updated_at").desc(), "store_key").select("store_key").collect()]
+    def keys(self, most: int = LISTED) -> list[str]:
+        """The ``most`` keys written last, the last first; :meth:`latest` has all of them as a table."""
+        return [r["store_key"] for r in self.latest().select("store_key", "updated_at").orderBy(F.col("updated_at").desc(), "store_key").limit(most).collect()]
 
     def read(self, key: str):
         found = self.latest().where(F.col("store_key") == key).first()
@@ -98,8 +100,14 @@ def exit_code(errors: int, findings: int) -> int:
     return 2 if errors else 1 if findings else 0
 
 
-def report_json(findings: DataFrame, catalog: DataFrame, detectors: list[str], errors: dict | None = None) -> str:
-    """One JSON document of a run (S19); for reports of a size that a person reads."""
-    rows = [json.loads(x) for x in findings.orderBy("file", "line", "id").toJSON().collect()]
+def write_report(findings: DataFrame, path: str) -> None:
+    """All findings as JSON lines, written by the executors."""
+    findings.write.json(path)
+
+
+def report_json(findings: DataFrame, catalog: DataFrame, detectors: list[str], errors: dict | None = None, most: int = LISTED) -> str:
+    """One JSON document of a run with its first ``most`` findings and the number of all."""
+    total = findings.agg(F.count(F.lit(1))).first()[0]
+    rows = [json.loads(x) for x in findings.orderBy("file", "line", "id").limit(most).toJSON().collect()]
     seen = {r["code"]: r.asDict() for r in catalog.collect()}
-    return json.dumps({"meta": {"detectors": detectors, **({"errors": errors} if errors else {})}, "total": len(rows), "findings": rows, "catalog": seen})
+    return json.dumps({"meta": {"detectors": detectors, **({"errors": errors} if errors else {})}, "total": total, "findings": rows, "catalog": seen})

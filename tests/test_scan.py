@@ -44,3 +44,32 @@ def test_scan_tells_states_and_mutations(spark):
     src = {"a.ts": "let db; export function init() { db = 1; } export function get() { return db; } export function many(x) { let y = 0; y = x; y += 1; y++; return y; }"}
     r = scan(spark, spark.createDataFrame(list(src.items()), "path string, source_text string"), Options(only=("temporal-coupling", "variable-lifetime"), max_mutations=2))
     assert {(x["kind"], x["label"]) for x in r.findings.collect()} == {("temporal-coupling", "db"), ("mutation-density", "y is written 3 times")}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from plinth.__main__ import main
+
+    code = tmp_path / "code"
+    code.mkdir()
+    (code / "a.ts").write_text("f(1); try { f(2); } catch {}")
+    out = str(tmp_path / "out")
+    assert main(["scan", str(code), "--only", "error-flow", "--out", out], spark) == 1
+    told = json.loads(capsys.readouterr().out)
+    assert told["total"] == 1 and told["findings"][0]["kind"] == "empty-catch" and spark.read.json(out).count() == 1
+    assert main(["find", "f($x)", str(code)], spark) == 0 and len(capsys.readouterr().out.splitlines()) == 2
+    assert main(["scan", str(code), "--only", "none-such"], spark) == 2
+    assert main(["scan", str(code), "--root", str(tmp_path / "else")], spark) == 2
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from plinth.operators.tables import shared_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(cluster)
