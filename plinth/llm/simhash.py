@@ -41,6 +41,8 @@ SEED, BITS = 42, 64
 BLOCK, HISTOGRAM_BITS = 8192, 16
 #: Cost of sending one probe, which is written and sorted, against comparing one candidate; bits that a probe flips at least, if need be.
 PROBE_COST, MOST_FLIPS = 1000.0, 2
+#: Smaller tables are planned as if they had so many fingerprints, so that probes grow with the fingerprints up to here.
+PLANNED = 1 << 20
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -287,6 +289,7 @@ def probes(nodes: DataFrame, groups: list[list[int]], hists: list[np.ndarray], n
     """Index rows of every fingerprint in every partition, and rows for the other values that it probes."""
     parts, total = len(groups), radius - len(groups) + 1
     most = max(MOST_FLIPS, -(-total // parts))
+    scale = max(1.0, PLANNED / max(n, 1))
     blocks = blocks_of(groups)
     near = [within(h, most) for h in hists]
 
@@ -314,7 +317,7 @@ def probes(nodes: DataFrame, groups: list[list[int]], hists: list[np.ndarray], n
                 for g, bits in enumerate(groups):
                     count = estimate(values, g)
                     for t in range(most + 1):
-                        costs[g, t + 1] = PROBE_COST * (sum(comb(len(bits), d) for d in range(t + 1)) - 1) + count[t]
+                        costs[g, t + 1] = PROBE_COST * (sum(comb(len(bits), d) for d in range(t + 1)) - 1) + scale * count[t]
                 limits = allot(costs, total)
                 out_v, out_i, out_q = [], [], []
                 every = np.arange(len(fps))
@@ -394,7 +397,7 @@ def near_components(prints: DataFrame, radius: int = 4, key: str = "doc_id", mos
     """
     nodes = written(prints.groupBy("node", "fp", "check").agg(F.min(key).alias("least")), "nodes")
     n = nodes.count()
-    groups = group_bits(bit_counts(nodes), n, count_parts(n, radius))
+    groups = group_bits(bit_counts(nodes), n, count_parts(max(n, PLANNED), radius))
     rows = written(probes(nodes, groups, histograms(nodes, groups), n, radius), "probes")
     joined = connected_components(links(rows, radius, most)).withColumnRenamed("node", "name")
     placed = nodes.join(joined, nodes["node"] == joined["name"], "left").select("node", "least", F.coalesce("component", "node").alias("root"))
