@@ -358,13 +358,94 @@ def interface_rewraps(nodes: DataFrame) -> DataFrame:
     return own.join(one, ["path", "node_id"]).join(empty, ["path", "node_id"]).join(generic, ["path", "node_id"], "left_anti").select("path", "line")
 
 
-# -- error flow, as far as syntax alone decides
+# -- error flow
 
 
-def error_flow(nodes: DataFrame) -> DataFrame:
+def inside(points: DataFrame, holders: DataFrame) -> DataFrame:
+    """The rows of ``points(path, fn_id, pre, ..)`` that lie in one of ``holders(path, fn_id, pre, post)`` of their function.
+
+    A sum over each function in nested-set order: one more where a holder begins, one
+    less after its end.
+    """
+    columns = points.columns
+    events = points.withColumns({"order": F.lit(1), "d": F.lit(0), "at": F.col("pre")})
+    edge = lambda at, order, d: holders.select("path", "fn_id", F.col(at).alias("at"), F.lit(order).alias("order"), F.lit(d).alias("d"))
+    every = events.unionByName(edge("pre", 0, 1), allowMissingColumns=True).unionByName(edge("post", 2, -1), allowMissingColumns=True)
+    depth = F.sum("d").over(Window.partitionBy("path", "fn_id").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return every.withColumn("depth", depth).where("order = 1 and depth > 0").select(*columns)
+
+
+PROMISE_FACTORIES = ("resolve", "reject", "all", "allSettled", "any", "race")
+
+
+def proven_promises(nodes: DataFrame, thenables: DataFrame | None = None) -> DataFrame:
+    """``path, node_id`` of expressions that are promises: ``new Promise``, factories of ``Promise``, calls of an async function of the file, chains upon one, and what ``thenables(path, start_off, end_off)`` tells.
+
+    An async function's name counts if nothing else of the file has it.
+    """
+    kid = children(nodes, "c").join(nodes.select("path", F.col("node_id").alias("c_node_id"), F.element_at("attrs", "name").alias("c_name"), F.element_at("attrs", "is_async").alias("c_async")), ["path", "c_node_id"])
+    named = kid.where("c_key = 'callee' and c_type = 'Identifier'").select("path", "node_id", "c_name")
+    built = nodes.where("type = 'NewExpression'").select("path", "node_id").join(named.where("c_name = 'Promise'"), ["path", "node_id"]).select("path", "node_id")
+    members = kid.where("c_key = 'callee' and c_type = 'MemberExpression'").select("path", "node_id", F.col("c_node_id").alias("member"), F.col("c_name").alias("method"))
+    owners = kid.where("c_key = 'object' and c_type = 'Identifier'").select("path", F.col("node_id").alias("member"), F.col("c_name").alias("owner"))
+    factories = members.where(F.col("method").isin(*PROMISE_FACTORIES)).join(owners.where("owner = 'Promise'"), ["path", "member"]).select("path", "node_id")
+    declared = kid.where("c_key = 'id' and c_type = 'Identifier'").select("path", "node_id", "c_name")
+    functions = nodes.where("type = 'FunctionDeclaration' and element_at(attrs, 'is_async') = 'True'").select("path", "node_id").join(declared, ["path", "node_id"])
+    arrows = kid.where(F.col("c_key").eqNullSafe("init") & F.col("c_type").isin(*FUNCTION_TYPES) & (F.col("c_async") == "True")).select("path", "node_id").join(declared, ["path", "node_id"])
+    once = declared.groupBy("path", "c_name").count().where("count = 1").select("path", "c_name")
+    shadowed = kid.where("c_key = 'params' and c_type = 'Identifier'").select("path", "c_name")
+    own = functions.unionByName(arrows).join(once, ["path", "c_name"]).join(shadowed, ["path", "c_name"], "left_anti").select("path", "c_name").distinct()
+    called = nodes.where("type = 'CallExpression'").select("path", "node_id").join(named, ["path", "node_id"]).join(own, ["path", "c_name"]).select("path", "node_id")
+    roots = built.unionByName(factories).unionByName(called)
+    if thenables is not None:
+        roots = roots.unionByName(nodes.join(thenables.select("path", "start_off", "end_off"), ["path", "start_off", "end_off"], "left_semi").select("path", "node_id"))
+    # A chain's calls begin where its root begins, and each holds the one before it.
+    root_at = nodes.join(roots.distinct(), ["path", "node_id"]).groupBy("path", "start_off").agg(F.min("end_off").alias("root_end"))
+    links = nodes.where("type = 'CallExpression'").join(members.where("method in ('then', 'catch', 'finally')").select("path", "node_id"), ["path", "node_id"])
+    chained = links.join(root_at, ["path", "start_off"]).where("end_off > root_end").select("path", "node_id")
+    return roots.unionByName(chained).distinct()
+
+
+def promise_findings(nodes: DataFrame, thenables: DataFrame | None = None) -> DataFrame:
+    """``path, line, kind``: promises thrown away (but not ``new Promise``, whose executor has run), chains without a ``catch``, promises returned from a ``try`` without ``await``, promise variables that nothing reads."""
+    promises = proven_promises(nodes, thenables)
+    kid = children(nodes, "c").join(nodes.select("path", F.col("node_id").alias("c_node_id"), F.element_at("attrs", "name").alias("c_name")), ["path", "c_node_id"])
+    is_promise = promises.select("path", F.col("node_id").alias("c_node_id"))
+    at = nodes.select("path", "node_id", "type", "line", "pre", "post", "fn_id")
+    found = lambda df, kind: df.select("path", "line", F.lit(kind).alias("kind"))
+    dropped = at.where("type = 'ExpressionStatement'").join(kid.where("c_key = 'expression' and c_type <> 'NewExpression'").join(is_promise, ["path", "c_node_id"]).select("path", "node_id", "c_node_id"), ["path", "node_id"])
+    calls = kid.where("c_key = 'callee' and c_type = 'MemberExpression' and c_name in ('then', 'catch', 'finally')").select("path", F.col("node_id").alias("c_node_id"), F.col("c_name").alias("method"))
+    # A chain is what begins at one place; a second argument of then is a handler too.
+    handlers = kid.where("c_key = 'arguments'").groupBy("path", F.col("node_id").alias("c_node_id")).agg(F.count("*").alias("n_args"))
+    placed = nodes.select("path", F.col("node_id").alias("c_node_id"), "start_off")
+    linked = calls.join(placed, ["path", "c_node_id"]).join(handlers, ["path", "c_node_id"], "left")
+    handled = linked.where("method = 'catch' or (method = 'then' and n_args >= 2)").select("path", "start_off").distinct()
+    whole = dropped.join(placed, ["path", "c_node_id"]).join(linked.select("path", "start_off", F.lit(True).alias("chain")).distinct(), ["path", "start_off"], "left").join(handled, ["path", "start_off"], "left_anti")
+    floating, loose = whole.where("chain is null"), whole.where("chain")
+    handler = kid.where("c_key = 'handler'").select("path", "node_id")
+    blocks = kid.where("c_key = 'block'").join(handler, ["path", "node_id"]).select("path", F.col("c_node_id").alias("node_id"))
+    tries = at.join(blocks, ["path", "node_id"]).select("path", "fn_id", "pre", "post")
+    asyncs = nodes.where("element_at(attrs, 'is_async') = 'True'").where(F.col("type").isin(*FUNCTION_TYPES)).select("path", F.col("node_id").alias("fn_id"))
+    back = at.where("type = 'ReturnStatement'").join(kid.where("c_key = 'argument'").join(is_promise, ["path", "c_node_id"]).select("path", "node_id"), ["path", "node_id"]).join(asyncs, ["path", "fn_id"])
+    returned = inside(back, tries)
+    names = kid.where("c_key = 'id' and c_type = 'Identifier'").select("path", "node_id", "c_name", F.col("c_node_id").alias("id_node"))
+    kept = at.where("type = 'VariableDeclarator'").join(kid.where("c_key = 'init'").join(is_promise, ["path", "c_node_id"]).select("path", "node_id"), ["path", "node_id"]).join(names, ["path", "node_id"])
+    exported = nodes.where("type = 'ExportNamedDeclaration'").select("path", F.col("pre").alias("e_pre"), F.col("post").alias("e_post"), "fn_id")
+    shown = inside(kept, exported.select("path", "fn_id", F.col("e_pre").alias("pre"), F.col("e_post").alias("post"))).select("path", "node_id")
+    mentions = nodes.where("type = 'Identifier'").groupBy("path", F.element_at("attrs", "name").alias("c_name")).agg(F.count("*").alias("n"))
+    unread = kept.join(shown, ["path", "node_id"], "left_anti").join(mentions.where("n = 1"), ["path", "c_name"])
+    parts = [found(floating, "floating-promises"), found(loose, "catch-or-return"), found(returned, "return-await-in-try"), found(unread, "unobserved-variable")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def error_flow(nodes: DataFrame, thenables: DataFrame | None = None) -> DataFrame:
     """``path, line, kind``: thrown literals, async promise executors, jumps out of ``finally``, empty ``catch``, lost causes, async callbacks of array methods.
 
-    What needs types is held.
+    Beside them what is proved of promises (:func:`promise_findings`); what needs types
+    that ``thenables`` does not tell is held.
     """
     kid = children(nodes, "c").join(nodes.select("path", F.col("node_id").alias("c_node_id"), F.col("attrs").alias("c_attrs"), F.col("pre").alias("cp"), F.col("post").alias("cq")), ["path", "c_node_id"])
     at = nodes.select("path", "node_id", "type", "line", "pre", "post", "fn_id")
@@ -374,9 +455,8 @@ def error_flow(nodes: DataFrame) -> DataFrame:
     is_async = F.col("c_type").isin(*FUNCTION_TYPES) & (F.element_at("c_attrs", "is_async") == "True")
     with_async = kid.where((F.col("c_key") == "arguments") & is_async).select("path", "node_id").distinct()
     executor = at.where("type = 'NewExpression'").join(named("Promise"), ["path", "node_id"]).join(with_async, ["path", "node_id"])
-    final = kid.where("c_key = 'finalizer'").select("path", F.col("cp").alias("f_pre"), F.col("cq").alias("f_post"), F.col("c_node_id").alias("block"))
-    block_fn = final.join(at.select("path", F.col("node_id").alias("block"), F.col("fn_id").alias("f_fn")), ["path", "block"])
-    jumps = at.where("type in ('ReturnStatement', 'ThrowStatement')").join(block_fn, "path").where("f_pre < pre and pre <= f_post and fn_id = f_fn")
+    final = at.join(kid.where("c_key = 'finalizer'").select("path", F.col("c_node_id").alias("node_id")), ["path", "node_id"]).select("path", "fn_id", "pre", "post")
+    jumps = inside(at.where("type in ('ReturnStatement', 'ThrowStatement')"), final)
     clause = at.where("type = 'CatchClause'")
     bodies = kid.where("c_key = 'body' and c_type = 'BlockStatement'").select("path", "node_id", F.col("c_node_id").alias("block"))
     filled = nodes.select("path", F.col("parent_id").alias("block")).distinct()
@@ -384,14 +464,14 @@ def error_flow(nodes: DataFrame) -> DataFrame:
     errors = at.where("type = 'NewExpression'").join(named("Error"), ["path", "node_id"])
     caused = kid.where((F.col("c_key") == "arguments") & (F.col("c_type") == "ObjectExpression")).select("path", "node_id").distinct()
     throws = nodes.where("type = 'NewExpression' and key = 'argument'").join(nodes.where("type = 'ThrowStatement'").select("path", F.col("node_id").alias("parent_id")), ["path", "parent_id"]).select("path", "node_id")
-    inside = errors.join(throws, ["path", "node_id"]).join(caused, ["path", "node_id"], "left_anti").join(clause.select("path", F.col("pre").alias("k_pre"), F.col("post").alias("k_post"), F.col("fn_id").alias("k_fn")), "path").where("k_pre < pre and pre <= k_post and fn_id = k_fn")
+    lost = inside(errors.join(throws, ["path", "node_id"]).join(caused, ["path", "node_id"], "left_anti"), clause.select("path", "fn_id", "pre", "post"))
     method = kid.where((F.col("c_key") == "callee") & (F.col("c_type") == "MemberExpression") & F.element_at("c_attrs", "name").isin("forEach", "filter", "some", "every", "find", "findIndex", "sort")).select("path", "node_id")
     misused = at.where("type = 'CallExpression'").join(method, ["path", "node_id"]).join(with_async, ["path", "node_id"])
-    parts = [found(thrown, "throw-non-error"), found(executor, "promise-constructor-hygiene"), found(jumps, "unsafe-finally"), found(empty, "empty-catch"), found(inside, "missing-error-cause"), found(misused, "misused-promises")]
+    parts = [found(thrown, "throw-non-error"), found(executor, "promise-constructor-hygiene"), found(jumps, "unsafe-finally"), found(empty, "empty-catch"), found(lost, "missing-error-cause"), found(misused, "misused-promises")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.distinct()
+    return out.unionByName(promise_findings(nodes, thenables)).distinct()
 
 
 def circular_dependencies(resolved: DataFrame) -> DataFrame:

@@ -56,7 +56,8 @@ class Options:
 
 @dataclass(frozen=True)
 class Project:
-    """Facts beside the sources: manifests, path mappings, workspace packages, installed packages, ambient types.
+    """Facts beside the sources: manifests, path mappings, workspace packages, installed packages, ambient types, and
+    ``thenables(path, start_off, end_off)``, expressions that a type checker knows to be promises.
 
     What is absent is not guessed: without manifests no package is told as unlisted
     or unused, without installed packages none as unused.
@@ -67,6 +68,7 @@ class Project:
     spaces: DataFrame | None = None
     installed: DataFrame | None = None
     ambient: DataFrame | None = None
+    thenables: DataFrame | None = None
 
 
 def read_project(spark: SparkSession, roots: list[str]) -> Project:
@@ -111,7 +113,7 @@ def scan(spark: SparkSession, files: DataFrame, options: Options = Options(), pr
         parts.append(rows(D.deep_imports(resolved, files), "barrel", "BARREL", kind, F.col("target"), line0, F.col("target")))
         parts.append(rows(M.cross_module_reexports(resolved), "barrel", "BARREL", F.lit("cross-module-reexport"), F.col("specifier"), line0, F.col("specifier")))
     if "error-flow" in chosen:
-        parts.append(rows(D.error_flow(nodes), "error-flow", "ERROR_FLOW", kind, kind, detail=F.col("line").cast("string")))
+        parts.append(rows(D.error_flow(nodes, project.thenables), "error-flow", "ERROR_FLOW", kind, kind, detail=F.col("line").cast("string")))
     if "nesting" in chosen:
         parts.append(rows(D.nesting_findings(nodes), "nesting", "NESTING", kind, F.concat_ws(",", "signals"), detail=F.to_json(F.struct("fn_id", "complexity", "max_depth", "callback_depth"))))
     if "early-return" in chosen:

@@ -203,3 +203,27 @@ function i(x) { if (x) { return 1; } else if (h) { g(); return 2; } }
     nodes = facts.ast_nodes(files(a=src))
     assert {(r["line"], r["score"]) for r in D.cascade_guards(nodes).collect()} == {(2, 6), (8, 3)}
     assert {(r["line"], r["score"]) for r in D.implicit_elses(nodes).collect()} == {(5, 3), (7, 3)}
+
+
+def test_promises(files, spark):
+    src = """async function load(x) { return x; }
+function a() { load(1); }
+function b() { load(1).then(g); }
+function c() { load(1).then(g).catch(h); load(2).then(g, h); return load(3); }
+async function d() { try { return load(1); } catch (e) { h(e); } }
+async function e() { try { return await load(1); } catch (x) { h(x); } return load(2); }
+function f() { const left = new Promise(g); const used = load(1); return used; }
+function i() { Promise.all([1]); other(1); }
+function j(load) { load.x(); }
+async function k() { await load(1); void 0; }
+"""
+    nodes = facts.ast_nodes(files(a=src))
+    got = {(r["line"], r["kind"]) for r in D.promise_findings(nodes).collect()}
+    # The parameter of j hides the name, so what load returns is not proved.
+    assert got == {(7, "unobserved-variable"), (8, "floating-promises")}
+    plain = facts.ast_nodes(files(a=src.replace("function j(load) { load.x(); }", "")))
+    got = {(r["line"], r["kind"]) for r in D.error_flow(plain).collect()}
+    assert got == {(2, "floating-promises"), (3, "catch-or-return"), (5, "return-await-in-try"), (7, "unobserved-variable"), (8, "floating-promises")}
+    at = src.index("other(1)")
+    told = spark.createDataFrame([("a.ts", at, at + len("other(1)"))], "path string, start_off int, end_off int")
+    assert {(r["line"], r["kind"]) for r in D.promise_findings(nodes, told).collect()} == {(7, "unobserved-variable"), (8, "floating-promises")}
