@@ -262,3 +262,71 @@ def test_op2_many_equal_documents(spark):
     found = search.search(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id").isin(3, 1007), k=5).collect()
     got = {(r["query_id"], r["rank"]): r["doc_id"] for r in found}
     assert [got[3, k] for k in range(1, 6)] == [0, 1, 2, 3, 4] and got[1007, 1] == 1007
+
+
+def test_op2_rows_of_queries_stay_small(spark, monkeypatch):
+    seen, plans, whole = [], [], search.dealt
+
+    def dealt(frame, blocks, lots):
+        seen.append(blocks.selectExpr("length(ids) div 8 AS queries", "length(places) div 4 AS terms").collect())
+        out = whole(frame, blocks, lots)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(search, "dealt", dealt)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 20 + id % 50), i -> concat('w', (id * 7 + i * i) % 997))) AS text")
+    want = sorted(search.search(docs, F.lit(True), k=3).collect())
+    assert sum(r["queries"] for r in seen[0]) == 3000 and max(r["queries"] for r in seen[0]) <= 2048
+    monkeypatch.setattr(search, "BLOCK_TERMS", 60)
+    assert sorted(search.search(docs, F.lit(True), k=3).collect()) == want and len(want) == 9000
+    assert sum(r["queries"] for r in seen[1]) == 3000 and all(r["terms"] <= 60 or r["queries"] == 1 for r in seen[1])
+    assert not any("Generate" in plan for plan in plans)  # it holds a row's copies for all lots at once
+
+
+def lot_of(texts, k=10):
+    import pyarrow as pa
+
+    lot = search.Lot(sum(len(t.split()) for t in texts) / len(texts), k)
+    for i in range(0, len(texts), 700):
+        lot.add(pa.array(range(i, min(i + 700, len(texts))), pa.int64()), pa.array(texts[i : i + 700]))
+    return lot
+
+
+def test_op2_lot_holds_postings_once(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(search, "SHARD_POSTS", 1 << 20)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50_000, 200)) for _ in range(4000)]
+    tracemalloc.start()
+    lot = lot_of(texts)
+    (shard,) = lot.shards()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 800,000 postings; 40 bytes each would be 32 MB.
+    assert shard.n == 4000 and most < 32e6
+
+
+def test_op2_shards_are_built_once_for_many_blocks(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, rng.integers(1, 40))) for _ in range(3000)] + ["w1 " * 70_000]
+
+    def blocks(n):
+        for at in range(0, 60, 20):
+            hashes, counts, sizes = search.vectors(texts[at : at + 20])
+            known, places = np.unique(hashes, return_inverse=True)
+            cuts = np.append(0, np.cumsum(sizes))
+            blobs = [np.arange(at, at + 20).tobytes(), cuts.tobytes(), search.halves(places), search.packed(counts), known.tobytes(), search.packed(np.full(len(known), 200))]
+            yield search.Asked(dict(zip(search.BLOBS, blobs, strict=True)), n)
+
+    def answers(lot):
+        out = [b for asked in blocks(len(texts)) for b in lot.answer(asked)] + list(lot.answers())
+        return sorted(tuple(r.values()) for b in out for r in b.to_pylist())
+
+    want = answers(lot_of(texts))
+    made, whole = [], search.Shard
+    monkeypatch.setattr(search, "Shard", lambda *a: made.append(1) or whole(*a))
+    monkeypatch.setattr(search, "SHARD_DOCS", 500)
+    lot = lot_of(texts)
+    assert answers(lot) == want and len(want) == 600
+    assert len(made) == len(lot.parts) > 3
